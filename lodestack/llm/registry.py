@@ -1,7 +1,7 @@
 """Queries of this subpackage and their SQL."""
 
-from . import line_dedup
+from . import bpe, line_dedup, mixing
 
-_MODULES = (line_dedup,)
+_MODULES = (bpe, line_dedup, mixing)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
