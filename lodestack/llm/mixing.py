@@ -46,7 +46,7 @@ def targets(sized: DataFrame, weights=WEIGHTS, budget: float = 1.5, max_copies:
         "level": (F.col("total") - F.coalesce(F.sum("cap").over(below), F.lit(0.0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(below), F.lit(0.0))),
     })
     # The first source that does not fill at the level set by those before it fixes the level for itself and the rest.
-    df = df.withColumn("level", F.min(F.when(F.col("level") <= F.col("fills_at"), F.col("level"))).over(every))
+    df = df.withColumn("level", F.min(F.when(F.col("level") <= F.col("fills_at"), F.struct("fills_at", "source_rank", "level"))).over(every)["level"])
     return df.select("source", "source_size", F.least("cap", F.coalesce(F.col("weight") * F.col("level"), F.col("cap"))).alias("target"))
 
 
