@@ -1,7 +1,7 @@
 """Queries of this subpackage and their SQL."""
 
-from . import bpe, jaccard, line_dedup, mixing, quality_rules
+from . import bpe, factorisation, jaccard, line_dedup, mixing, quality_rules
 
-_MODULES = (bpe, jaccard, line_dedup, mixing, quality_rules)
+_MODULES = (bpe, factorisation, jaccard, line_dedup, mixing, quality_rules)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
