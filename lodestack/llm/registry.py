@@ -1,7 +1,7 @@
 """Queries of this subpackage and their SQL."""
 
-from . import bpe, chat, factorisation, jaccard, line_dedup, mixing, quality_rules, toxicity
+from . import bpe, chat, factorisation, jaccard, line_dedup, mixing, quality_rules, rp_forest, toxicity
 
-_MODULES = (bpe, chat, factorisation, jaccard, line_dedup, mixing, quality_rules, toxicity)
+_MODULES = (bpe, chat, factorisation, jaccard, line_dedup, mixing, quality_rules, rp_forest, toxicity)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
