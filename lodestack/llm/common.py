@@ -12,6 +12,7 @@ from ..session import reachable
 
 #: The ASCII white space that separates words.
 WS = " \t\n\x0b\x0c\r"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -29,10 +30,23 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here and a lost executor loses nothing."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df to the shared folder and read it back: lineage ends here and a lost executor loses nothing.
+
+    Shuffle files behind the written table serve nobody any more, so Spark is told to drop them as the write ends.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def few(df: DataFrame, limit: int) -> DataFrame:
+    """df, marked for a broadcast if it has at most `limit` rows; beyond that Spark joins it by a shuffle. df is a table."""
+    return F.broadcast(df) if df.count() <= limit else df
 
 
 def ascii_lower(c: Column) -> Column:
