@@ -14,12 +14,15 @@ import heapq
 import json
 import re
 import unicodedata
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,7 +54,6 @@ class Merges:
         ids = spec["model"]["vocab"]
         end = spec["model"]["end_of_word_suffix"] or ""
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names = {i: s for s, i in ids.items()} | {i: s for s, i in self.added.items()}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         #: A pair is one number; its rank leads back to the pair and to what it becomes.
         self.pairs = [ids[a] << 20 | ids[b] for a, b in pairs]
@@ -67,7 +69,7 @@ class Merges:
         self.words = regex.compile(WORDS % {"new": newer}, regex.V1)
         self.plain = re.compile(PLAIN)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, bytes] = {}
         self.max_words = max_words
 
     def learn(self, words: list[str]) -> None:
@@ -120,7 +122,7 @@ class Merges:
             while i >= 0:
                 out.append(sym[i])
                 i = nxt[i]
-            self.cache[w] = out
+            self.cache[w] = array("i", out).tobytes()
 
     def split(self, text: str) -> list[str]:
         """Words of one text; added tokens are words of their own."""
@@ -136,27 +138,18 @@ class Merges:
             return self.plain.findall(text.lower())
         return self.words.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Token ids of each text, as 32-bit numbers end to end."""
         split = [self.split(t) for t in texts]
         if len(self.cache) > self.max_words:
             self.cache.clear()
         cache = self.cache
         for s, i in self.added.items():
-            cache[s] = [i]
-        fresh = {w for ws in split for w in ws if w not in cache}
+            cache[s] = array("i", [i]).tobytes()
+        fresh = set().union(*split).difference(cache)
         if fresh:
-            self.learn(list(fresh))
-        out = []
-        for ws in split:
-            ids: list[int] = []
-            for w in ws:
-                ids += cache[w]
-            out.append(ids)
-        return out
-
-    def decode(self, ids: list[int]) -> str:
-        names = self.names
-        return " ".join([names[i] for i in ids])
+            self.learn(sorted(fresh))
+        return [b"".join(map(cache.__getitem__, ws)) for ws in split]
 
 
 @lru_cache(maxsize=2)
@@ -166,17 +159,15 @@ def merges_of(source: str) -> Merges:
 
 
 def _mapped(df: DataFrame, column: str, kind: T.DataType, read: str, make) -> DataFrame:
-    """df with one more column, made by make() from lists of values of read."""
+    """df with one more column, made by what make() returns from arrays of read."""
     schema = T.StructType([f for f in df.schema.fields if f.name != column] + [T.StructField(column, kind)])
-    arrow = pa.large_list(pa.int32()) if isinstance(kind, T.ArrayType) else pa.large_string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                got = pa.array(work(part.column(part.schema.get_field_index(read)).to_pylist()), arrow)
-                got = got.cast(pa.list_(pa.int32())) if isinstance(kind, T.ArrayType) else got.cast(pa.string())
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                got = work(part.column(part.schema.get_field_index(read)))
                 keep = [(n, c) for n, c in zip(part.schema.names, part.columns, strict=True) if n != column]
                 yield pa.RecordBatch.from_arrays([c for _, c in keep] + [got], names=[n for n, _ in keep] + [column])
 
@@ -190,19 +181,36 @@ def bpe_encode(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "
 
     def make():
         merges = merges_of(source.value)
-        return lambda texts: merges.encode([t or "" for t in texts])
+
+        def encode(texts: pa.Array) -> pa.Array:
+            got = merges.encode([t or "" for t in texts.to_pylist()])
+            offsets = np.zeros(len(got) + 1, dtype=np.int32)
+            np.cumsum([len(g) // 4 for g in got], out=offsets[1:])
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(got), dtype=np.int32)))
+
+        return encode
 
     return _mapped(docs, out, T.ArrayType(T.IntegerType()), text, make)
 
 
 def bpe_decode(df: DataFrame, tokenizer: str, ids: str = "bpe_ids", out: str = "bpe_text") -> DataFrame:
-    """df with out: the text that the ids stand for (this kind joins its tokens by spaces)."""
+    """df with out: the text that the ids stand for (this kind joins its tokens by spaces); null ids are an empty text."""
     with open(tokenizer, encoding="utf-8") as f:
-        source = df.sparkSession.sparkContext.broadcast(f.read())
+        spec = json.load(f)
+    names = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+    shared = df.sparkSession.sparkContext.broadcast([s for s, _ in sorted(names.items(), key=lambda x: x[1])])
 
     def make():
-        merges = merges_of(source.value)
-        return lambda rows: [merges.decode(r or []) for r in rows]
+        table = pa.array(shared.value, pa.string())
+
+        def decode(rows: pa.Array) -> pa.Array:
+            rows = rows.fill_null([]) if rows.null_count else rows
+            tokens = table.take(rows.flatten())
+            lengths = rows.value_lengths().to_numpy(zero_copy_only=False)
+            offsets = pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32))
+            return pc.binary_join(pa.ListArray.from_arrays(offsets, tokens), " ")
+
+        return decode
 
     return _mapped(df, out, T.StringType(), ids, make)
 
