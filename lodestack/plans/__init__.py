@@ -1,0 +1,5 @@
+"""Registered queries."""
+
+from . import corpus, text, usage
+
+PLANS = (text, corpus, usage)
