@@ -93,7 +93,13 @@ class Field:
         self.bias, self.chain = np.zeros(n), np.zeros((n, n))
 
     def potentials(self, word: str) -> np.ndarray:
-        return next((self.bias + self.unary[f] for f in shape(word) if f in self.unary), self.bias)
+        *exact, coarse = shape(word)
+        for f in exact:
+            if f in self.unary:
+                return self.bias + self.unary[f]
+        # What is known in outline only may count against a kind, never for one.
+        e = self.bias + self.unary.get(coarse, 0.0)
+        return np.minimum(e, e[0])
 
 
 def live_words(text: str) -> list[tuple[int, int, int, str]]:
