@@ -29,12 +29,13 @@ from .common import cut, table
 OPEN, SHUT, END = "<|", "|>", "<|end|>"
 #: Strings that would be read as control strings by this or by common templates.
 CONTROLS = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
-_CONTROL = re.compile("|".join(map(re.escape, sorted(CONTROLS, key=len, reverse=True))))
+#: The first character of a control string, also of one that overlaps another.
+_CONTROL = re.compile("(?=" + "|".join(map(re.escape, CONTROLS)) + ").", re.S)
 _TURN = re.compile(r"<\|((?:[^|\\]|\\.|\|(?!>))*?)\|>\n(.*?)<\|end\|>\n", re.S)
 
 
 def escape(s: str) -> str:
-    return _CONTROL.sub(lambda m: m[0][0] + "\\!" + m[0][1:], s.replace("\\", "\\\\"))
+    return _CONTROL.sub(lambda m: m[0] + "\\!", s.replace("\\", "\\\\"))
 
 
 def unescape(s: str) -> str:
@@ -141,7 +142,7 @@ SQL: dict[str, str] = {
     "op10_chat_format": """
   WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
              UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
-  e AS (SELECT *, length(replace(text, '\\', '\\\\')) + 2 * (length(regexp_replace(text, '<\\||\\|>|<s>|</s>|\\[INST\\]|\\[/INST\\]|<<SYS>>|<</SYS>>', '\\0!', 'g')) - length(text)) AS body FROM c)
+  e AS (SELECT *, length(replace(text, '\\', '\\\\')) + 2 * list_sum(list_transform(['<|', '|>', '<s>', '</s>', '[INST]', '[/INST]', '<<SYS>>', '<</SYS>>'], lambda k: (length(text) - length(replace(text, k, ''))) // length(k))) AS body FROM c)
   SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
          coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
          sum(2 + length(role) + 3 + body + 8)::BIGINT AS formatted_chars
