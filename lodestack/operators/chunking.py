@@ -14,7 +14,7 @@ SEPARATOR = r"^\|?\s*[:\-]{2,}(\s*\|\s*[:\-]{2,})+\|?$"
 
 def lines_of(c: Column) -> Column:
     """Lines without blanks at their ends, the empty ones left out."""
-    return F.filter(F.transform(F.split(c, LINE_END), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, LINE_END), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def _key(c: Column) -> Column:
@@ -33,7 +33,7 @@ def table_row_chunks(lines: Column, limit: int = 4) -> Column:
     bare = lambda x: F.regexp_replace(x, r"^\|+|\|+$", "")
     first = lambda cells: F.coalesce(F.get(F.filter(t.words_of(F.upper(F.get(cells, F.lit(0)))), lambda w: w.rlike("^[A-Z]{1,4}[0-9]{0,3}$")), F.lit(0)), F.lit(""))
     piped = F.filter(lines, lambda x: x.contains("|"))
-    body = F.transform(F.filter(piped, lambda x: ~x.rlike(SEPARATOR)), lambda x: F.struct(x.alias("line"), F.transform(F.split(bare(x), r"\|"), F.trim).alias("cells")))
+    body = F.transform(F.filter(piped, lambda x: ~x.rlike(SEPARATOR)), lambda x: F.struct(x.alias("line"), F.transform(F.split(bare(x), r"\|"), lambda x: F.trim(x)).alias("cells")))
     body = F.transform(body, lambda x: F.struct(x["line"].alias("line"), x["cells"].alias("cells"), first(x["cells"]).alias("code")))
     start = F.struct(F.array().cast(NONE).alias("done"), F.lit("").alias("open"), F.lit("").alias("code"))
     closed = lambda s: F.when(s["open"] != "", F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"])

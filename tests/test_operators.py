@@ -22,7 +22,7 @@ def test_short_and_empty_pages(spark):
 def test_table_rows_join_their_continuations(spark):
     table = "| E01 | first failure of the main door | check |\n|---|---|---|\n| | and the lock of the door as well | check |\n| E02 | second failure of the main door | check |\n"
     got = chunks(spark, table + "filler words go on and on here\n" * 80)
-    assert got[0] == "| E01 | first failure of the main door | check |\n| E01 [continuação] | and the lock of the door as well | check | "[:-3] or got[0].startswith("| E01 | first failure of the main door | check |\n| E01 [continuação] | and the lock")
+    assert got[0] == "| E01 | first failure of the main door | check |\n| E01 [continuação] | and the lock of the door as well | check"
     assert any(c.startswith("| E02 |") for c in got)
 
 
