@@ -6,8 +6,8 @@ documents link when 100 * |A & B| >= percent * |A | B|.
 
 Equal sets are one node. A sketch of how often shingles occur orders them rare first (the order decides how much work
 there is, never what is found). Each node sends its prefix to the shingles' partitions; a shingle met once ends there.
-Links are found in two rounds: each node of a shingle against one pivot, which settles groups of copies in linear
-work; then, only for shingles whose nodes are still in different components, the nodes outside the pivot's component
+Links are found in two rounds: each node against the pivot of its shingles that it meets most often, which settles
+groups of copies in linear work; then, only for shingles whose nodes are still in different components, the nodes outside the pivot's component
 against all others. Every pair that may link is thus verified or already connected, so components are exact.
 
 Null text is no words. A null doc_id takes part and is never the smallest id unless its component has no other; a
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, few, table
 
 #: Counters of the sketch; its size is fixed, whatever the corpus.
 SKETCH = 1 << 21
@@ -227,8 +227,7 @@ def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, perc
     """The pairs (a, b) of nodes that link: each is compared once, over whole sets, which only candidates send."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     reps = cut(nodes.join(ids, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").where(F.col("doc_id").isNotNull()).distinct(), "jaccard-ids")
-    small = reps.count() <= BROADCAST_IDS
-    known = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).join(F.broadcast(reps) if small else reps, "doc_id", "left_semi")
+    known = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).join(few(reps, BROADCAST_IDS), "doc_id", "left_semi")
     lost = docs.select("doc_id", "text").where(F.col("doc_id").isNull())
     schema = pa.schema([("node", pa.int64()), ("members", pa.list_(pa.int64()))])
 
@@ -241,11 +240,13 @@ def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, perc
                 yield node, s.view(np.int64)
 
     sets = known.unionByName(lost).select("text").mapInArrow(lambda it: _batches(rows(it), schema, 200), "node long, members array<long>")
-    sets = cut(sets, "jaccard-sets").dropDuplicates(["node"])
-    a, b = (sets.select(F.col("node").alias(x), F.col("members").alias(f"m{x}")) for x in "ab")
-    both = pairs.join(a, "a").join(b, "b")
-    shared = F.size(F.array_intersect("ma", "mb"))
-    linked = 100 * shared >= percent * (F.size("ma") + F.size("mb") - shared)
+    sets = cut(sets, "jaccard-sets")  # where several rows have a set, a link is only told more often
+    # Each pair's two sets meet in its own row: sets go as often as they have pairs, and only there.
+    ends = cut(pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node")), "jaccard-ends")
+    both = sets.join(few(ends, BROADCAST_IDS), "node").groupBy("a", "b").agg(F.array_distinct(F.collect_list("members")).alias("m")).where(F.size("m") == 2)
+    m0, m1 = F.get("m", F.lit(0)), F.get("m", F.lit(1))
+    shared = F.size(F.array_intersect(m0, m1))
+    linked = 100 * shared >= percent * (F.size(m0) + F.size(m1) - shared)
     return cut(both.where(linked).select("a", "b"), "jaccard-links")
 
 
@@ -280,19 +281,20 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     group = Window.partitionBy("shingle", "salt")
     row = F.struct("node", "n", "pos", "tail")
     met = prefixes(docs, sketch, width, percent).withColumns({"lo": F.min(row).over(group), "hi": F.max(row).over(group)})
-    met = cut(met.where((F.col("lo.node") != F.col("hi.node")) | (F.col("salt") >= 0)), "jaccard-met")
+    met = cut(met.where((F.col("lo.node") != F.col("hi.node")) | (F.col("salt") >= 0)).distinct(), "jaccard-met")
     row = met.select("shingle", "salt", row.alias("x"), "lo", "hi")
     tops = row.where(F.col("salt") >= 0).groupBy("shingle").agg(F.min("lo").alias("top"))
     across = row.where(F.col("salt") >= 0).select("shingle", "lo").distinct().join(tops, "shingle").select(F.col("lo").alias("x"), F.col("top").alias("y"))
     stars = row.select("x", F.explode(F.array("lo", "hi")).alias("y")).unionByName(across)
-    links = verify(docs, nodes, cut(_pairs(stars, percent), "jaccard-pairs"), width, percent)
+    links = verify(docs, nodes, cut(_nearest(stars, percent), "jaccard-pairs"), width, percent)
     comps = cut(components(links), "jaccard-comps")
     # Shingles whose nodes are not all connected yet: those outside the largest component against all the others.
-    rows = met.select("shingle", "node", "n", "pos", "tail").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).distinct()
+    rows = met.select("shingle", "node", "n", "pos", "tail").join(few(comps, BROADCAST_IDS), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     rows = cut(rows, "jaccard-rows")
-    mixed = rows.groupBy("shingle").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.mode("comp").alias("main")).where(F.col("c0") != F.col("c1"))
-    mixed = cut(mixed.select("shingle", "main"), "jaccard-mixed")
-    rest = cut(rows.join(mixed, "shingle").select("shingle", F.struct("node", "n", "pos", "tail", "comp", "main").alias("x")), "jaccard-rest")
+    mixed = rows.groupBy("shingle").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where(F.col("c0") != F.col("c1")).select("shingle")
+    rest = cut(rows.join(few(cut(mixed, "jaccard-mixed"), BROADCAST_IDS), "shingle"), "jaccard-rest")
+    main = cut(rest.groupBy("shingle").agg(F.mode("comp").alias("main")), "jaccard-main")
+    rest = cut(rest.join(main, "shingle").select("shingle", F.struct("node", "n", "pos", "tail", "comp", "main").alias("x")), "jaccard-rest")
     outside = rest.where(F.col("x.comp") != F.col("x.main"))
     other = rest.select("shingle", F.col("x").alias("y"))
     once = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
@@ -305,6 +307,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     return placed.join(least, "comp", "left").select("doc_id", F.col("n").alias("jc_shingles"), F.coalesce("least", "doc_id").alias("jc_component"))
 
 
+def _nearest(rows: DataFrame, percent: int) -> DataFrame:
+    """Each node x with the one y that it meets most often among those that pass the filters: one pair a node at most."""
+    met = rows.where((F.col("x.node") != F.col("y.node")) & may_link("x", "y", percent)).groupBy(F.col("x.node").alias("x"), F.col("y.node").alias("y")).agg(F.count(F.lit(1)).alias("k"))
+    best = met.groupBy("x").agg(F.max_by("y", F.struct("k", -F.col("y"))).alias("y"))
+    return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def _pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Each pair of different nodes x, y that passes the filters, once."""
     a, b = F.col("x.node"), F.col("y.node")
