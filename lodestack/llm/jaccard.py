@@ -6,8 +6,8 @@ documents link when 100 * |A & B| >= percent * |A | B|.
 
 Equal sets are one node. A sketch of how often shingles occur orders them rare first (the order decides how much work
 there is, never what is found). Each node sends its prefix to the shingles' partitions; a shingle met once ends there.
-Links are found in two rounds: each node against the pivot of its shingles that it meets most often, which settles
-groups of copies in linear work; then, only for shingles whose nodes are still in different components, the nodes outside the pivot's component
+Links are found in two rounds: each node of a shingle against the shingle's first and last, which settles groups of
+copies in linear work; then, only for shingles whose nodes are still in different components, the nodes outside the pivot's component
 against all others. Every pair that may link is thus verified or already connected, so components are exact.
 
 Null text is no words. A null doc_id takes part and is never the smallest id unless its component has no other; a
@@ -286,19 +286,19 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     tops = row.where(F.col("salt") >= 0).groupBy("shingle").agg(F.min("lo").alias("top"))
     across = row.where(F.col("salt") >= 0).select("shingle", "lo").distinct().join(tops, "shingle").select(F.col("lo").alias("x"), F.col("top").alias("y"))
     stars = row.select("x", F.explode(F.array("lo", "hi")).alias("y")).unionByName(across)
-    links = verify(docs, nodes, cut(_nearest(stars, percent), "jaccard-pairs"), width, percent)
+    links = verify(docs, nodes, cut(_pairs(stars, percent), "jaccard-pairs"), width, percent)
     comps = cut(components(links), "jaccard-comps")
     # Shingles whose nodes are not all connected yet: those outside the largest component against all the others.
-    rows = met.select("shingle", "node", "n", "pos", "tail").join(few(comps, BROADCAST_IDS), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    rows = cut(rows, "jaccard-rows")
-    mixed = rows.groupBy("shingle").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where(F.col("c0") != F.col("c1")).select("shingle")
-    rest = cut(rows.join(few(cut(mixed, "jaccard-mixed"), BROADCAST_IDS), "shingle"), "jaccard-rest")
-    main = cut(rest.groupBy("shingle").agg(F.mode("comp").alias("main")), "jaccard-main")
-    rest = cut(rest.join(main, "shingle").select("shingle", F.struct("node", "n", "pos", "tail", "comp", "main").alias("x")), "jaccard-rest")
-    outside = rest.where(F.col("x.comp") != F.col("x.main"))
-    other = rest.select("shingle", F.col("x").alias("y"))
-    once = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-    late = outside.join(other, (outside["shingle"] == other["shingle"]) & once & may_link("x", "y", percent)).select("x", "y")
+    sizes = cut(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("members")), "jaccard-sizes")
+    known = cut(comps.join(few(sizes, BROADCAST_IDS), "comp"), "jaccard-known")
+    rows = met.select("shingle", "node", "n", "pos", "tail").join(few(known, BROADCAST_IDS), "node", "left")
+    rows = cut(rows.withColumns({"comp": F.coalesce("comp", "node"), "members": F.coalesce("members", F.lit(1))}), "jaccard-rows")
+    # The table is in the order of shingles, so each task has summed a shingle before anything moves.
+    mixed = rows.groupBy("shingle").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max(F.struct("members", "comp")).alias("big")).where(F.col("c0") != F.col("c1"))
+    near = ["node", "n", "pos", "tail", "comp"]
+    outside = rows.join(mixed.select("shingle", F.col("big.comp").alias("main")), "shingle").where(F.col("comp") != F.col("main")).select("shingle", F.struct(*near, "main").alias("x"))
+    once = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("x.main")) | (F.col("x.node") < F.col("y.node")))
+    late = outside.join(rows.select("shingle", F.struct(*near).alias("y")), "shingle").where(once & may_link("x", "y", percent)).select("x", "y")
     more = verify(docs, nodes, cut(_pairs(late, percent), "jaccard-pairs"), width, percent)
     comps = cut(components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more)), "jaccard-comps")
     placed = cut(nodes.join(comps, "node", "left").select("doc_id", "n", F.coalesce("comp", "node").alias("comp")), "jaccard-placed")
@@ -307,13 +307,6 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     return placed.join(least, "comp", "left").select("doc_id", F.col("n").alias("jc_shingles"), F.coalesce("least", "doc_id").alias("jc_component"))
 
 
-def _nearest(rows: DataFrame, percent: int) -> DataFrame:
-    """Each node x with the one y that it meets most often among those that pass the filters: one pair a node at most."""
-    met = rows.where((F.col("x.node") != F.col("y.node")) & may_link("x", "y", percent)).groupBy(F.col("x.node").alias("x"), F.col("y.node").alias("y")).agg(F.count(F.lit(1)).alias("k"))
-    best = met.groupBy("x").agg(F.max_by("y", F.struct("k", -F.col("y"))).alias("y"))
-    return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
 def _pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Each pair of different nodes x, y that passes the filters, once."""
     a, b = F.col("x.node"), F.col("y.node")
