@@ -135,6 +135,26 @@ def test_forest_matches_brute_force(spark):
     assert (links <= want).all() and links.sum() >= 0.9 * want.sum() > 0
 
 
+def test_forest_finds_links_of_a_large_group(spark, monkeypatch):
+    """3,000 distinct near copies, a third of all rows: found around their centre, and by leaves that are not split."""
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=64)
+    x = np.vstack([centre + rng.normal(scale=0.24, size=(3000, 64)), rng.normal(size=(6000, 64))]).astype(np.float32)
+    rows = [(i, v.tolist(), int(i >= 3000 and i % 3)) for i, v in enumerate(x)]
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows])
+    want = ((y @ y.T >= 0.93) & (label[:, None] == label[None, :])).sum(axis=1) - 1
+    table = vectors_of(spark, rows).cache()
+    got = {r["vec_id"]: r["rp_links"] for r in rp_forest.near_vectors(table).collect()}
+    links = np.array([got[i] for i in range(len(rows))])
+    assert (links <= want).all() and links.sum() >= 0.999 * want.sum() > 3_000_000
+    # Without the search for centres, a leaf that the group fills is compared whole.
+    monkeypatch.setattr(rp_forest, "CANDIDATES", 0)
+    alone = rp_forest.near_vectors(table.where("vec_id < 3000"), depth=0, trees=2).collect()
+    assert {r["vec_id"]: r["rp_links"] for r in alone} == {i: int((y[:3000] @ y[i] >= 0.93).sum()) - 1 for i in range(3000)}
+
+
 def test_forest_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], 1), (4, [1.0, 0.0], 2), (5, None, 1), (6, [0.0, 0.0], 1), (7, [nan, 1.0], 1), (8, [inf, 1.0], 1), (9, [1.0, None], 1), (10, [1.0, 0.0], None), (11, [1.0], 1), (12, [], 1)]
