@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns what it keeps of docs, with t
 returns tokens). It works on all rows it gets, whatever was kept before. :func:`run` writes each stage to the shared
 folder as Parquet and reads it again, so a lost executor costs one stage at most.
 
-Rows that repeat a doc_id are kept, dropped and copied alike. Null texts are empty texts; no stage drops a row for it
+Rows that repeat a doc_id are kept and dropped alike; the mix takes each row by itself. Null texts are empty texts; no stage drops a row for it
 but the classifier, which scores an empty text like any other.
 """
 
@@ -43,11 +43,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
-    mixed = mixing.mix(docs.select("doc_id", "source", "text"))
-    key, null = F.coalesce("doc_id", F.lit(-1)).alias("mx_key"), F.col("doc_id").isNull().alias("mx_null")
-    copies = cut(mixed.groupBy(key, null).agg(F.min("mx_copies").alias("mx_copies")).where(F.col("mx_copies") > 0), "pipeline-copies")
-    rows = docs.select("*", key, null).join(few(copies, BROADCAST_IDS), ["mx_key", "mx_null"])
+    """Each row as many times as the mix takes it, whether or not its doc_id is null or stands in other rows."""
+    # Numbers of rows hold once they are written.
+    rows = cut(docs.withColumn("mx_row", F.monotonically_increasing_id()), "pipeline-rows")
+    mixed = mixing.mix(rows.select("mx_row", "doc_id", "source", "text"), by=("doc_id", "text"), carry=("mx_row",))
+    copies = cut(mixed.select("mx_row", "mx_copies").where(F.col("mx_copies") > 0), "pipeline-copies")
+    rows = rows.join(few(copies, BROADCAST_IDS), "mx_row")
     return rows.withColumn("mx_copy", F.explode(F.sequence(F.lit(1), F.col("mx_copies")))).select(*docs.columns)
 
 

@@ -115,11 +115,14 @@ def _plan_source(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["sk", "size"]].assign(passes=passes, extra=extra)
 
 
-def mix(docs: DataFrame, seed: int = 17, weights=WEIGHTS, budget: float = 1.5, max_copies: int = 2) -> DataFrame:
-    """doc_id, source, mx_size, mx_source_size, mx_target, mx_copies for every row of docs."""
+def mix(docs: DataFrame, seed: int = 17, weights=WEIGHTS, budget: float = 1.5, max_copies: int = 2, by: tuple[str, ...] = ("doc_id",), carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, mx_size, mx_source_size, mx_target, mx_copies for every row of docs, and its columns named in carry.
+
+    The hash of `by` says which rows of a length come first; rows equal in it are picked in any order.
+    """
     sk = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))  # joins as an equal, null or not
-    key = F.xxhash64(F.lit(seed), "doc_id")
-    d = docs.select("doc_id", "source", sk.alias("sk"), n_words(F.col("text")).alias("size"), key.alias("h"), F.pmod(key, F.lit(BUCKETS)).cast("int").alias("b"))
+    key = F.xxhash64(F.lit(seed), *by)
+    d = docs.select(*carry, "doc_id", "source", sk.alias("sk"), n_words(F.col("text")).alias("size"), key.alias("h"), F.pmod(key, F.lit(BUCKETS)).cast("int").alias("b"))
     d = cut(d, "mix-sizes")
     hist = d.groupBy("sk", "size", "b").agg(F.count(F.lit(1)).alias("n"))
     lengths = hist.groupBy("sk", "size").agg(F.sum("n").alias("n"))
@@ -136,7 +139,7 @@ def mix(docs: DataFrame, seed: int = 17, weights=WEIGHTS, budget: float = 1.5, m
     order = Window.partitionBy("sk", "size", "b").orderBy("h", "doc_id")
     parts = rows.where(split).withColumn("picked", F.row_number().over(order) <= F.col("room"))
     out = whole.unionByName(parts).join(goal.select("sk", "source_size", "target"), "sk")
-    return out.select("doc_id", "source", F.col("size").alias("mx_size"), F.col("source_size").alias("mx_source_size"), F.col("target").alias("mx_target"), (F.col("passes") + F.col("picked").cast("int")).alias("mx_copies"))
+    return out.select(*carry, "doc_id", "source", F.col("size").alias("mx_size"), F.col("source_size").alias("mx_source_size"), F.col("target").alias("mx_target"), (F.col("passes") + F.col("picked").cast("int")).alias("mx_copies"))
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

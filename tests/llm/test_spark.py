@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestack.llm import bpe, chat, factorisation, jaccard, line_dedup, mixing, pii, quality_rules, rp_forest, toxicity
 
@@ -182,6 +183,24 @@ def test_mixing_keeps_its_targets(spark, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_pipeline_mixes_row_by_row(spark, tmp_path):
+    """Null and repeated ids: a row that is not taken takes no other row with it, so every source meets its target."""
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    sources = {i: "abc"[i % 3] for i in range(300)}
+    texts = [(i, " ".join([f"w{i}"] * rng.randrange(1, 40))) for i in range(300)]
+    docs = docs_of(spark, texts, sources).withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.lit(None)).when(F.col("doc_id") % 5 == 0, F.lit(7)).otherwise(F.col("doc_id")).cast("long"))
+    want = {r["source"]: r["mx_target"] for r in mixing.mix(docs).collect()}
+    out = corpus_pipeline.mix_sources(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    rows = out.collect()
+    for source, target in want.items():
+        assert abs(sum(len(r["text"].split()) for r in rows if r["source"] == source) - target) <= 1
+    again = corpus_pipeline.mix_sources(spark, docs.repartition(5), str(tmp_path)).collect()
+    assert sorted(r["text"] for r in rows) == sorted(r["text"] for r in again)
+
+
 def test_classifiers_score_every_row(spark, odd, none):
     labels = spark.createDataFrame([(3, 1, 0), (5, 0, 1), (6, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     for labelled in (labels, labels.limit(0)):
