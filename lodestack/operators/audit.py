@@ -66,7 +66,9 @@ def similar_names(docs: DataFrame, key: str, name: str, gram: int = 5) -> DataFr
     head = F.substring("name", 1, gram)
     heads = names.select(F.col("name").alias("inner"), head.alias("piece"))
     lengths = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(gram)), lambda k: F.least(k, F.length("name"))))
-    pieces = F.flatten(F.transform(lengths, lambda k: F.transform(F.sequence(F.lit(1), F.length("name") - k + 1), lambda i: F.substr(F.col("name"), i, k))))
+    # Slices of the characters: cutting strings would read a long name anew for each piece.
+    cuts = lambda chars: F.flatten(F.transform(lengths, lambda k: F.transform(F.sequence(F.lit(1), F.size(chars) - k + 1), lambda i: F.array_join(F.slice(chars, i, k), ""))))
+    pieces = t.let(F.regexp_extract_all("name", F.lit("(?s)."), F.lit(0)), cuts)
     held = names.select(F.col("name").alias("outer"), F.explode(F.array_distinct(pieces)).alias("piece")).join(heads, "piece")
     held = held.where((F.col("inner") != F.col("outer")) & F.col("outer").contains(F.col("inner"))).select("inner", "outer").distinct()
     a, b = n.select(F.col("id").alias("a"), F.col("name").alias("inner")), n.select(F.col("id").alias("b"), F.col("name").alias("outer"))

@@ -196,6 +196,13 @@ def d2(spark, d):
     return audit.similar_names(docs, "id", "name")
 
 
+@query("d2_similar_first_lines")
+def d2_whole(spark, d):
+    docs = load(spark, d, "documents").where(F.col("text").isNotNull())
+    docs = docs.groupBy(F.lower(F.trim(F.split("text", "\n")[0])).alias("name")).agg(F.min("doc_id").alias("id"))
+    return audit.similar_names(docs, "id", "name", gram=16)
+
+
 _N = FILE_NORM.format(x="p_name")
 
 

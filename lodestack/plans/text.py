@@ -136,6 +136,12 @@ def t13(spark, d):
     return docs.select("doc_id", t.expand_query(F.substring("text", 1, 200), ALIASES).alias("q"))
 
 
+@query("t13_expand_whole_text")
+def t13_whole(spark, d):
+    docs = load(spark, d, "documents").where(F.col("text").isNotNull())
+    return docs.select("doc_id", t.expand_query("text", ALIASES).alias("q"))
+
+
 @query("t14_rewrite_flags", """WITH w AS (SELECT doc_id, text, string_split(lower(text), ' ') AS l FROM documents WHERE text IS NOT NULL) SELECT doc_id, contains(text, chr(65533)) AS broken,
   regexp_matches(text, '(^| )[A-Za-z]{1,2} [A-Za-z]{1,2} [A-Za-z]{1,2}( |$)') AS short_words,
   (list_contains(l, 'the')::INT + list_contains(l, 'und')::INT + list_contains(l, 'para')::INT + list_contains(l, 'avec')::INT) >= 2 AS foreign FROM w""")

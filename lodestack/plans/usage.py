@@ -114,7 +114,7 @@ def r12(spark, d):
 
 @query("r13_identifier_bonus")
 def r13(spark, d):
-    docs = load(spark, d, "documents").select("doc_id", "text", "source", t.domain_signals("text").alias("signals"), t.query_identifiers(F.substring("text", 1, 200)).alias("ids"))
+    docs = load(spark, d, "documents").select("doc_id", "text", "source", t.domain_signals("text").alias("signals"), t.query_identifiers("text").alias("ids"))
     return docs.select("doc_id", r.identifier_bonus("text", "source", "signals", "ids").alias("b")).select("doc_id", F.round("b.bonus", 6).alias("bonus"), "b.hit")
 
 

@@ -124,3 +124,20 @@ def test_grades(spark):
 def test_merge_pending(spark):
     log = spark.createDataFrame([(1, 1, "upsert"), (1, 2, "delete"), (2, 1, "delete"), (2, 2, "upsert")], "id long, seq long, op string")
     assert [tuple(r) for r in conversations.merge_pending(log).collect()] == [(2, 2, "upsert")]
+
+
+def test_queries_read_behind_the_cut(spark, tmp_path):
+    """Themes, identifiers and names that only stand behind the first 200 or 13 characters."""
+    from lodestack.plans import corpus, text, usage
+
+    filler = "plain words only " * 20
+    lines = ["a quite long first line \U0001f600 of one document", "first line \U0001f600 of one", "line \U0001f600", "second first line", "x" * 3000, "x" * 40]
+    texts = [*(f"{x}\n{filler}" for x in lines), f"{filler} error LCB2 LCB2"]
+    spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["q"] for r in text.QUERIES["t13_expand_whole_text"](spark, str(tmp_path)).collect()}
+    assert got[6] == f"{texts[6]} fault failure" and got[0] == texts[0]
+    hits = {r["doc_id"]: r["hit"] for r in usage.QUERIES["r13_identifier_bonus"](spark, str(tmp_path)).collect()}
+    assert hits[6]
+    names = {i: x.split("\n")[0].strip(" ") for i, x in enumerate(texts)}
+    want = {(min(i, j), max(i, j)) for i, a in names.items() for j, b in names.items() if a != b and a in b}
+    assert {tuple(r) for r in corpus.QUERIES["d2_similar_first_lines"](spark, str(tmp_path)).collect()} == want >= {(0, 1), (0, 2), (1, 2), (4, 5)}
