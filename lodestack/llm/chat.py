@@ -3,14 +3,15 @@
 A message tree is rows (conv_id, msg_id, parent_id, role, text, score). Self-joins by doubling (each message's 1st, 2nd,
 4th, ... ancestor) find every message's root and depth in as many rounds as the depth has binary digits. A leaf ranks by
 the sum of scores on its path, then depth, then id; the best `paths` of each conversation are formatted. Rows are marked
-from a chosen leaf upwards by the same doubling, so no path is held as a list before it is written out.
+from a chosen leaf upwards by the same doubling, so no path is held as a list before it is written out; a tree without
+branches is its own path. A path meets in one row where it is formatted, so one path must fit in a task's memory.
 
 The template opens a turn with <|role|> and ends it with <|end|>; escaping makes it reversible: in texts and roles a
 backslash becomes two, and each control string gets a backslash after its first character. Loss spans, in code points,
 cover the assistants' texts only.
 
-Null text: empty. Null role: formatted as the role "unknown". A null parent, an unknown one, and a message that is its
-own ancestor start a tree. Rows that repeat (conv_id, msg_id) keep the one with the least role, then text. Null conv_id
+Null text: empty. Null role: formatted as the role "unknown". A message with a null or unknown parent, that is its own
+ancestor or replies to one that is, starts a tree. Rows that repeat (conv_id, msg_id) keep the one with the least role, then text. Null conv_id
 is a conversation of its own. An empty table gives no rows; extra columns are not carried.
 """
 
@@ -59,7 +60,7 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
 
 
 def choose_paths(messages: DataFrame, paths: int = 1) -> DataFrame:
-    """Rows (conv_id, path, depth, role, text) of the best `paths` root-to-leaf paths of each conversation."""
+    """Rows (conv_id, k, path, depth, role, text) of the best `paths` root-to-leaf paths of each conversation."""
     k = F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("k")
     m = messages.select(k, "conv_id", "msg_id", "parent_id", "role", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     m = m.where(F.col("msg_id").isNotNull())
@@ -67,28 +68,39 @@ def choose_paths(messages: DataFrame, paths: int = 1) -> DataFrame:
     m = cut(m, "chat-messages")
     ids = m.select("k", F.col("msg_id").alias("parent_id"), F.lit(True).alias("known"))
     links = m.select("k", "msg_id", "parent_id", "score").join(ids, ["k", "parent_id"], "left").select("k", "msg_id", F.when(F.col("known") & (F.col("parent_id") != F.col("msg_id")), F.col("parent_id")).alias("up"), "score")
-    # up: the ancestor 2^i above; depth, total: messages and score from this one to just below it.
-    level = cut(links.select("k", "msg_id", "up", F.lit(1).cast("long").alias("depth"), F.col("score").alias("total")), "chat-level")
+    # up: the ancestor 2^i above; top: the farthest one known; depth, total: messages and score from this one to below it.
+    level = links.select("k", "msg_id", "up", F.coalesce("up", "msg_id").alias("top"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total"))
+    level = cut(level, "chat-level")
     jumps, count = [level], level.where(F.col("up").isNotNull()).count()
     size = level.count()
     while count and 1 << (len(jumps) - 1) <= size:
-        above = level.select("k", F.col("msg_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("total").alias("t2"))
-        level = level.join(above, ["k", "up"], "left").select("k", "msg_id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"))
+        above = level.select("k", F.col("msg_id").alias("up"), F.col("up").alias("up2"), F.col("top").alias("top2"), F.col("depth").alias("d2"), F.col("total").alias("t2"))
+        level = level.join(above, ["k", "up"], "left").select("k", "msg_id", F.col("up2").alias("up"), F.coalesce("top2", "top").alias("top"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"))
         level = cut(level, "chat-level")
         jumps.append(level)
         count = level.where(F.col("up").isNotNull()).count()
-    # What still has an ancestor so far up is on a cycle or below one: such messages are roots.
-    loose = level.where(F.col("up").isNotNull()).select("k", "msg_id", F.lit(True).alias("loose"))
-    done = level.join(loose, ["k", "msg_id"], "left").select("k", "msg_id", F.when(F.col("loose"), F.lit(1)).otherwise(F.col("depth")).alias("depth"), "total")
-    parents = links.where(F.col("up").isNotNull()).select("k", F.col("up").alias("msg_id")).distinct()
-    leaves = done.join(parents, ["k", "msg_id"], "left_anti")
+    # What still has an ancestor so far up is on a cycle or below one: each such message is a tree of its own.
+    done = level
+    if count:
+        loose = cut(level.where(F.col("up").isNotNull()).select("k", "msg_id"), "chat-loose")
+        own = loose.join(m.select("k", "msg_id", "score"), ["k", "msg_id"]).select("k", "msg_id", F.col("msg_id").alias("top"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total"))
+        done = cut(level.where(F.col("up").isNull()).select("k", "msg_id", "top", "depth", "total").unionByName(own), "chat-done")
+        jumps = [j.join(loose, ["k", "msg_id"], "left_anti") for j in jumps]
+    parents = jumps[0].where(F.col("up").isNotNull()).select("k", F.col("up").alias("msg_id")).distinct()
+    leaves = cut(done.join(parents, ["k", "msg_id"], "left_anti"), "chat-leaves")
     rank = Window.partitionBy("k").orderBy(F.desc("total"), F.desc("depth"), "msg_id")
-    marked = leaves.withColumn("path", F.row_number().over(rank)).where(F.col("path") <= paths).select("k", "msg_id", "path")
-    marked = cut(marked, "chat-marked")
-    for level in reversed(jumps):
-        up = marked.join(level.where(F.col("up").isNotNull()).select("k", "msg_id", "up"), ["k", "msg_id"]).select("k", F.col("up").alias("msg_id"), "path")
-        marked = marked.unionByName(up).distinct()
-    return marked.join(done.select("k", "msg_id", "depth"), ["k", "msg_id"]).join(m.select("k", "msg_id", "conv_id", "role", "text"), ["k", "msg_id"]).select("conv_id", "k", "path", "depth", "role", "text")
+    chosen = leaves.withColumn("path", F.row_number().over(rank)).where(F.col("path") <= paths).select("k", "top", "msg_id", "path")
+    branching = leaves.groupBy("k", "top").agg((F.count(F.lit(1)) > 1).alias("branches"))
+    chosen = cut(chosen.join(branching, ["k", "top"]), "chat-chosen")
+    # A tree with one leaf is its path; on the others the path is marked upwards, written in each round.
+    straight = done.join(chosen.where(~F.col("branches")).select("k", "top", "path"), ["k", "top"]).select("k", "msg_id", "path", "depth")
+    marked = chosen.where(F.col("branches")).select("k", "msg_id", "path")
+    if not marked.isEmpty():
+        for jump in reversed(jumps):
+            up = marked.join(jump.where(F.col("up").isNotNull()).select("k", "msg_id", "up"), ["k", "msg_id"]).select("k", F.col("up").alias("msg_id"), "path")
+            marked = cut(marked.unionByName(up).distinct(), "chat-marked")
+        straight = straight.unionByName(marked.join(done, ["k", "msg_id"]).select("k", "msg_id", "path", "depth"))
+    return straight.join(m.select("k", "msg_id", "conv_id", "role", "text"), ["k", "msg_id"]).select("conv_id", "k", "path", "depth", "role", "text")
 
 
 def format_paths(rows: DataFrame) -> DataFrame:

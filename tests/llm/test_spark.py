@@ -243,10 +243,34 @@ def test_chat_branches_and_edges(spark):
     turns = {(r["conv_id"], r["path"]): chat.parse_turns(r["formatted"]) for r in out}
     assert turns[1, 1] == [("user", "q"), ("assistant", "good"), ("user", "")] and turns[1, 2] == [("user", "q"), ("assistant", "bad")]
     assert turns[2, 1] == [("user", "own parent")] and turns[4, 1] == [("unknown", "x")]
+    assert turns[3, 1] == [("user", "a")] and turns[3, 2] == [("user", "b")]  # each is the other's parent
     assert chat.choose_paths(m.limit(0)).count() == 0
 
 
 def test_chat_long_conversation(spark):
-    m = spark.createDataFrame([(1, i, i - 1 if i else None, "user" if i % 2 == 0 else "assistant", f"t{i}", 1.0) for i in range(70)], "conv_id long, msg_id long, parent_id long, role string, text string, score double")
-    row = chat.read_back(chat.format_paths(chat.choose_paths(m))).first()
-    assert row["n_turns"] == 70 and row["loss_chars"] == sum(len(f"t{i}") for i in range(1, 70, 2))
+    """600 turns with a short branch: paths are marked in ten rounds, and the plan does not grow with them."""
+    rows = [(1, i, i - 1 if i else None, "user" if i % 2 == 0 else "assistant", f"t{i}", 1.0) for i in range(600)]
+    m = spark.createDataFrame([*rows, (1, 900, 3, "user", "aside", 0.5)], "conv_id long, msg_id long, parent_id long, role string, text string, score double")
+    chosen = chat.choose_paths(m)
+    assert chosen._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 6
+    row = chat.read_back(chat.format_paths(chosen)).first()
+    assert row["n_turns"] == 600 and row["loss_chars"] == sum(len(f"t{i}") for i in range(1, 600, 2))
+
+
+def test_chat_paths_match_enumeration(spark):
+    """Random trees, several paths a conversation, against a walk from each leaf."""
+    rng = random.Random(6)
+    rows = [(c, i, rng.randrange(i) if i and rng.random() < 0.9 else None, "user", f"{c}.{i}", rng.randrange(8) / 4) for c in range(12) for i in range(rng.randrange(1, 25))]
+    m = spark.createDataFrame(rows, "conv_id long, msg_id long, parent_id long, role string, text string, score double")
+    got = {(r["conv_id"], r["path"]): [t for _, t in chat.parse_turns(r["formatted"])] for r in chat.format_paths(chat.choose_paths(m, paths=3)).collect()}
+    want = {}
+    for c in range(12):
+        tree = {r[1]: r for r in rows if r[0] == c}
+        paths = []
+        for leaf in set(tree) - {r[2] for r in tree.values()}:
+            path = [leaf]
+            while tree[path[-1]][2] is not None:
+                path.append(tree[path[-1]][2])
+            paths.append((-sum(tree[i][5] for i in path), -len(path), leaf, [tree[i][4] for i in reversed(path)]))
+        want |= {(c, n): p[3] for n, p in enumerate(sorted(paths)[:3], 1)}
+    assert got == want
