@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that the cluster shares; a local one only where none is set, as in tests."""
+    """A fresh path in the folder that the cluster shares; a local one only on a local master that has none, as in tests."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="lodestack-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/lodestack/{name}-{uuid.uuid4().hex}"
@@ -41,12 +43,25 @@ def cut(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
 
 
-def few(df: DataFrame, limit: int) -> DataFrame:
-    """df, marked for a broadcast if it has at most `limit` rows; beyond that Spark joins it by a shuffle. df is a table."""
-    return F.broadcast(df) if df.count() <= limit else df
+def forget(*tables: DataFrame) -> None:
+    """Delete tables made by cut, once what was read from them is written; a DataFrame over them can't be read any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def few(df: DataFrame, limit: int = 4 << 20) -> DataFrame:
+    """df, marked for a broadcast if its files have at most `limit` bytes; beyond that Spark joins it by a shuffle.
+
+    df reads a table that is written, so that its size is known without a job.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return F.broadcast(df) if int(str(size)) <= limit else df
 
 
 def ascii_lower(c: Column) -> Column:

@@ -6,12 +6,18 @@ documents link when 100 * |A & B| >= percent * |A | B|.
 
 Equal sets are one node. A sketch of how often shingles occur orders them rare first (the order decides how much work
 there is, never what is found). Each node sends its prefix to the shingles' partitions; a shingle met once ends there.
-Links are found in two rounds: each node of a shingle against the shingle's first and last, which settles groups of
-copies in linear work; then, only for shingles whose nodes are still in different components, the nodes outside the pivot's component
-against all others. Every pair that may link is thus verified or already connected, so components are exact.
+Links are found in rounds: first each node of a shingle against the shingle's first node and the one before it, which
+settles groups of copies in linear work; then, only for shingles whose nodes are still in different components, those
+outside the largest one against its most central node, again and again until that adds no link; at last those still
+outside against all the others. Every pair that may link is thus verified or already connected, so components are exact.
+A pair that was compared is not compared again.
+
+The suffix filter bounds how many shingles two sets do not share from 512 parities (of how many of a set's shingles
+fall on each bit): before their first common shingle they share nothing, so the bound holds for what comes after it.
 
 Null text is no words. A null doc_id takes part and is never the smallest id unless its component has no other; a
-component of null ids only has component_id null. Rows that repeat a doc_id are documents of their own.
+component of null ids only has component_id null. Rows that repeat a doc_id are documents of their own. Columns other
+than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -21,20 +27,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, few, table
+from .common import UPPER, WS, cut, few, forget, table
 
 #: Counters of the sketch; its size is fixed, whatever the corpus.
 SKETCH = 1 << 21
 #: Shingles seen more often than this (by the sketch) are dealt to several partitions, this many rows to each.
 HOT = 2_000
-#: Ids up to this many are sent to every task; beyond it they are joined by a shuffle.
-BROADCAST_IDS = 500_000
+#: Bytes of texts that are hashed at a time.
+AT_ONCE = 1 << 21
+#: Parities of a node's set, 64 to a column.
+PARITY = [f"g{i}" for i in range(8)]
 
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+_rng = np.random.default_rng(1)
+_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE[np.frombuffer(UPPER.encode(), np.uint8)] = _BYTE[np.frombuffer(UPPER.lower().encode(), np.uint8)]
+_BYTE[np.frombuffer(WS.encode(), np.uint8)] = 0
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -44,32 +57,54 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Shingler:
-    """Sorted distinct 64-bit shingle hashes of a text; word hashes are remembered up to a bound."""
-
-    def __init__(self, width: int = 5, max_words: int = 1_000_000):
-        self.width, self.max_words, self.words = width, max_words, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().translate(_LOWER).split()
-        n = len(words)
-        if not n:
-            return np.empty(0, dtype=np.uint64)
-        known = self.words
-        try:
-            h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=n)
-        except KeyError:
-            if len(known) > self.max_words:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh64_intdigest(w)
-            h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=n)
-        k = min(self.width, n)
-        out = np.full(n - k + 1, k, dtype=np.uint64)
-        for i in range(k):
-            out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : n - k + 1 + i])
-        return np.unique(out)
+def _words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of texts laid end to end, and where each text's words begin; bounds: texts' offsets.
+
+    A word's hash is a polynomial over its bytes' numbers, then spread; white space counts 0 and ends a word.
+    """
+    value = _BYTE[raw]
+    start = value != 0
+    start[1:] &= value[:-1] == 0
+    inside = bounds[bounds < len(raw)]
+    start[inside] = value[inside] != 0
+    at = np.flatnonzero(start)
+    if not len(at):
+        return np.empty(0, np.uint64), np.zeros(len(bounds), np.int64)
+    value = value[at[0] :]
+    length = np.diff(at, append=len(raw))
+    power = np.full(int(length.max()), _STEP, np.uint64)
+    power[0] = 1
+    power = np.cumprod(power, dtype=np.uint64)
+    value *= power[np.arange(len(value)) - np.repeat(at - at[0], length)]
+    return _mix(np.add.reduceat(value, at - at[0])), np.searchsorted(at, bounds)
+
+
+def shingle_sets(texts: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct 64-bit shingle hashes of each text, end to end, and the offsets of the texts' parts."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    body = texts.buffers()[2]
+    raw = np.frombuffer(body, np.uint8)[bounds[0] : bounds[-1]] if body else np.empty(0, np.uint8)
+    h, at = _words(raw, bounds - bounds[0])
+    grams = np.full(max(0, len(h) - width + 1), width, dtype=np.uint64)
+    for i in range(width):
+        grams = _mix(grams * _STEP + h[i : i + len(grams)])
+    sets = []
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        if b - a >= width or a == b:
+            s = grams[a : max(a, b - width + 1)]
+        else:
+            s = np.full(1, b - a, dtype=np.uint64)
+            for word in h[a:b]:
+                s = _mix(s * _STEP + word)
+        s.sort()
+        sets.append(s)
+    flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+    ends = np.cumsum([0, *map(len, sets)])
+    new = np.ones(len(flat), dtype=bool)
+    new[1:] = flat[1:] != flat[:-1]
+    new[ends[:-1][ends[:-1] < ends[1:]]] = True
+    return flat[new], np.r_[0, np.cumsum(new)][ends]
 
 
 def _id(s: np.ndarray) -> int:
@@ -77,53 +112,72 @@ def _id(s: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh64_intdigest(s.tobytes()))))
 
 
-def _texts(batches: Iterator[pa.RecordBatch], *also: str):
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose texts have about AT_ONCE bytes in all, or one longer text."""
     for batch in batches:
-        columns = [batch.column(batch.schema.get_field_index(c)) for c in (*also, "text")]
-        for at in range(0, batch.num_rows, 256):
-            yield from zip(*[c.slice(at, 256).to_pylist() for c in columns], strict=True)
+        text = batch.column(batch.schema.get_field_index("text"))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + AT_ONCE, "right")))
+            yield batch.slice(a, b - a)
+            a = b
+
+
+def _new(flat: np.ndarray, at: np.ndarray, seen: set[int]) -> Iterator[tuple[int, int, int]]:
+    """(node, begin, end) of each set that is not empty and whose node the task has not seen."""
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        if a < b and (node := _id(flat[a:b])) not in seen:
+            seen.add(node)
+            yield node, a, b
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def _batches(rows, schema: pa.Schema, size: int = 2000) -> Iterator[pa.RecordBatch]:
-    part = []
-    for r in rows:
-        part.append(r)
-        if len(part) == size:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
-            part = []
-    if part:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
+def parities(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A row for each set: 8 signed 64-bit numbers, whose bits tell if an odd number of its shingles fall on them."""
+    bits = 64 * len(PARITY)
+    of = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    odd = np.bincount(of * bits + (_mix(flat ^ _STEP) >> np.uint64(55)).astype(np.int64), minlength=(len(at) - 1) * bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(-1, len(PARITY))
 
 
 BLOCK = 1 << 15
 
 
 def nodes_and_sketch(docs: DataFrame, width: int) -> DataFrame:
-    """Rows of two kinds: (doc_id, node, n) of each document, and (block, counts) of each task's sketch."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
-
-    def rows(batches):
-        shingles, counts, seen = Shingler(width), np.zeros(SKETCH, dtype=np.uint32), set()
-        held, size = [], 0
-        for doc_id, text in _texts(batches, "doc_id"):
-            s = shingles(text)
-            node = _id(s) if len(s) else None
-            if node is not None and node not in seen:
-                seen.add(node)
-                held.append((s & np.uint64(SKETCH - 1)).astype(np.int64))
-                size += len(s)
-                if size > SKETCH:
-                    counts += np.bincount(np.concatenate(held), minlength=SKETCH).astype(np.uint32)
-                    held, size = [], 0
-            yield doc_id, node, len(s), None, None
+    """Rows of two kinds: (doc_id, node, n) of each document, with parities where a task first meets the node, and (block,
+    counts) of each task's sketch."""
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), *[(g, pa.int64()) for g in PARITY], ("block", pa.int32()), ("counts", pa.binary())])
+
+    def run(batches):
+        counts, seen, held, size = np.zeros(SKETCH, dtype=np.uint32), set(), [], 0
+        for part in _slices(batches):
+            flat, at = shingle_sets(part.column(1), width)
+            n = np.diff(at)
+            node = [_id(flat[a:b]) if a < b else None for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            again = np.ones(len(n), dtype=bool)
+            for i, k in enumerate(node):
+                if k is not None and k not in seen:
+                    seen.add(k)
+                    again[i] = False
+                    held.append((flat[at[i] : at[i + 1]] & np.uint64(SKETCH - 1)).astype(np.int64))
+                    size += int(n[i])
+            odd = [pa.array(g, mask=again) for g in parities(flat, at).T.copy()]
+            none = [pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node, pa.int64()), pa.array(n), *odd, *none], schema=schema)
+            if size > SKETCH:
+                counts += np.bincount(np.concatenate(held), minlength=SKETCH).astype(np.uint32)
+                held, size = [], 0
         if held:
             counts += np.bincount(np.concatenate(held), minlength=SKETCH).astype(np.uint32)
         for at in range(0, SKETCH, BLOCK):
-            part = counts[at : at + BLOCK]
-            if part.any():
-                yield None, None, None, at // BLOCK, _pack(part)
+            if counts[at : at + BLOCK].any():
+                yield _batch([(*[None] * (3 + len(PARITY)), at // BLOCK, _pack(counts[at : at + BLOCK]))], schema)
 
-    return docs.select("doc_id", "text").mapInArrow(lambda it: _batches(rows(it), schema), "doc_id long, node long, n long, block int, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{f} long" for f in ("doc_id", "node", "n", *PARITY)) + ", block int, counts binary")
 
 
 def _pack(counts: np.ndarray) -> bytes:
@@ -150,7 +204,8 @@ def sketch_of(parts: DataFrame) -> np.ndarray:
                 new = _unpack(raw)
                 sums[b] = sums[b] + new if b in sums else new
         schema = pa.schema([("block", pa.int32()), ("counts", pa.binary())])
-        yield from _batches([(b, _pack(c)) for b, c in sums.items()], schema)
+        for b, c in sums.items():
+            yield _batch([(b, _pack(c))], schema)
 
     df = parts.where(F.col("block").isNotNull()).select("block", "counts")
     df = df.mapInArrow(add, "block int, counts binary")  # what a task holds is at most one sketch
@@ -161,93 +216,94 @@ def sketch_of(parts: DataFrame) -> np.ndarray:
     return out
 
 
-def overlap_needed(a: Column, b: Column, percent: int) -> Column:
-    """The least |A & B| at which sets of sizes a and b link, in whole numbers."""
-    return F.floor((percent * (a + b) + (99 + percent)) / (100 + percent)).cast("long")
-
-
 def prefixes(docs: DataFrame, sketch, width: int, percent: int) -> DataFrame:
-    """Rows (shingle, salt, node, n, pos, tail): the prefix of each node, rare first.
+    """Rows (shingle, share, node, at): the prefix of each node, rare first.
 
-    salt: -1, or the share of a hot shingle's rows that this one belongs to. pos: place in the node's order. tail: how
-    many shingles come after it in each of 8 classes of hashes, a byte each (255 stands for more), for the suffix
-    filter. A task sends a node once.
+    share: -1, or the share of a hot shingle's rows that this one belongs to. at: the size of the node's set times 2^32,
+    plus the shingle's place in the node's order. A task sends a node once.
     """
-    schema = pa.schema([("shingle", pa.int64()), ("salt", pa.int32()), ("node", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("tail", pa.int64())])
-
-    def rows(batches):
-        shingles, seen, counts = Shingler(width), set(), sketch.value
-        noise = int(counts.mean())
-        for (text,) in _texts(batches):
-            s = shingles(text)
-            n = len(s)
-            node = _id(s) if n else None
-            if node is None or node in seen:
-                continue
-            seen.add(node)
-            often = counts[(s & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.int64)
-            # Shingles as frequent as each other are ordered by a hash, the same in all documents.
-            key = _mix(s)
-            order = np.lexsort((key, often))
-            k = n - (percent * n + 99) // 100 + 1
-            kinds = (key[order] >> np.uint64(61)).astype(np.int64)
-            first = order[:k]
-            one = np.zeros((k, 8), dtype=np.int64)
-            one[np.arange(k), kinds[:k]] = 1
-            after = np.minimum(np.bincount(kinds, minlength=8) - np.cumsum(one, axis=0), 255).astype(np.uint8)
-            ways = np.where(often[first] > noise + HOT, (often[first] - noise) // HOT + 1, 0)
-            salt = np.where(ways > 0, (node >> 7) % np.maximum(ways, 1), -1)
-            yield s[first].view(np.int64), salt.astype(np.int32), np.full(k, node, np.int64), np.full(k, n, np.int32), np.arange(k, dtype=np.int32), after.reshape(-1).view(np.int64)
+    schema = pa.schema([("shingle", pa.int64()), ("share", pa.int32()), ("node", pa.int64()), ("at", pa.int64())])
 
     def run(batches):
-        parts, size = [], 0
-        for r in rows(batches):
-            parts.append(r)
-            size += len(r[0])
-            if size > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], schema=schema)
-                parts, size = [], 0
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], schema=schema)
-
-    return docs.select("text").mapInArrow(run, "shingle long, salt int, node long, n int, pos int, tail long")
-
-
-def may_link(a: str, b: str, percent: int) -> Column:
-    """Length, positional and suffix filters for two nodes at the first shingle that both have."""
-    c = lambda side, name: F.col(f"{side}.{name}").cast("long")
-    na, nb, ta, tb = c(a, "n"), c(b, "n"), c(a, "n") - c(a, "pos") - 1, c(b, "n") - c(b, "pos") - 1
-    need = overlap_needed(na, nb, percent)
-    byte = lambda side, i: F.shiftrightunsigned(F.col(f"{side}.tail"), 8 * i).bitwiseAND(F.lit(255))
-    apart = sum((F.abs(byte(a, i) - byte(b, i)) for i in range(1, 8)), F.abs(byte(a, 0) - byte(b, 0)))
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (1 + F.least(ta, tb) >= need) & (2 + ta + tb - apart >= 2 * need)
+        seen, counts = set(), sketch.value
+        noise = int(counts.mean())
+        for part in _slices(batches):
+            flat, at = shingle_sets(part.column(0), width)
+            often = counts[(flat & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.int64)
+            # Rare first; shingles as frequent as each other by a hash, then by value: the same in all documents.
+            key = (np.minimum(often, (1 << 20) - 1).astype(np.uint64) << np.uint64(44)) | (_mix(flat) >> np.uint64(20))
+            picked, nodes, places = [], [], []
+            for node, a, b in _new(flat, at, seen):
+                n = b - a
+                k = n - (percent * n + 99) // 100 + 1
+                order = key[a:b].argsort()
+                ranked = key[a:b][order]
+                if (ranked[1:] == ranked[:-1]).any():
+                    order = key[a:b].argsort(kind="stable")
+                picked.append(a + order[:k])
+                nodes.append((node, k))
+                places.append((n << 32) + np.arange(k, dtype=np.int64))
+            if picked:
+                i = np.concatenate(picked)
+                node = np.repeat(*np.array(nodes, dtype=np.int64).T)
+                ways = np.where(often[i] > noise + HOT, (often[i] - noise) // HOT + 1, 0)
+                share = np.where(ways > 0, (node >> 7) % np.maximum(ways, 1), -1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(flat[i].view(np.int64)), pa.array(share), pa.array(node), pa.array(np.concatenate(places))], schema=schema)
+
+    return docs.select("text").mapInArrow(run, "shingle long, share int, node long, at long")
+
+
+def may_link(a: Column, b: Column, percent: int) -> Column:
+    """Length and positional filters for two nodes at the first shingle that both have; a, b: their columns `at`."""
+    na, nb = F.shiftright(a, 32), F.shiftright(b, 32)
+    left = lambda at, n: n - at.bitwiseAND(F.lit((1 << 32) - 1)) - 1
+    need = 1 + F.least(left(a, na), left(b, nb))
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * need >= percent * (na + nb))
+
+
+def apart(a: str, b: str) -> Column:
+    """At least so many shingles are in one only of the sets whose parities are the fields of a and b."""
+    return sum((F.bit_count(F.col(f"{a}.{g}").bitwiseXOR(F.col(f"{b}.{g}"))) for g in PARITY[1:]), F.bit_count(F.col(f"{a}.g0").bitwiseXOR(F.col(f"{b}.g0"))))
+
+
+def near_enough(a: str, b: str, percent: int) -> Column:
+    """Suffix filter, with the length filter again: |A ^ B| is |A| + |B| - 2 |A & B|."""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return ((100 + percent) * (na + nb - apart(a, b)) >= 2 * percent * (na + nb)) & (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
+
+
+def candidates(pairs: DataFrame, known: DataFrame, seen: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs (a, b), each once, that pass the suffix filter and are not among those seen. known: node, n, parities."""
+    new = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct()
+    if seen is not None:
+        new = new.join(seen, ["a", "b"], "left_anti")
+    ends = known.select(F.col("node"), F.struct("n", *PARITY).alias("s"))
+    new = new.join(ends.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(ends.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    return cut(new.where(near_enough("x", "y", percent)).select("a", "b"), "jaccard-pairs")
 
 
 def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes that link: each is compared once, over whole sets, which only candidates send."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    reps = cut(nodes.join(ids, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").where(F.col("doc_id").isNotNull()).distinct(), "jaccard-ids")
-    known = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).join(few(reps, BROADCAST_IDS), "doc_id", "left_semi")
+    """The pairs (a, b) of nodes that link: compared over whole sets, which only candidates' texts are made into."""
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "jaccard-ends")
+    reps = cut(nodes.join(few(ids), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").where(F.col("doc_id").isNotNull()).distinct(), "jaccard-ids")
+    known = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).join(few(reps), "doc_id", "left_semi")
     lost = docs.select("doc_id", "text").where(F.col("doc_id").isNull())
     schema = pa.schema([("node", pa.int64()), ("members", pa.list_(pa.int64()))])
 
-    def rows(batches):
-        shingles, seen = Shingler(width), set()
-        for (text,) in _texts(batches):
-            s = shingles(text)
-            if len(s) and (node := _id(s)) not in seen:
-                seen.add(node)
-                yield node, s.view(np.int64)
-
-    sets = known.unionByName(lost).select("text").mapInArrow(lambda it: _batches(rows(it), schema, 200), "node long, members array<long>")
-    sets = cut(sets, "jaccard-sets")  # where several rows have a set, a link is only told more often
-    # Each pair's two sets meet in its own row: sets go as often as they have pairs, and only there.
-    ends = cut(pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node")), "jaccard-ends")
-    both = sets.join(few(ends, BROADCAST_IDS), "node").groupBy("a", "b").agg(F.array_distinct(F.collect_list("members")).alias("m")).where(F.size("m") == 2)
-    m0, m1 = F.get("m", F.lit(0)), F.get("m", F.lit(1))
-    shared = F.size(F.array_intersect(m0, m1))
-    linked = 100 * shared >= percent * (F.size(m0) + F.size(m1) - shared)
-    return cut(both.where(linked).select("a", "b"), "jaccard-links")
+    def run(batches):
+        seen: set[int] = set()
+        for part in _slices(batches):
+            flat, at = shingle_sets(part.column(0), width)
+            if rows := [(node, flat[a:b].view(np.int64)) for node, a, b in _new(flat, at, seen)]:
+                yield _batch(rows, schema)
+
+    sets = cut(known.unionByName(lost).select("text").mapInArrow(run, "node long, members array<long>").dropDuplicates(["node"]), "jaccard-sets")
+    end = lambda name: sets.select(F.col("node").alias(name), F.col("members").alias(f"m{name}"))
+    both = pairs.join(end("a"), "a").join(end("b"), "b")
+    shared = F.size(F.array_intersect("ma", "mb"))
+    links = cut(both.where(100 * shared >= percent * (F.size("ma") + F.size("mb") - shared)).select("a", "b"), "jaccard-links")
+    forget(ids, reps, sets)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -263,54 +319,82 @@ def components(links: DataFrame) -> DataFrame:
         large = cut(both.where(F.col("b") > F.col("a")).join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "stars")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(low, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = cut(low.select("a", F.col("m").alias("b")).unionByName(moved).distinct(), "stars")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        after = cut(low.select("a", F.col("m").alias("b")).unionByName(moved).distinct(), "stars")
+        forget(edges, large)
+        edges, now = after, after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == before:
             break
         before = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
 
+def _unsettled(met: DataFrame, comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (shingle, share, node, at, comp, members, degree) of shingles with nodes of several components."""
+    placed = met.select("shingle", "share", "node", "at").join(few(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    # The table is nearly in the order of shingles, so tasks have summed most of a shingle before anything moves.
+    mixed = placed.groupBy("shingle").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where(F.col("c0") != F.col("c1")).select("shingle")
+    rows = cut(placed.join(mixed, "shingle", "left_semi"), "jaccard-mixed")
+    sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
+    degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    told = rows.select("node", "comp").distinct().join(sizes, "comp", "left").join(degrees, "node", "left")
+    told = cut(told.select("node", F.coalesce("members", F.lit(1)).alias("members"), F.coalesce("degree", F.lit(0)).alias("degree")), "jaccard-told")
+    return rows.join(few(told), "node")
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, jc_shingles, jc_component (smallest doc_id reachable by links, itself included) for every row of docs."""
-    spark = docs.sparkSession
     parts = cut(nodes_and_sketch(docs, width), "jaccard-nodes")
     nodes = parts.where(F.col("block").isNull()).select("doc_id", "node", "n")
-    sketch = spark.sparkContext.broadcast(sketch_of(parts))
-    # Each shingle's first and last node are its pivots; hot shingles have pivots in each share of their rows.
-    group = Window.partitionBy("shingle", "salt")
-    row = F.struct("node", "n", "pos", "tail")
-    met = prefixes(docs, sketch, width, percent).withColumns({"lo": F.min(row).over(group), "hi": F.max(row).over(group)})
-    met = cut(met.where((F.col("lo.node") != F.col("hi.node")) | (F.col("salt") >= 0)).distinct(), "jaccard-met")
-    row = met.select("shingle", "salt", row.alias("x"), "lo", "hi")
-    tops = row.where(F.col("salt") >= 0).groupBy("shingle").agg(F.min("lo").alias("top"))
-    across = row.where(F.col("salt") >= 0).select("shingle", "lo").distinct().join(tops, "shingle").select(F.col("lo").alias("x"), F.col("top").alias("y"))
-    stars = row.select("x", F.explode(F.array("lo", "hi")).alias("y")).unionByName(across)
-    links = verify(docs, nodes, cut(_pairs(stars, percent), "jaccard-pairs"), width, percent)
-    comps = cut(components(links), "jaccard-comps")
-    # Shingles whose nodes are not all connected yet: those outside the largest component against all the others.
-    sizes = cut(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("members")), "jaccard-sizes")
-    known = cut(comps.join(few(sizes, BROADCAST_IDS), "comp"), "jaccard-known")
-    rows = met.select("shingle", "node", "n", "pos", "tail").join(few(known, BROADCAST_IDS), "node", "left")
-    rows = cut(rows.withColumns({"comp": F.coalesce("comp", "node"), "members": F.coalesce("members", F.lit(1))}), "jaccard-rows")
-    # The table is in the order of shingles, so each task has summed a shingle before anything moves.
-    mixed = rows.groupBy("shingle").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max(F.struct("members", "comp")).alias("big")).where(F.col("c0") != F.col("c1"))
-    near = ["node", "n", "pos", "tail", "comp"]
-    outside = rows.join(mixed.select("shingle", F.col("big.comp").alias("main")), "shingle").where(F.col("comp") != F.col("main")).select("shingle", F.struct(*near, "main").alias("x"))
-    once = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("x.main")) | (F.col("x.node") < F.col("y.node")))
-    late = outside.join(rows.select("shingle", F.struct(*near).alias("y")), "shingle").where(once & may_link("x", "y", percent)).select("x", "y")
-    more = verify(docs, nodes, cut(_pairs(late, percent), "jaccard-pairs"), width, percent)
-    comps = cut(components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more)), "jaccard-comps")
-    placed = cut(nodes.join(comps, "node", "left").select("doc_id", "n", F.coalesce("comp", "node").alias("comp")), "jaccard-placed")
-    least = placed.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("doc_id").alias("least"))
-    least = cut(least, "jaccard-least")
-    return placed.join(least, "comp", "left").select("doc_id", F.col("n").alias("jc_shingles"), F.coalesce("least", "doc_id").alias("jc_component"))
-
-
-def _pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Each pair of different nodes x, y that passes the filters, once."""
-    a, b = F.col("x.node"), F.col("y.node")
-    return rows.where((a != b) & may_link("x", "y", percent)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    known = cut(parts.where(F.col("g0").isNotNull()).select("node", "n", *PARITY).dropDuplicates(["node"]), "jaccard-known")
+    sketch = docs.sparkSession.sparkContext.broadcast(sketch_of(parts))
+    # Each shingle's first node is its pivot; hot shingles have one in each share of their rows.
+    group = Window.partitionBy("shingle", "share").orderBy("node")
+    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    near = {"lo": F.first("node").over(group), "lo_at": F.first("at").over(group), "prev": F.lag("node").over(group), "prev_at": F.lag("at").over(group), "hi": F.last("node").over(whole)}
+    met = prefixes(docs, sketch, width, percent).withColumns(near)
+    met = met.where((F.col("lo") != F.col("hi")) | (F.col("share") >= 0)).where(F.col("prev").isNull() | (F.col("prev") != F.col("node")))
+    met = cut(met.drop("hi"), "jaccard-met")
+    sketch.destroy()
+    fits = lambda a, b: may_link(F.col(a), F.col(b), percent)
+    pair = lambda df, a, b: df.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    shares = met.where((F.col("share") >= 0) & (F.col("node") == F.col("lo"))).select("shingle", "node", "at")
+    tops = shares.groupBy("shingle").agg(F.min(F.struct("node", "at")).alias("top"))
+    across = shares.join(tops, "shingle").where(fits("at", "top.at"))
+    first = pair(met.where(fits("at", "lo_at")), "node", "lo").unionByName(pair(met.where(fits("at", "prev_at")), "node", "prev")).unionByName(pair(across, "node", "top.node"))
+    seen = candidates(first, known, None, percent)
+    links = verify(docs, nodes, seen, width, percent)
+    comps, tried, last = cut(components(links), "jaccard-comps"), None, False
+    while not last:
+        rows = _unsettled(met, comps, links)
+        if tried is not None:
+            rows = rows.join(few(tried), "node", "left").withColumn("degree", F.when(F.col("tried"), F.lit(-1)).otherwise(F.col("degree"))).drop("tried")
+        rows = cut(rows, "jaccard-rows")
+        if rows.isEmpty():
+            break
+        # The most central node, not tried before, of a shingle's largest component; those outside it meet it.
+        main = cut(rows.groupBy("shingle").agg(F.max(F.struct("members", "comp", "degree", "node", "at")).alias("main"), F.max("share").alias("shares")), "jaccard-main")
+        outside = rows.join(few(main), "shingle").where(F.col("comp") != F.col("main.comp"))
+        pairs = candidates(pair(outside.where((F.col("main.degree") >= 0) & fits("at", "main.at")), "node", "main.node"), known, seen, percent)
+        more = verify(docs, nodes, pairs, width, percent)
+        seen, links, last = seen.unionByName(pairs), links.unionByName(more), more.isEmpty()
+        if last:
+            # No centre adds a link: those outside against all the others, a hot shingle's share by share.
+            side = lambda df, name, *also: df.join(few(known), "node").select("shingle", "share", F.struct("node", "at", "comp", "n", *PARITY, *also).alias(name))
+            to = F.when(F.col("shares") < 0, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("shares")))
+            x = side(outside.withColumn("share", F.explode(to)), "x", F.col("main.comp").alias("main"))
+            once = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("x.main")) | (F.col("x.node") < F.col("y.node")))
+            late = x.join(side(rows, "y"), ["shingle", "share"]).where(once & fits("x.at", "y.at") & near_enough("x", "y", percent))
+            more = verify(docs, nodes, candidates(pair(late, "x.node", "y.node"), known, seen, percent), width, percent)
+            if more.isEmpty():
+                break
+        centres = main.select(F.col("main.node").alias("node")).distinct().withColumn("tried", F.lit(True))
+        tried = cut(centres if tried is None else centres.unionByName(tried).distinct(), "jaccard-tried")
+        comps = cut(components(pair(comps, "node", "comp").unionByName(more)), "jaccard-comps")
+        forget(rows, main)
+    placed = cut(nodes.join(few(comps), "node", "left").select("doc_id", "n", F.coalesce("comp", "node").alias("comp")), "jaccard-placed")
+    least = cut(placed.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("doc_id").alias("least")), "jaccard-least")
+    forget(parts, known, met, comps)
+    return placed.join(few(least), "comp", "left").select("doc_id", F.col("n").alias("jc_shingles"), F.coalesce("least", "doc_id").alias("jc_component"))
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

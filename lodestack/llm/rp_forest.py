@@ -35,8 +35,6 @@ TREES, FIT_ROWS, DEPTH, LEAF, SPILL = 8, 50_000, 6, 600, 0.16
 BLOCK = 1_000
 #: Sampled vectors whose surroundings are counted to find large groups.
 CANDIDATES = 512
-#: Groups up to this many are sent to every task; beyond it they are joined by a shuffle.
-BROADCAST_LEAVES = 10_000
 
 
 def fit_tree(x: np.ndarray, depth: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,7 +145,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, trees: int = TREES, d
         if level > 40 or big.isEmpty():
             break
         # Mean cosine of a leaf's pairs: from 1 - 4 * (1 - cosine) on, its spread is at most twice the link radius.
-        sums = placed.join(few(big.select(*keys), BROADCAST_LEAVES), keys, "left_semi").select(*keys, "v").mapInArrow(_sums, "label long, tree int, node string, n long, s array<double>")
+        sums = placed.join(few(big.select(*keys)), keys, "left_semi").select(*keys, "v").mapInArrow(_sums, "label long, tree int, node string, n long, s array<double>")
         big = cut(sums.groupBy(*keys).applyInPandas(_mean_cosine, "label long, tree int, node string, mean double").where(F.col("mean") < 1 - 4 * (1 - cosine)), "vector-big")
         if big.isEmpty():
             break
@@ -175,7 +173,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, trees: int = TREES, d
     own = cut(leaves.groupBy("cls").agg(F.collect_set("leaf").alias("leaves")).join(one.select("cls", "members"), "cls"), "vector-own")
     # Large leaves are compared by pairs of blocks: each row goes to as many groups as its leaf has blocks.
     wide = cut(leaves.groupBy("label", "leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n"), "vector-wide")
-    dealt = leaves.join(own, "cls").join(few(wide, BROADCAST_LEAVES), ["label", "leaf"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = leaves.join(own, "cls").join(few(wide), ["label", "leaf"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("cls", "label", "leaf", "v", "leaves", "members", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     found = dealt.groupBy("label", "leaf", "lo", "hi").applyInPandas(lambda g: _compare(g, cosine), "a long, b long, links long")

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestack.llm import bpe, chat, factorisation, jaccard, mixing, pii, quality_rules, toxicity
@@ -64,10 +65,44 @@ def test_fit_counts_is_near_the_best():
         assert abs(int((take * lengths).sum()) - budget) == min(abs(s - budget) for s in sums)
 
 
-def test_shingles():
-    s = jaccard.Shingler()
-    assert len(s("")) == len(s(None)) == 0 and len(s("a b")) == len(s("A  b\n")) == 1
-    assert set(s("a b c d e f")) > set(s("B c d e f")) and len(s("x " * 100)) == 1
+def sets_of(texts):
+    flat, at = jaccard.shingle_sets(pa.array(texts, pa.string()))
+    return [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def test_shingles_match_plain_windows():
+    """Texts share a hash where and only where their windows of words are the same."""
+    rng, low = random.Random(1), str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    texts = [None, "", " ", "a b", "A  b\n", "a b c d e f", "B c d e f", "x " * 100, "é ü\x0b ß A b c d", "w\x85w x\xa0y \x1c"]
+    texts += [" ".join(rng.choice("abAB") * rng.randrange(1, 4) for _ in range(rng.randrange(12))) + rng.choice(["", " ", "\n"]) for _ in range(500)]
+    hashes = {}
+    for t, got in zip(texts, sets_of(texts), strict=True):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low))
+        want = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+        assert len(got) == len(set(got)) == len(want) and got == sorted(got)
+        hashes.setdefault(frozenset(want), set()).add(tuple(got))
+    assert all(len(v) == 1 for v in hashes.values()) and len({v for s in hashes.values() for v in s}) == len(hashes)
+    assert sets_of(texts)[3:40] == sets_of(texts[3:40])
+
+
+def test_long_texts_are_hashed_as_short_ones(monkeypatch):
+    words = [f"w{i}" for i in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b c d e", " ".join(words), None, "x"])], names=["text"])
+    monkeypatch.setattr(jaccard, "AT_ONCE", 10)
+    parts = [p.column(0).to_pylist() for p in jaccard._slices(iter([batch]))]
+    assert [t for p in parts for t in p] == batch.column(0).to_pylist() and len(parts) >= 2
+    assert sets_of([" ".join(words)])[0] == sorted({h for i in range(2996) for h in sets_of([" ".join(words[i : i + 5])])[0]})
+
+
+def test_parities_bound_what_sets_do_not_share():
+    rng = np.random.default_rng(0)
+    for size in (5, 150, 3000):
+        a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        b = np.unique(np.r_[a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 63, size // 10, dtype=np.uint64)])
+        p = jaccard.parities(np.r_[a, b], np.array([0, len(a), len(a) + len(b)]))
+        bits = sum(int(x).bit_count() for x in (p[0] ^ p[1]).view(np.uint64))
+        apart = len(np.setxor1d(a, b))
+        assert bits <= apart and (apart > 200 or bits >= 0.7 * apart)
 
 
 def test_sketch_blocks_round_trip():

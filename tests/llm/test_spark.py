@@ -107,6 +107,31 @@ def test_jaccard_matches_brute_force(spark, monkeypatch, hot):
     assert got == brute_components(texts)
 
 
+@pytest.mark.parametrize("hot", [2000, 5])
+def test_jaccard_settles_a_group_that_is_linked_here_and_there(spark, monkeypatch, hot):
+    """Edits of edits: few pairs link, centres settle some, the rest are compared exhaustively, no pair twice."""
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    compared, plain = [], jaccard.verify
+
+    def watched(docs, nodes, pairs, width, percent):
+        compared.extend((r["a"], r["b"]) for r in pairs.collect())
+        return plain(docs, nodes, pairs, width, percent)
+
+    monkeypatch.setattr(jaccard, "verify", watched)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    texts = []
+    for i in range(150):
+        w = list(base if i % 5 else texts[rng.randrange(len(texts))][1].split() if texts else base)
+        for _ in range(rng.randrange(1, 6)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        texts.append((i, " ".join(w)))
+    want = brute_components(texts)
+    assert 10 < len({c for _, c in want.values()}) < 140
+    got = {r["doc_id"]: (r["jc_shingles"], r["jc_component"]) for r in jaccard.jaccard_components(docs_of(spark, texts)).collect()}
+    assert got == want and len(set(compared)) == len(compared)
+
+
 def test_jaccard_without_rows(none):
     assert jaccard.jaccard_components(none).count() == 0
 
