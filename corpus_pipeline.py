@@ -16,9 +16,6 @@ from pyspark.sql import functions as F
 from lodestack.llm import bpe, factorisation, jaccard, line_dedup, mixing
 from lodestack.llm.common import cut, few, table
 
-#: Ids up to this many go to every task; beyond it they are joined by a shuffle.
-BROADCAST_IDS = 500_000
-
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorisation machine does not reject."""
@@ -38,7 +35,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near duplicates."""
     comps = jaccard.jaccard_components(docs.select("doc_id", "text"))
     keep = cut(comps.where(F.col("doc_id") == F.col("jc_component")).select("doc_id").distinct(), "pipeline-keep")
-    known = docs.where(F.col("doc_id").isNotNull()).join(few(keep, BROADCAST_IDS), "doc_id", "left_semi")
+    known = docs.where(F.col("doc_id").isNotNull()).join(few(keep), "doc_id", "left_semi")
     return known.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
@@ -48,7 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = cut(docs.withColumn("mx_row", F.monotonically_increasing_id()), "pipeline-rows")
     mixed = mixing.mix(rows.select("mx_row", "doc_id", "source", "text"), by=("doc_id", "text"), carry=("mx_row",))
     copies = cut(mixed.select("mx_row", "mx_copies").where(F.col("mx_copies") > 0), "pipeline-copies")
-    rows = rows.join(few(copies, BROADCAST_IDS), "mx_row")
+    rows = rows.join(few(copies), "mx_row")
     return rows.withColumn("mx_copy", F.explode(F.sequence(F.lit(1), F.col("mx_copies")))).select(*docs.columns)
 
 
