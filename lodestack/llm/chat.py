@@ -20,12 +20,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, few, table
 
 OPEN, SHUT, END = "<|", "|>", "<|end|>"
 #: Strings that would be read as control strings by this or by common templates.
@@ -71,22 +72,26 @@ def choose_paths(messages: DataFrame, paths: int = 1) -> DataFrame:
     # up: the ancestor 2^i above; top: the farthest one known; depth, total: messages and score from this one to below it.
     level = links.select("k", "msg_id", "up", F.coalesce("up", "msg_id").alias("top"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total"))
     level = cut(level, "chat-level")
-    jumps, count = [level], level.where(F.col("up").isNotNull()).count()
-    size = level.count()
-    while count and 1 << (len(jumps) - 1) <= size:
-        above = level.select("k", F.col("msg_id").alias("up"), F.col("up").alias("up2"), F.col("top").alias("top2"), F.col("depth").alias("d2"), F.col("total").alias("t2"))
-        level = level.join(above, ["k", "up"], "left").select("k", "msg_id", F.col("up2").alias("up"), F.coalesce("top2", "top").alias("top"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"))
+    up = F.col("up").isNotNull()
+    size, finished, active = level.count(), [level.where(~up)], level.where(up)
+    jumps = [active]
+    # Only messages that are not at their root yet go on; they point to such ones or to finished ones.
+    while not active.isEmpty() and 1 << (len(jumps) - 1) <= size:
+        every = reduce(DataFrame.unionByName, [*finished, active])
+        above = every.select("k", F.col("msg_id").alias("up"), F.col("up").alias("up2"), F.col("top").alias("top2"), F.col("depth").alias("d2"), F.col("total").alias("t2"))
+        level = few(active).join(above, ["k", "up"]).select("k", "msg_id", F.col("up2").alias("up"), F.col("top2").alias("top"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("total") + F.col("t2")).alias("total"))
         level = cut(level, "chat-level")
-        jumps.append(level)
-        count = level.where(F.col("up").isNotNull()).count()
+        finished, active = [*finished, level.where(~up)], level.where(up)
+        jumps.append(active)
     # What still has an ancestor so far up is on a cycle or below one: each such message is a tree of its own.
-    done = level
-    if count:
-        loose = cut(level.where(F.col("up").isNotNull()).select("k", "msg_id"), "chat-loose")
+    done = reduce(DataFrame.unionByName, finished).select("k", "msg_id", "top", "depth", "total")
+    if not active.isEmpty():
+        loose = active.select("k", "msg_id")
         own = loose.join(m.select("k", "msg_id", "score"), ["k", "msg_id"]).select("k", "msg_id", F.col("msg_id").alias("top"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total"))
-        done = cut(level.where(F.col("up").isNull()).select("k", "msg_id", "top", "depth", "total").unionByName(own), "chat-done")
-        jumps = [j.join(loose, ["k", "msg_id"], "left_anti") for j in jumps]
-    parents = jumps[0].where(F.col("up").isNotNull()).select("k", F.col("up").alias("msg_id")).distinct()
+        done = done.unionByName(own)
+        jumps = [j.join(few(loose), ["k", "msg_id"], "left_anti") for j in jumps]
+    done = cut(done, "chat-done")
+    parents = jumps[0].select("k", F.col("up").alias("msg_id")).distinct()
     leaves = cut(done.join(parents, ["k", "msg_id"], "left_anti"), "chat-leaves")
     rank = Window.partitionBy("k").orderBy(F.desc("total"), F.desc("depth"), "msg_id")
     chosen = leaves.withColumn("path", F.row_number().over(rank)).where(F.col("path") <= paths).select("k", "top", "msg_id", "path")
@@ -97,8 +102,8 @@ def choose_paths(messages: DataFrame, paths: int = 1) -> DataFrame:
     marked = chosen.where(F.col("branches")).select("k", "msg_id", "path")
     if not marked.isEmpty():
         for jump in reversed(jumps):
-            up = marked.join(jump.where(F.col("up").isNotNull()).select("k", "msg_id", "up"), ["k", "msg_id"]).select("k", F.col("up").alias("msg_id"), "path")
-            marked = cut(marked.unionByName(up).distinct(), "chat-marked")
+            more = marked.join(jump.select("k", "msg_id", "up"), ["k", "msg_id"]).select("k", F.col("up").alias("msg_id"), "path")
+            marked = cut(marked.unionByName(more).distinct(), "chat-marked")
         straight = straight.unionByName(marked.join(done, ["k", "msg_id"]).select("k", "msg_id", "path", "depth"))
     return straight.join(m.select("k", "msg_id", "conv_id", "role", "text"), ["k", "msg_id"]).select("conv_id", "k", "path", "depth", "role", "text")
 
