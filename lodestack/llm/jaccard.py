@@ -8,7 +8,7 @@ Equal sets are one node. A sketch of how often shingles occur orders them rare f
 there is, never what is found). Each node sends its prefix to the shingles' partitions; a shingle met once ends there.
 Links are found in rounds: first each node of a shingle against the shingle's first node and the one before it, which
 settles groups of copies in linear work; then, only for shingles whose nodes are still in different components, those
-outside the largest one against its most central node, again and again until that adds no link; at last those still
+outside the largest one against its most central node, again and again while that saves much work; at last those still
 outside against all the others. Every pair that may link is thus verified or already connected, so components are exact.
 A pair that was compared is not compared again.
 
@@ -38,6 +38,8 @@ from .common import UPPER, WS, cut, few, forget, table
 SKETCH = 1 << 21
 #: Shingles seen more often than this (by the sketch) are dealt to several partitions, this many rows to each.
 HOT = 2_000
+#: Comparisons of rows for each row of a shared shingle that are made without looking for centres first.
+CHEAP = 20
 #: Bytes of texts that are hashed at a time.
 AT_ONCE = 1 << 21
 #: Parities of a node's set, 64 to a column.
@@ -363,7 +365,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     first = pair(met.where(fits("at", "lo_at")), "node", "lo").unionByName(pair(met.where(fits("at", "prev_at")), "node", "prev")).unionByName(pair(across, "node", "top.node"))
     seen = candidates(first, known, None, percent)
     links = verify(docs, nodes, seen, width, percent)
-    comps, tried, last = cut(components(links), "jaccard-comps"), None, False
+    comps, tried, last, work, size = cut(components(links), "jaccard-comps"), None, False, float("inf"), met.count()
     while not last:
         rows = _unsettled(met, comps, links)
         if tried is not None:
@@ -372,21 +374,25 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
         if rows.isEmpty():
             break
         # The most central node, not tried before, of a shingle's largest component; those outside it meet it.
-        main = cut(rows.groupBy("shingle").agg(F.max(F.struct("members", "comp", "degree", "node", "at")).alias("main"), F.max("share").alias("shares")), "jaccard-main")
+        counted = rows.groupBy("shingle", "comp").agg(F.max(F.struct("members", "comp", "degree", "node", "at")).alias("main"), F.max("share").alias("shares"), F.count(F.lit(1)).alias("rows"))
+        main = counted.groupBy("shingle").agg(F.max("main").alias("main"), F.max("shares").alias("shares"), F.sum("rows").alias("rows"), F.max_by("rows", "main").alias("inside"))
+        main = cut(main, "jaccard-main")
+        # What comparing those outside with all the others would take; cheap, it is done at once.
+        before, work = work, main.agg(F.coalesce(F.sum((F.col("rows") - F.col("inside")) * F.col("rows").cast("double")), F.lit(0.0))).first()[0]
+        last = work <= CHEAP * size or work > 0.7 * before
         outside = rows.join(few(main), "shingle").where(F.col("comp") != F.col("main.comp"))
-        pairs = candidates(pair(outside.where((F.col("main.degree") >= 0) & fits("at", "main.at")), "node", "main.node"), known, seen, percent)
-        more = verify(docs, nodes, pairs, width, percent)
-        seen, links, last = seen.unionByName(pairs), links.unionByName(more), more.isEmpty()
         if last:
-            # No centre adds a link: those outside against all the others, a hot shingle's share by share.
+            # Those outside against all the others, a hot shingle's share by share.
             side = lambda df, name, *also: df.join(few(known), "node").select("shingle", "share", F.struct("node", "at", "comp", "n", *PARITY, *also).alias(name))
             to = F.when(F.col("shares") < 0, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("shares")))
             x = side(outside.withColumn("share", F.explode(to)), "x", F.col("main.comp").alias("main"))
             once = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("x.main")) | (F.col("x.node") < F.col("y.node")))
             late = x.join(side(rows, "y"), ["shingle", "share"]).where(once & fits("x.at", "y.at") & near_enough("x", "y", percent))
-            more = verify(docs, nodes, candidates(pair(late, "x.node", "y.node"), known, seen, percent), width, percent)
-            if more.isEmpty():
-                break
+            pairs = candidates(pair(late, "x.node", "y.node"), known, seen, percent)
+        else:
+            pairs = candidates(pair(outside.where((F.col("main.degree") >= 0) & fits("at", "main.at")), "node", "main.node"), known, seen, percent)
+        more = verify(docs, nodes, pairs, width, percent)
+        seen, links = seen.unionByName(pairs), links.unionByName(more)
         centres = main.select(F.col("main.node").alias("node")).distinct().withColumn("tried", F.lit(True))
         tried = cut(centres if tried is None else centres.unionByName(tried).distinct(), "jaccard-tried")
         comps = cut(components(pair(comps, "node", "comp").unionByName(more)), "jaccard-comps")
