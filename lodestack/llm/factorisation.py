@@ -7,9 +7,11 @@ capitals, symbols, repeats, ...) are cut into bins, each a feature of its own, s
 Learned from at most `sample` labelled rows a class, taken in the order of a hash (a documented bound); every row of the
 input is scored over its whole text. Only the text is looked at: labels, lang, source and ids never are inputs.
 
+Metadata: n_chars, where docs have it and it is not null, is cut into bins as another feature.
+
 Null text is empty text and is scored like any other. Without labels, or with one class only, the score is that class's
-share (0.5 without labels). Null labels are left out, and of rows that repeat a doc_id one is learned from.
-Columns beside doc_id and text are kept.
+share (0.5 without labels). Null labels are left out, and of rows that repeat a doc_id the one with the least text is
+learned from. Columns beside doc_id and text are kept; one named as the score is replaced.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,13 +42,13 @@ COUNT_EDGES = np.array([0, 1, 2, 4, 8, 16, 32, 64, 256, 1024, 4096])
 class Features:
     """(indices, values) of a text; bucket of each word is remembered up to a bound."""
 
-    size = BUCKETS + len(STATS) * BINS
+    size = BUCKETS + (len(STATS) + 1) * BINS
 
     def __init__(self, max_words: int = 1_000_000):
         self.known: dict[bytes, int] = {}
         self.max_words = max_words
 
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, text: str | None, n_chars: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         raw = (text or "").encode()
         words = raw.split()
         counts = Counter(words)
@@ -60,9 +63,10 @@ class Features:
             at[b] = at.get(b, 0) + k
         tf = np.log1p(np.fromiter(at.values(), dtype=np.float64, count=len(at)))
         tf /= np.sqrt((tf * tf).sum()) or 1.0
-        stats = structure(raw, words, counts)
-        index = np.concatenate([np.fromiter(at, dtype=np.int64, count=len(at)), BUCKETS + np.arange(len(STATS)) * BINS + stats])
-        return index, np.concatenate([tf, np.full(len(STATS), 1.0 / np.sqrt(len(STATS)))])
+        meta = [] if n_chars is None else [np.searchsorted(8 * COUNT_EDGES, n_chars, "right")]
+        stats = np.concatenate([structure(raw, words, counts), meta]).astype(np.int64)
+        index = np.concatenate([np.fromiter(at, dtype=np.int64, count=len(at)), BUCKETS + np.arange(len(stats)) * BINS + stats])
+        return index, np.concatenate([tf, np.full(len(stats), 1.0 / np.sqrt(len(STATS)))])
 
 
 def structure(raw: bytes, words: list[bytes], counts: Counter) -> np.ndarray:
@@ -139,22 +143,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class:
     picked = [known.where(F.col("y") == c).orderBy(order, "doc_id").limit(per_class) for c in (0, 1)]
     picked = picked[0].unionByName(picked[1]).groupBy("doc_id").agg(F.max("y").alias("y"))
     # At most 2 * per_class ids, whatever the corpus, so they can go to every task.
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    own = [c for c in ("text", "n_chars") if c in docs.columns]
+    rows = docs.select("doc_id", F.struct(*own).alias("x")).join(F.broadcast(picked), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min("x").alias("x")).select("doc_id", "y", "x.*")
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality", per_class: int = SAMPLE) -> Machine:
     schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("index", pa.list_(pa.int32())), ("value", pa.list_(pa.float32()))])
+    number = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
             d = batch.to_pydict()
-            got = [features(t) for t in d["text"]]
+            got = [features(t, n) for t, n in zip(d["text"], d["n_chars"], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(d["doc_id"], pa.int64()), pa.array(d["y"], pa.int32()), pa.array([i.astype(np.int32) for i, _ in got], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in got], pa.list_(pa.float32()))], schema=schema)
 
-    sample = labelled_sample(docs, labels, target, per_class).select("doc_id", "y", "text")
-    rows = sample.mapInArrow(run, "doc_id long, y int, index array<int>, value array<float>").toArrow().sort_by("doc_id")
-    pairs = [(np.array(i, dtype=np.int64), np.array(v, dtype=np.float64)) for i, v in zip(rows["index"].to_pylist(), rows["value"].to_pylist(), strict=True)]
+    sample = labelled_sample(docs, labels, target, per_class).select("doc_id", "y", "text", number.alias("n_chars"))
+    rows = sample.mapInArrow(run, "doc_id long, y int, index array<int>, value array<float>").toArrow().sort_by("doc_id").combine_chunks()
+    # The driver holds the sample as flat numbers; each row is a view of them.
+    index, value = (rows[c].combine_chunks().flatten().to_numpy() for c in ("index", "value"))
+    ends = np.cumsum(pc.list_value_length(rows["index"]).to_numpy()) if rows.num_rows else np.zeros(0, dtype=np.int64)
+    pairs = [(index[a:b], value[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=False)]
     return fit(pairs, rows["y"].to_numpy().astype(np.float64))
 
 
@@ -169,14 +179,17 @@ def score(docs: DataFrame, machine: Machine, out: str = "fm_score") -> DataFrame
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                got = [m.score(*features(t)) for t in part.column(part.schema.get_field_index("text")).to_pylist()]
+                texts = part.column(part.schema.get_field_index("text")).to_pylist()
+                at = part.schema.get_field_index("n_chars")
+                numbers = part.column(at).to_pylist() if at >= 0 else [None] * len(texts)
+                got = [m.score(*features(t, n)) for t, n in zip(texts, numbers, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(f.name)) for f in keep] + [pa.array(got, pa.float64())], names=[f.name for f in schema.fields])
 
     return docs.mapInArrow(run, schema)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), table(spark, sf_dir, "labels")
     out = score(docs, train(docs, labels)).drop("text")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("fm_score").alias("score"), (F.col("fm_score") >= 0.5).cast("int").alias("predicted"))
 
