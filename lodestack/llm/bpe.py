@@ -2,7 +2,7 @@
 
 The words that a batch brings anew are laid end to end as linked symbols; an index maps each adjacent pair to all its
 positions; ranks are applied in ascending order, each to its whole list, and the lists of the neighbours are updated.
-Words met before come from a cache, which is emptied when it has max_words entries.
+Words met before come from a cache, which is emptied when its words and ids take max_bytes.
 
 Null text is empty text; an empty text has no tokens. Texts of any length are split into words, so a long text costs
 what its words cost. Columns beside doc_id and text are kept.
@@ -41,6 +41,29 @@ NEWER = (
     "191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 "
     "1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f "
 )
+#: Code points (hex) of capitals that the tokenizer lower-cases and older Unicode tables do not know, and theirs.
+LOWER = "1c89:1c8a a7cb:264 a7cc:a7cd a7ce:a7cf a7d2:a7d3 a7d4:a7d5 a7da:a7db a7dc:19b 10d50-10d65:10d70 16ea0-16eb8:16ebb"
+#: Code points (hex) of combining marks that the tokenizer's tables do not know, so that it leaves them in place.
+STRANGE = (
+    "7fd 898-89f 8ca-8d3 9fe c3c d3b-d3c eba 1715 1abf-1ace 1df6-1dfa a82c 10d24-10d27 10eab-10eac 10efd-10eff 10f46-10f50 10f82-10f85 11070 1133b "
+    "1145e 11839-1183a 11930 1193d-1193e 11943 119e0 11a34 11a47 11a99 11d42 11d44-11d45 11d97 11f41-11f42 16ff0-16ff1 1e08f 1e130-1e136 1e2ae 1e2ec-1e2ef 1e4ec-1e4ef"
+)
+
+
+def _lower_table() -> dict[int, int]:
+    out = {}
+    for item in LOWER.split():
+        span, to = item.split(":")
+        first, last = (int(x, 16) for x in (span.split("-") * 2)[:2])
+        out |= {c: int(to, 16) + c - first for c in range(first, last + 1)}
+    return out
+
+
+def _class(spans: str) -> str:
+    return "".join("-".join(re.escape(chr(int(x, 16))) for x in span.split("-")) for span in spans.split())
+
+
+_LOWER, _STRANGE = _lower_table(), re.compile(f"([{_class(STRANGE)}])")
 #: The same split where a text holds only ASCII and the letters of Latin-1, which are most texts.
 PLAIN = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t-\ra-zß-öø-ÿ0-9]+"
 PLAIN_CHARS = frozenset(map(chr, [*range(128), *range(0xC0, 0x100)]))
@@ -49,7 +72,7 @@ PLAIN_CHARS = frozenset(map(chr, [*range(128), *range(0xC0, 0x100)]))
 class Merges:
     """Ranks of pairs of symbol ids, the first symbols of a byte and the added tokens, from a tokenizer file's text."""
 
-    def __init__(self, source: str, max_words: int = 1_000_000):
+    def __init__(self, source: str, max_bytes: int = 1 << 26):
         spec = json.loads(source)
         ids = spec["model"]["vocab"]
         end = spec["model"]["end_of_word_suffix"] or ""
@@ -65,12 +88,11 @@ class Merges:
         shown = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.inner = [ids[shown[b]] for b in range(256)]
         self.last = [ids[shown[b] + end] for b in range(256)]
-        newer = "".join("-".join(regex.escape(chr(int(x, 16))) for x in span.split("-")) for span in NEWER.split())
-        self.words = regex.compile(WORDS % {"new": newer}, regex.V1)
+        self.words = regex.compile(WORDS % {"new": _class(NEWER)}, regex.V1)
         self.plain = re.compile(PLAIN)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.cache: dict[str, bytes] = {}
-        self.max_words = max_words
+        self.max_bytes, self.held = max_bytes, 0
 
     def learn(self, words: list[str]) -> None:
         """Merge all these words at once."""
@@ -123,6 +145,7 @@ class Merges:
                 out.append(sym[i])
                 i = nxt[i]
             self.cache[w] = array("i", out).tobytes()
+            self.held += len(w) + 4 * len(out)
 
     def split(self, text: str) -> list[str]:
         """Words of one text; added tokens are words of their own."""
@@ -136,13 +159,16 @@ class Merges:
     def _split(self, text: str) -> list[str]:
         if PLAIN_CHARS.issuperset(text):
             return self.plain.findall(text.lower())
-        return self.words.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        parts = _STRANGE.split(text)
+        text = unicodedata.normalize("NFC", text) if len(parts) == 1 else "".join(x if i % 2 else unicodedata.normalize("NFC", x) for i, x in enumerate(parts))
+        return self.words.findall(text.replace("Σ", "σ").lower().translate(_LOWER))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Token ids of each text, as 32-bit numbers end to end."""
         split = [self.split(t) for t in texts]
-        if len(self.cache) > self.max_words:
+        if self.held > self.max_bytes:
             self.cache.clear()
+            self.held = 0
         cache = self.cache
         for s, i in self.added.items():
             cache[s] = array("i", [i]).tobytes()
@@ -198,7 +224,10 @@ def bpe_decode(df: DataFrame, tokenizer: str, ids: str = "bpe_ids", out: str = "
     with open(tokenizer, encoding="utf-8") as f:
         spec = json.load(f)
     names = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
-    shared = df.sparkSession.sparkContext.broadcast([s for s, _ in sorted(names.items(), key=lambda x: x[1])])
+    by_id = [""] * (max(names.values()) + 1)
+    for name, i in names.items():
+        by_id[i] = name
+    shared = df.sparkSession.sparkContext.broadcast(by_id)
 
     def make():
         table = pa.array(shared.value, pa.string())

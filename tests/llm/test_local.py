@@ -2,6 +2,7 @@
 
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -31,6 +32,19 @@ def test_bpe_equals_the_library(merges):
     assert ids(merges, texts) == [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_bpe_equals_the_library_on_every_code_point(merges):
+    """Alone, inside a word, among marks of two classes, and decomposed."""
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(bpe.tokenizer_path())
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Co"]
+    for make in (lambda c: f"a{c}b 1{c}{c}", lambda c: f"a\u0316{c}\u0301\u0316", lambda c: unicodedata.normalize("NFD", c) + "\u0345x"):
+        texts = ["\n".join(map(make, points[i : i + 64])) for i in range(0, len(points), 64)]
+        wrong = [i for i, (a, b) in enumerate(zip(ids(merges, texts), own.encode_batch(texts, add_special_tokens=False), strict=True)) if a != b.ids]
+        bad = [c for i in wrong for c in points[64 * i : 64 * i + 64] if ids(merges, [make(c)])[0] != own.encode(make(c), add_special_tokens=False).ids]
+        assert not wrong, [hex(ord(c)) for c in bad]
+
+
 def test_bpe_does_not_depend_on_what_else_is_in_the_batch(merges):
     texts = ["lowering the lowest lows", "aaaa aaa aa a", "mississippi"]
     together = ids(merges, texts)

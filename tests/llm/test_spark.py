@@ -54,6 +54,18 @@ def test_bpe_round_trip(odd, none):
     assert bpe.bpe_encode(none, path).count() == 0
 
 
+def test_bpe_decodes_as_the_library(spark):
+    from tokenizers import Tokenizer
+
+    path, rng = bpe.tokenizer_path(), random.Random(2)
+    own = Tokenizer.from_file(path)
+    texts = ["", "Hello  World", "a<|endoftext|>b", "ß\u0301é 12 \U0001f642\n"] + ["".join(rng.choice(["ab", " ", "é", "x1", "\n", "!?"]) for _ in range(40)) for _ in range(50)]
+    got = {r["doc_id"]: r for r in bpe.bpe_decode(bpe.bpe_encode(docs_of(spark, list(enumerate(texts))), path), path).collect()}
+    for i, t in enumerate(texts):
+        want = own.encode(t, add_special_tokens=False).ids
+        assert got[i]["bpe_ids"] == want and got[i]["bpe_text"] == own.decode(want, skip_special_tokens=False)
+
+
 def test_ledger_and_ablations(odd, none):
     rows = quality_rules.apply_policy(quality_rules.ledger(odd))
     assert {r["doc_id"]: r["kept"] for r in rows.select("doc_id", "kept").collect()}[6]
