@@ -3,11 +3,14 @@
 Base spans (email, ip, card, phone) are found by patterns, leftmost and without overlap for each kind, and always stay.
 The field then looks at a document's words: neighbours share chain potentials, distant words that are the same but for
 case and punctuation, or differ in one character, share skip potentials, and loopy belief propagation passes messages
-until marginals settle, so that a repeat in another dress (a phone without its plus, a card with a digit mistyped) gets
-the label of its twin. A word that no base span touches and whose best label is a kind becomes an added span.
-
-The potentials are learned from words that base spans label, over at most `sample` documents that have some, in the
-order of a hash (a documented bound); all documents are tagged over their whole texts. Words that look like no kind
+until they settle (at most ROUNDS times, as loops need not), so that a repeat in another dress (a phone without its plus,
+a card with a digit mistyped) gets the label of its twin. A word that no base span touches and whose best label is a kind
+becomes an added span.
+
+The weights maximise the pseudo-likelihood of the labels that base spans give to words, over at most `sample` documents
+that have some, in the order of a hash (a documented bound). Some words with a twin are dressed as words of no kind while
+learning, so that the skip weights learn how far a twin can be trusted against what a word looks like. All documents are tagged over their
+whole texts. Words that look like no kind
 (no digit, no "@") and repeat none that does have one label only, so they are constants of the field: messages pass
 between the rest, and through runs of plain words only as far as their potential goes. Null text is empty text. Columns
 beside doc_id and text are kept; rows that repeat a doc_id are tagged alike.
@@ -36,7 +39,9 @@ _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _DIGIT = re.compile(r"[0-9]")
-SAMPLE, ROUNDS, SKIP_STRENGTH = 2000, 6, 1.2
+SAMPLE, ROUNDS, SETTLED = 2000, 60, 1e-3
+#: Skip weights stay near this where the sample has no repeats to learn them from.
+SKIP_PRIOR = 1.2
 
 
 def luhn(digits: str) -> bool:
@@ -72,10 +77,10 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def shape(word: str) -> tuple[str, ...]:
     """How a word is built, from all that is told about it to the least."""
-    digits = sum(c.isdigit() for c in word)
+    digits = len(_DIGIT.findall(word))
     core = word.strip(".,;:!?*$&%#\"'()[]")
     built = re.sub(r"[A-Za-z]+", "a", re.sub(r"[0-9]+", "9", core))[:16]
-    valid = digits >= 14 and core.isdigit() and luhn(core)
+    valid = 14 <= digits == len(core) and luhn(core)
     return f"{built}|{word[:1] == '+'}|{min(digits, 24)}|{valid}", f"{built}|{word[:1] == '+'}|{valid}", f"{'@' in word}|{digits // 4 if digits < 24 else 6}|{valid}"
 
 
@@ -90,14 +95,17 @@ class Field:
     def __init__(self):
         n = len(KINDS) + 1
         self.unary: dict[str, np.ndarray] = {}
-        self.bias, self.chain = np.zeros(n), np.zeros((n, n))
+        self.bias, self.chain, self.skip = np.zeros(n), np.zeros((n, n)), np.full(n, SKIP_PRIOR)
 
     def potentials(self, word: str) -> np.ndarray:
         *exact, coarse = shape(word)
         for f in exact:
             if f in self.unary:
                 return self.bias + self.unary[f]
-        # What is known in outline only may count against a kind, never for one.
+        return self.outline(coarse)
+
+    def outline(self, coarse: str) -> np.ndarray:
+        """What is known in outline only may count against a kind, never for one."""
         e = self.bias + self.unary.get(coarse, 0.0)
         return np.minimum(e, e[0])
 
@@ -107,6 +115,14 @@ def live_words(text: str) -> list[tuple[int, int, int, str]]:
     return [(i, m.start(), m.end(), m[0]) for i, m in enumerate(_WORD.finditer(text)) if "@" in m[0] or _DIGIT.search(m[0])]
 
 
+def one_off(a: str, b: str) -> bool:
+    """Whether one character more, less or other is all that two strings differ in."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    i = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    return a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :]
+
+
 def neighbours(words: list[tuple[int, int, int, str]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Chain edges between words side by side, and skip edges that string together words of the same or a similar core."""
     chain = [(k, k + 1) for k in range(len(words) - 1) if words[k + 1][0] == words[k][0] + 1]
@@ -116,12 +132,11 @@ def neighbours(words: list[tuple[int, int, int, str]]) -> tuple[list[tuple[int,
         core = core_of(w)
         if sum(c.isdigit() for c in core) + 4 * ("@" in core) < 4:
             continue  # short numbers repeat by chance
-        # The core itself, and (for one character more, less or other) the core with each half left out.
-        half = len(core) // 2
-        for key in {f"={core}", f"<{core[:half]}{len(core)}", f">{core[-half:]}{len(core)}"}:
+        # The core itself; where one character is more, less or other, the words' first or last halves are the same.
+        keys = {f"={core}"} | {f"{side}{h}{part}" for h in {len(core) // 2, (len(core) - 1) // 2} for side, part in (("<", core[:h]), (">", core[len(core) - h :]))}
+        for key in sorted(keys):
             if key in last and words[last[key]][0] + 1 < words[k][0]:
-                other = core_of(words[last[key]][3])
-                if key[0] == "=" or sum(a != b for a, b in zip(core, other, strict=False)) <= 1:
+                if key[0] == "=" or one_off(core, core_of(words[last[key]][3])):
                     skip.add((last[key], k))
             last[key] = k
     return chain, sorted(skip)
@@ -137,7 +152,7 @@ def marginals(model: Field, words: list[tuple[int, int, int, str]], known: dict[
     if not chain and not skip:
         p = np.exp(e - e.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
-    same = np.where(np.eye(n, dtype=bool), SKIP_STRENGTH, 0.0)
+    same = np.diag(model.skip)
     a = np.array([x for x, _ in chain + skip] + [y for _, y in chain + skip])
     b = np.array([y for _, y in chain + skip] + [x for x, _ in chain + skip])
     pot = np.exp(np.array([model.chain] * len(chain) + [same] * len(skip) + [model.chain.T] * len(chain) + [same] * len(skip)))
@@ -149,7 +164,10 @@ def marginals(model: Field, words: list[tuple[int, int, int, str]], known: dict[
         out = belief[a] - msg[back]
         out = np.exp(out - out.max(axis=1, keepdims=True))
         new = np.log(np.einsum("ij,ijk->ik", out, pot) + 1e-30)
-        msg = 0.5 * msg + 0.5 * (new - new.max(axis=1, keepdims=True))
+        new, before = 0.5 * msg + 0.5 * (new - new.max(axis=1, keepdims=True)), msg
+        msg = new
+        if np.abs(msg - before).max() < SETTLED:
+            break
     belief = e.copy()
     np.add.at(belief, b, msg)
     p = np.exp(belief - belief.max(axis=1, keepdims=True))
@@ -190,29 +208,74 @@ def added_spans(text: str, base: list[tuple[int, int, str]], model: Field, thres
     return out
 
 
-def fit(texts: list[str], least: int = 5) -> Field:
-    """Smoothed log odds of the base labels by shape and of neighbours' labels; a word has the one most telling shape
-    that was met `least` times, so that its potential is what counts make it."""
+def fit(texts: list[str], least: int = 5, steps: int = 60, rate: float = 0.2, decay: float = 1e-3, seed: int = 13) -> Field:
+    """Pseudo-likelihood by Adagrad, from log odds of the base labels by shape and of neighbours' labels.
+
+    A word has the one most telling shape that was met `least` times. Of words with a twin, every other one (by chance)
+    is dressed as some word of no kind, in each step anew.
+    """
     n = len(KINDS) + 1
     model = Field()
     by: defaultdict[str, np.ndarray] = defaultdict(lambda: np.full(n, 0.5))
-    total, pairs = np.full(n, 0.5), np.full((n, n), 0.5)
+    shapes, label, chain, skip = [], [], [], []
     for t in texts:
         words = live_words(t)
         y = labels_of(words, base_spans(t))
-        lab = [y.get(i, 0) for i in range(len(words))]
-        for w, k in zip(words, lab, strict=True):
-            total[k] += 1
-            for f in shape(w[3]):
-                by[f][k] += 1
-        for i, j in zip(range(len(words)), range(1, len(words)), strict=False):
-            if words[j][0] == words[i][0] + 1:
-                pairs[lab[i], lab[j]] += 1
-    prior = total / total.sum()
+        side, far = neighbours(words)
+        at = len(label)
+        chain += [(at + i, at + j) for i, j in side]
+        skip += [(at + i, at + j) for i, j in far]
+        label += [y.get(i, 0) for i in range(len(words))]
+        shapes += [shape(w[3]) for w in words]
+    for f, k in zip(shapes, label, strict=True):
+        for name in f:
+            by[name][k] += 1
+    total, pairs = np.full(n, 0.5), np.full((n, n), 0.5)
+    np.add.at(total, label, 1)
+    for i, j in chain:
+        pairs[label[i], label[j]] += 1
+    prior, joint = total / total.sum(), pairs / pairs.sum()
     model.bias = np.log(prior)
     model.unary = {f: np.log(c / c.sum() / prior) for f, c in by.items() if c.sum() >= least + 0.5 * n}
-    joint = pairs / pairs.sum()
     model.chain = 0.5 * np.log(joint / (joint.sum(1, keepdims=True) * joint.sum(0, keepdims=True)))
+    if not label:
+        return model
+    names = sorted(model.unary)
+    place = {f: i for i, f in enumerate(names)}
+    told = np.array([next((place[f] for f in fs[:-1] if f in place), -1) for fs in shapes])
+    outline = np.array([place.get(fs[-1], -1) for fs in shapes])
+    start = np.array([model.unary[f] for f in names] + [np.zeros(n)])  # the last row is for shapes not known
+    w, y, rng = start.copy(), np.array(label), np.random.default_rng(seed)
+    one, plain = np.eye(n)[y], np.flatnonzero(y == 0)
+    (ca, cb), (sa, sb) = (np.array(e, dtype=int).reshape(-1, 2).T for e in (chain, skip))
+    twin = np.zeros(len(y), dtype=bool)
+    twin[sa], twin[sb] = True, True
+    weights = [w, model.chain, model.skip]
+    anchors, seen = [start, model.chain.copy(), np.full(n, SKIP_PRIOR)], [np.full(x.shape, 1e-4) for x in (w, model.chain, model.skip)]
+    for _ in range(steps):
+        hidden = twin & (rng.random(len(y)) < 0.5) if len(plain) else np.zeros(len(y), dtype=bool)
+        dress = np.where(hidden, rng.choice(plain, len(y)) if len(plain) else 0, np.arange(len(y)))
+        rough = told[dress] < 0
+        z = model.bias + w[np.where(rough, outline[dress], told[dress])]
+        z = np.where(rough[:, None], np.minimum(z, z[:, :1]), z)
+        hidden |= rough
+        np.add.at(z, ca, model.chain.T[y[cb]])
+        np.add.at(z, cb, model.chain[y[ca]])
+        np.add.at(z, sa, one[sb] * model.skip)
+        np.add.at(z, sb, one[sa] * model.skip)
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        g = p / p.sum(axis=1, keepdims=True) - one
+        gw, gc = np.zeros_like(w), np.zeros((n, n))
+        np.add.at(gw, told[~hidden], g[~hidden])
+        np.add.at(gc, y[ca], g[cb])
+        np.add.at(gc.T, y[cb], g[ca])
+        gs = (g[sa] * one[sb] + g[sb] * one[sa]).sum(axis=0)
+        for x, grad, anchor, past, pace in zip(weights, (gw, gc, gs), anchors, seen, (rate, rate, 5 * rate), strict=True):
+            grad = grad / len(y) + decay * (x - anchor)
+            past += grad**2
+            x -= pace * grad / np.sqrt(past)
+        w[-1] = 0
+    model.unary = dict(zip(names, w[:-1], strict=True))
     return model
 
 
