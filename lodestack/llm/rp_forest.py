@@ -1,8 +1,9 @@
 """Embedding near-dedup: a forest of random-projection trees with spill overlap, compared within leaves.
 
 Each tree splits the unit vectors again and again by random directions at the middle of what falls on them; vectors
-near the middle go both ways (spill). The upper levels are fitted on a bounded sample of at most `fit_rows` vectors,
-and every vector is routed through them; a leaf that holds more than `leaf` vectors of one label is split further, by
+near the middle go both ways (spill). The upper levels are fitted on a bounded sample of at most `fit_rows` vectors and
+FIT_NUMBERS components of each dimension, as deep as its sample carries (a dimension with few sampled vectors, or none,
+has one leaf for each tree), and every vector is routed through them; a leaf that holds more than `leaf` vectors of one label is split further, by
 directions drawn from a hash of its path and middles averaged over all its vectors, until none does or its spread is
 near the link radius: a split would cut true links there. Within a leaf every two vectors of equal label are compared in
 double precision; a leaf of more than `BLOCK` vectors by pairs of blocks, each a group of its own. A pair is counted in
@@ -11,7 +12,8 @@ the first leaf that holds both, so leaves send counts and the edges of a spannin
 Large groups of near copies are looked for in the sample. All vectors within the link radius of a group's centre leave
 the trees and are compared with every vector within twice that radius, which holds all that can link with them.
 
-Vectors that are equal in label and components are one class: a class is compared once and its members counted.
+Vectors that are equal in label and components (told by a 64-bit hash of both) are one class: a class is compared once
+and its members counted.
 Vectors that are null, zero, or hold null or non-finite components, or whose label is null, link with nothing. A null
 vec_id takes part and is never the smallest id while another is there. Rows that repeat a vec_id are vectors of their
 own. Vectors of unequal lengths never link. The sample bounds what is fitted, not what is indexed.
@@ -31,6 +33,10 @@ from .common import cut, few, table
 from .jaccard import components
 
 TREES, FIT_ROWS, DEPTH, LEAF, SPILL = 8, 50_000, 6, 600, 0.16
+#: Components of the sample that reach the driver, for each dimension; 64 MB of them.
+FIT_NUMBERS = 8_000_000
+#: Sampled vectors that a leaf of a fitted tree should have.
+FIT_LEAF = 30
 #: Leaves above this many vectors are compared by pairs of blocks of about this size.
 BLOCK = 1_000
 #: Sampled vectors whose surroundings are counted to find large groups.
@@ -97,18 +103,18 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, trees: int = TREES, d
     spark = vectors.sparkSession
     rows = cut(classes(vectors), "vectors")
     one = cut(rows.where(F.col("cls").isNotNull()).groupBy("cls", "label").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("members")).withColumn("dim", F.size("v")), "vector-classes")
-    total = one.count()
-    share = min(1.0, fit_rows / max(1, total))
-    sample = one.where(F.pmod(F.xxhash64(F.lit(seed), "cls"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).orderBy("cls").limit(2 * fit_rows).select("dim", "v", F.col("label").cast("long").alias("label")).toArrow()
-    by_dim: dict[int, list] = {}
-    for dim, v, k in zip(sample["dim"].to_pylist(), sample["v"].to_pylist(), sample["label"].to_pylist(), strict=True):
-        by_dim.setdefault(dim, []).append((v, k))
+    # Few dimensions, most often one; each is sampled by its own share.
     forest, balls = {}, {}
-    for dim, pairs in by_dim.items():
-        x = np.array([v for v, _ in pairs])
+    for dim, total in sorted((r["dim"], r["count"]) for r in one.groupBy("dim").count().collect()):
+        most = min(fit_rows, max(1, FIT_NUMBERS // dim))
+        share = min(1.0, most / total)
+        picked = one.where((F.col("dim") == dim) & (F.pmod(F.xxhash64(F.lit(seed), "cls"), F.lit(1_000_000)) < int(share * 1_000_000) + 1))
+        sample = picked.orderBy("cls").limit(2 * most).select("v", F.col("label").cast("long").alias("label")).toArrow().combine_chunks()
+        x = _matrix(sample["v"].combine_chunks()) if sample.num_rows else np.zeros((0, dim))
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        forest[dim] = [fit_tree(x, depth, seed * 1000 + t) for t in range(trees)]
-        balls[dim] = heavy(x, np.array([k for _, k in pairs]), cosine, max(20, int(leaf * share) + 1), seed)
+        deep = min(depth, max(0, int(np.log2(max(1, len(x)) / FIT_LEAF))))
+        forest[dim] = [fit_tree(x, deep, seed * 1000 + t) for t in range(trees)]
+        balls[dim] = heavy(x, sample["label"].to_numpy(), cosine, max(20, int(leaf * share) + 1), seed)
     shared = spark.sparkContext.broadcast((forest, balls))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +125,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, trees: int = TREES, d
                 at = np.flatnonzero(dims == dim)
                 x = _matrix(batch.column(2).take(pa.array(at)))
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                trees_of, balls_of = shared.value[0].get(int(dim), []), shared.value[1].get(int(dim), [])
+                trees_of, balls_of = shared.value[0][int(dim)], shared.value[1][int(dim)]
                 alone = np.ones(len(at), dtype=bool)
                 for g, (k, centre) in enumerate(balls_of):
                     p = np.where(label[at] == k, x @ centre, -2.0)

@@ -194,6 +194,28 @@ def test_forest_finds_links_of_a_large_group(spark, monkeypatch):
     assert {r["vec_id"]: r["rp_links"] for r in alone} == {i: int((y[:3000] @ y[i] >= 0.93).sum()) - 1 for i in range(3000)}
 
 
+def test_forest_knows_rare_dimensions(spark):
+    """A dimension with two vectors among hundreds, and a sample of ten: its link is found."""
+    rng = np.random.default_rng(5)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(rng.normal(size=(300, 16)).astype(np.float32))] + [(900, [1.0, 0.0, 0.5], 1), (901, [1.0, 0.01, 0.5], 1)]
+    got = {r["vec_id"]: (r["rp_links"], r["rp_component"]) for r in rp_forest.near_vectors(vectors_of(spark, rows), fit_rows=10).collect()}
+    assert got[900] == (1, 900) and got[901] == (1, 900)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_forest_recall_on_the_given_tables(spark, sf):
+    got = rp_forest.op4_vector_dedup(spark, f"/root/testdata/{sf}").toPandas().set_index("vec_id")
+    t = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").where("embedding IS NOT NULL AND label IS NOT NULL").toPandas()
+    t = t[[len(v) > 0 and np.isfinite(np.asarray(v, dtype=float)).all() and np.any(v) for v in t["embedding"]]]
+    want = dict.fromkeys(got.index, 0)
+    for _, g in t.groupby([t["label"], t["embedding"].map(len)]):
+        x = np.stack(g["embedding"]).astype(np.float64)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        want |= dict(zip(g["vec_id"], (x @ x.T >= 0.93).sum(axis=1) - 1, strict=True))
+    want = np.array([want[i] for i in got.index])
+    assert (got["n_links"].to_numpy() <= want).all() and got["n_links"].sum() >= 0.9 * want.sum()
+
+
 def test_forest_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], 1), (4, [1.0, 0.0], 2), (5, None, 1), (6, [0.0, 0.0], 1), (7, [nan, 1.0], 1), (8, [inf, 1.0], 1), (9, [1.0, None], 1), (10, [1.0, 0.0], None), (11, [1.0], 1), (12, [], 1)]
