@@ -72,7 +72,7 @@ PLAIN_CHARS = frozenset(map(chr, [*range(128), *range(0xC0, 0x100)]))
 class Merges:
     """Ranks of pairs of symbol ids, the first symbols of a byte and the added tokens, from a tokenizer file's text."""
 
-    def __init__(self, source: str, max_bytes: int = 1 << 26):
+    def __init__(self, source: str, max_bytes: int = 1 << 27):
         spec = json.loads(source)
         ids = spec["model"]["vocab"]
         end = spec["model"]["end_of_word_suffix"] or ""
@@ -145,7 +145,7 @@ class Merges:
                 out.append(sym[i])
                 i = nxt[i]
             self.cache[w] = array("i", out).tobytes()
-            self.held += len(w) + 4 * len(out)
+            self.held += len(w) + 4 * len(out) + 200  # what Python itself takes for an entry
 
     def split(self, text: str) -> list[str]:
         """Words of one text; added tokens are words of their own."""

@@ -41,7 +41,7 @@ HOT = 2_000
 #: Comparisons of rows for each row of a shared shingle that are made without looking for centres first.
 CHEAP = 20
 #: Bytes of texts that are hashed at a time.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 20
 #: Parities of a node's set, 64 to a column.
 PARITY = [f"g{i}" for i in range(8)]
 
