@@ -12,6 +12,8 @@ from . import vocab
 
 #: What separates words of letters, digits and underscores.
 NOT_WORD = r"[^\p{L}\p{N}_]+"
+#: One character, or an end of the text, that a word is set off by.
+NOT_IN_WORD = r"[^\p{L}\p{N}_]"
 UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}_"
 
 
@@ -57,25 +59,40 @@ def key_tokens(c, stop=vocab.STOP_WORDS) -> Column:
     return F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(*stop))
 
 
+def whole_word(pattern: str) -> str:
+    """pattern where it is a whole word; it takes the word alone, not what stands around it."""
+    return rf"(?<![\p{{L}}\p{{N}}_])(?:{pattern})(?![\p{{L}}\p{{N}}_])"
+
+
+def any_word(patterns) -> str:
+    """Any of the patterns as whole words, in a form that other engines read too. To ask whether a text has one."""
+    return f"(^|{NOT_IN_WORD})({'|'.join(patterns)})($|{NOT_IN_WORD})"
+
+
+def folded(c) -> Column:
+    """Lower case without accents; everything else as it is."""
+    return fold_accents(F.lower(F.coalesce(col(c), F.lit(""))))
+
+
 def words_of(c) -> Column:
     return F.split(col(c), NOT_WORD)
 
 
 def fault_tokens(c, hints=vocab.FAULT_HINTS) -> Column:
     """Codes of up to five letters and three digits, with a digit or among the hints; in order, once each."""
-    words = F.filter(words_of(F.lower(col(c))), lambda w: w.rlike("^[a-z]{1,5}[0-9]{0,3}$"))
-    words = F.transform(words, F.upper)
-    return F.array_distinct(F.filter(words, lambda w: w.rlike("[0-9]") | w.isin(*hints)))
+    listed = "|".join(h.lower() for h in hints if re.fullmatch("[A-Z]{1,5}[0-9]{0,3}", h))
+    found = F.regexp_extract_all(F.lower(col(c)), F.lit(whole_word(f"[a-z]{{1,5}}[0-9]{{1,3}}|{listed}")), 0)
+    return F.array_distinct(F.transform(found, F.upper))
 
 
 def has_fault_code(c, hints=vocab.FAULT_HINTS) -> Column:
     up = F.upper(col(c))
-    return up.rlike("|".join(hints)) | F.exists(words_of(up), lambda w: w.rlike("^[A-Z]{1,4}[0-9]{0,3}$"))
+    return up.rlike("|".join(hints)) | up.rlike(whole_word("[A-Z]{1,4}[0-9]{0,3}"))
 
 
 def controller_tokens(c) -> Column:
-    words = F.filter(words_of(F.upper(col(c))), lambda w: w.rlike("^[A-Z]{2,6}[0-9]{1,5}[A-Z]{0,3}$") & ~w.isin(*vocab.NOT_CONTROLLERS))
-    return F.array_distinct(words)
+    found = F.regexp_extract_all(F.upper(col(c)), F.lit(whole_word("[A-Z]{2,6}[0-9]{1,5}[A-Z]{0,3}")), 0)
+    return F.array_distinct(F.filter(found, lambda w: ~w.isin(*vocab.NOT_CONTROLLERS)))
 
 
 def version_tokens(c) -> Column:
@@ -85,8 +102,8 @@ def version_tokens(c) -> Column:
 
 def topics(c, patterns=vocab.TOPICS) -> Column:
     """Topics whose pattern stands in the text to match by, in the order given."""
-    t = normalize_for_matching(c, spaces=True)
-    return F.array_compact(F.array(*[F.when(t.rlike(p), F.lit(k)) for k, p in patterns.items()]))
+    listed = lambda t: F.array_compact(F.array(*[F.when(t.rlike(p), F.lit(k)) for k, p in patterns.items()]))
+    return let(normalize_for_matching(c, spaces=True), listed)
 
 
 def domain_signals(c, chars: int = 6000) -> Column:
@@ -115,11 +132,19 @@ def context_snippet(c, term: str, before: int = 100, after: int = 200) -> Column
     return F.when(at > 0, F.translate(F.substr(c, start, at - start + after), "\n", " "))
 
 
-def rewrite_flags(c, foreign=("the", "und", "para", "avec")) -> Column:
-    """How an answer looks wrong: broken characters, runs of very short words, words of other languages."""
-    words = F.split(F.lower(col(c)), " ")
-    hits = sum((F.array_contains(words, w).cast("int") for w in foreign[1:]), F.array_contains(words, foreign[0]).cast("int"))
-    return F.struct(col(c).contains("�").alias("broken"), col(c).rlike(r"(^| )[A-Za-z]{1,2} [A-Za-z]{1,2} [A-Za-z]{1,2}( |$)").alias("short_words"), (hits >= 2).alias("foreign"))
+#: White space as Unicode has it.
+BLANK = r"[\s\x0B\x{1c}-\x{1f}\x{85}\p{Z}]"
+SHORT_WORDS = any_word([f"[a-z]{{1,2}}{BLANK}+[a-z]{{1,2}}{BLANK}+[a-z]{{1,2}}"])
+
+
+def rewrite_flags(c, foreign=vocab.FOREIGN_MARKERS) -> Column:
+    """How an answer looks wrong: broken characters, three very short words in a row, two words of other languages or a
+    foreign citation; `rewrite` if any. A null text is empty and looks right."""
+    low = F.lower(F.coalesce(col(c), F.lit("")))
+    broken, short, cited = low.contains("\ufffd"), low.rlike(SHORT_WORDS), low.rlike(f"\U0001f4c4{BLANK}*fuente")
+    hits = let(fold_accents(low), lambda f: sum((f.rlike(any_word([w])).cast("int") for w in foreign), F.lit(0)))
+    flags = F.struct(broken.alias("broken"), short.alias("short_words"), (hits >= 2).alias("foreign"), cited.alias("cited"))
+    return let(flags, lambda x: x.withField("rewrite", x["broken"] | x["short_words"] | x["foreign"] | x["cited"]))
 
 
 def bad_question(c, endings=("of", "the", "de", "la", "to", "in")) -> Column:
@@ -129,13 +154,31 @@ def bad_question(c, endings=("of", "the", "de", "la", "to", "in")) -> Column:
     return (c == "") | (F.size(F.split(c, r"\s+")) < 5) | ~c.endswith("?") | (count("(") != count(")")) | F.lower(c).rlike(r"\b(" + "|".join(endings) + r")\s*\?$")
 
 
-def intent_flags(c) -> Column:
-    """Greeting only, identifier given, symptom told, technical: each one pattern over the text to match by."""
-    t = normalize_for_matching(c, spaces=True)
-    return F.struct(
-        t.rlike(r"^(oi|ola|hi|hello|bom dia|boa tarde|thanks|obrigado)?$").alias("greeting"), t.rlike(r"\b[a-z]{1,6}[0-9]{1,5}[a-z]{0,3}\b").alias("identifier"),
-        t.rlike(r"\b(erro|falha|defeito|error|fault|nao)\b").alias("symptom"), t.rlike(r"\b(placa|porta|drive|inversor|cabo|motor|sensor)\b").alias("technical"),
-    )
+def intent_flags(c, brand=None, brands=(), names=(), manuals=()) -> Column:
+    """What a question asks for, over its folded text.
+
+    greeting: nothing but one. cross_brand: brands are named, and none of them is part of the current one or has it as
+    its part. identifier: an equipment code or one of `names` (patterns). meta_docs: about the documents themselves.
+    general_manual: a general manual, also by one of `manuals`. door_cycle: a door that opens and closes or a start that
+    fails at a door. technical: a technical question.
+    """
+    own = F.lower(F.coalesce(col(brand), F.lit(""))) if brand is not None else F.lit("")
+
+    def flags(t: Column) -> Column:
+        named = F.array_compact(F.array(*[F.when(t.rlike(any_word([re.escape(b)])), F.lit(b)) for b in brands]) if brands else F.array().cast("array<string>"))
+        compact = F.trim(F.regexp_replace(t, r"[!?.\s]+", " "))
+        return F.struct(
+            compact.isin(*vocab.GREETINGS).alias("greeting"), let(named, lambda n: (F.size(n) > 0) & F.forall(n, lambda b: ~(F.contains(own, b) | F.contains(b, own)))).alias("cross_brand"),
+            F.replace(t, F.lit("+"), F.lit(" ")).rlike(any_word([*vocab.MODEL_CODES, *names])).alias("identifier"), t.rlike("|".join(vocab.META_DOCS)).alias("meta_docs"),
+            t.rlike(any_word([*vocab.GENERAL_MANUAL, *manuals])).alias("general_manual"), (t.rlike(any_word(vocab.DOOR)) & t.rlike(f"{vocab.DOOR_CYCLE}|{vocab.NO_START}")).alias("door_cycle"), technical(t).alias("technical"),
+        )
+
+    return let(folded(c), flags)
+
+
+def technical(t: Column) -> Column:
+    """Whether folded text asks something technical."""
+    return t.rlike(any_word(vocab.TECHNICAL)) | t.rlike(f"(^|{NOT_IN_WORD})({'|'.join(vocab.TECHNICAL_BEGINNINGS)})")
 
 
 def expand_query(c, aliases: dict[str, tuple[str, ...]]) -> Column:
@@ -213,12 +256,11 @@ def extraction_score(c) -> Column:
 def readable_gate(c, min_chars: int = 200) -> Column:
     """The first reason why a text does not read like prose, or "ok"."""
     c = col(c)
-    words = F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    n = F.size(words)
+    n = F.regexp_count(c, F.lit(r"\S+"))
     count = lambda s: (F.length(c) - F.length(F.replace(c, F.lit(s), F.lit("")))) / len(s)
-    chars = F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w))
+    chars = F.length(F.regexp_replace(c, r"\s+", ""))
     letters = F.length(F.regexp_replace(c, r"\P{L}", ""))
-    long = F.size(F.filter(words, lambda w: F.length(w) > 25))
+    long = F.regexp_count(c, F.lit(r"\S{26,}"))
     return (
         F.when(F.length(c) < min_chars, "short").when(n < 5, "few_words").when(count("|") >= 6, "table").when(long > F.greatest(F.lit(2.0), n * 0.08), "merged_words")
         .when(count("Ôö") + count("Ôäó") + count("ÔöÔö") > 4, "box_marks").when(chars / n > 14, "long_words").when(letters / F.length(c) < 0.35, "few_letters").otherwise("ok")

@@ -1,7 +1,8 @@
-"""Vocabularies that the rules take as parameters, with neutral defaults.
+"""Vocabularies that the rules take as parameters.
 
-Everything here is a fixed value: word lists and patterns that must equal those of the retrieval application whose
-results are to be matched, without any vendor's names.
+Fixed values, down to PLANS: word lists and patterns that must equal those of the retrieval application whose results
+are to be matched. Lists of a vendor's products are left out; callers pass their own. Patterns are for text without
+accents.
 """
 
 STOP_WORDS = ("de", "do", "da", "dos", "das", "um", "uma", "o", "a", "os", "as", "e", "ou", "em", "no", "na", "nos", "nas", "com", "para", "por", "se", "que", "pdf")
@@ -20,5 +21,34 @@ NOT_CONTROLLERS = ("HTTP", "HTTPS", "PAGE", "PDF")
 VERSION = r"\b(GEN\s?\d|G\d|V\d{1,2}|VERSAO\s?\d{1,2})\b"
 GENERIC_PHRASES = ("contém uma tabela", "a página contém", "análise da página", "extração detalhada", "não foi possível")
 TABLE_PHRASES = ("indicação do display", "ação corretiva", "códigos de falhas")
+GREETINGS = ("oi", "ola", "bom dia", "boa tarde", "boa noite", "e ai", "opa")
+META_DOCS = (
+    r"quais\s+(modelos?|documentos?|manuais)", r"que\s+(modelos?|documentos?|manuais)", r"quais\s+equipamentos", r"lista\s+de\s+(modelos?|documentos?)",
+    r"voces?\s+tem\s+documentac", r"me\s+(lista|mostra|diz)\s+(os|quais)",
+)
+GENERAL_MANUAL = (r"nocoes\s*gerais", r"falhas\s*comuns")
+DOOR = ("porta", "dw", "dfc")
+DOOR_CYCLE = r"abr(e|indo)[^\n]*(fech|fecha)|fech(a|ando)[^\n]*(abr|abre)"
+NO_START = r"nao\s+parte|nao\s+sobe|nao\s+arranca|nao\s+anda"
+MODEL_CODES = (r"[a-z]{1,5}\s?-?\s?[0-9]{1,5}[a-z]?", r"[0-9]{3,5}[a-z]{0,3}", r"gen\s?[0-9][a-z]*|g[0-9]", r"[a-z]{3}[0-9]{4,}[a-z]*")
+TECHNICAL = (
+    "falha", "erro", "codigo", "defeito", "problema", r"nao\s+funciona", r"nao\s+liga", r"nao\s+sobe", r"nao\s+desce", r"nao\s+fecha", r"nao\s+abre", r"abre\s+e\s+fecha",
+    "porta", "trinco", "intertrav", "dw", "dfc", "es", "ligacao", "esquema", "placa", "drive", "inversor", "calibracao", "ajuste", "manual", "resgate", "freio", "encoder", "motor",
+)
+#: These also count as the beginning of a longer word.
+TECHNICAL_BEGINNINGS = ("parametr", "configura", "nivel", "vibra")
+GENERIC_INDICATORS = ("qualquer", "todos", "geral", "tudo")
+TROUBLE = ("troubleshooting", r"divers[oa]s?\s+falhas|falhas\s+divers[oa]s?")
+FOREIGN_MARKERS = ("fuente", "pagina", "averia", "falla", "usted", "puede", "source", "page", "warning", "please", "check", r"error\ code")
+CLARIFY_MARKERS = (
+    "preciso destes dados", "me confirme", "me informe", "para te responder com precisão", "qual desses equipamentos", "poderia informar", "me diga", "você está trabalhando",
+    "me especifique", "preciso saber", "confirme o modelo", "qual geração", "informe o modelo", "qual desses",
+)
+CHOICES = ("qual desses", "qual modelo", "qual equipamento", "qual placa")
+TABLE_SEPARATOR = r"^\|?\s*[:\-]{2,}(\s*\|\s*[:\-]{2,})+\|?$"
+CONTINUED = " [continuação] | "
+
+# Invented from here on.
+
 #: Plans with their monthly price and daily limit of queries; null is no limit.
 PLANS = {"AUTOMOBILE": (49.0, 5), "BUILDING": (99.0, 20), "FURNITURE": (19.0, 1), "HOUSEHOLD": (29.0, 2), "MACHINERY": (199.0, None)}

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions import vocab
 
 NONE = "array<string>"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
-SEPARATOR = r"^\|?\s*[:\-]{2,}(\s*\|\s*[:\-]{2,})+\|?$"
 
 
 def lines_of(c: Column) -> Column:
@@ -24,16 +24,21 @@ def _key(c: Column) -> Column:
 def first_of_each(chunks: Column, limit: int | None) -> Column:
     """Chunks whose key (spaces and case apart) has not come before, in order."""
     fresh = lambda cs, keys: F.filter(cs, lambda c, i: F.array_position(keys, F.get(keys, i)) == i + 1)
-    kept = t.let(chunks, lambda cs: t.let(F.transform(cs, _key), lambda keys: fresh(cs, keys)))
-    return kept if limit is None else F.slice(kept, 1, limit)
+    if limit is None:
+        return t.let(chunks, lambda cs: t.let(F.transform(cs, _key), lambda keys: fresh(cs, keys)))
+    # One fold that holds no more than `limit` keys.
+    start = F.struct(F.array().cast(NONE).alias("kept"), F.array().cast(NONE).alias("keys"))
+    add = lambda s, c, k: F.struct(F.concat(s["kept"], F.array(c)).alias("kept"), F.concat(s["keys"], F.array(k)).alias("keys"))
+    step = lambda s, c: F.when(F.size(s["kept"]) >= limit, s).otherwise(t.let(_key(c), lambda k: F.when(F.array_contains(s["keys"], k), s).otherwise(add(s, c, k))))
+    return F.aggregate(chunks, start, step, lambda s: s["kept"])
 
 
-def table_row_chunks(lines: Column, limit: int = 4) -> Column:
+def table_row_chunks(lines: Column, limit: int | None = 4) -> Column:
     """Rows of pipe tables: a first cell with a code opens a row and later lines join it. One fold over the lines."""
     bare = lambda x: F.regexp_replace(x, r"^\|+|\|+$", "")
-    first = lambda cells: F.coalesce(F.get(F.filter(t.words_of(F.upper(F.get(cells, F.lit(0)))), lambda w: w.rlike("^[A-Z]{1,4}[0-9]{0,3}$")), F.lit(0)), F.lit(""))
+    first = lambda cells: F.coalesce(F.regexp_extract(F.upper(F.get(cells, F.lit(0))), t.whole_word("[A-Z]{1,4}[0-9]{0,3}"), 0), F.lit(""))
     piped = F.filter(lines, lambda x: x.contains("|"))
-    body = F.transform(F.filter(piped, lambda x: ~x.rlike(SEPARATOR)), lambda x: F.struct(x.alias("line"), F.transform(F.split(bare(x), r"\|"), lambda x: F.trim(x)).alias("cells")))
+    body = F.transform(F.filter(piped, lambda x: ~x.rlike(vocab.TABLE_SEPARATOR)), lambda x: F.struct(x.alias("line"), F.transform(F.split(bare(x), r"\|"), lambda x: F.trim(x)).alias("cells")))
     body = F.transform(body, lambda x: F.struct(x["line"].alias("line"), x["cells"].alias("cells"), first(x["cells"]).alias("code")))
     start = F.struct(F.array().cast(NONE).alias("done"), F.lit("").alias("open"), F.lit("").alias("code"))
     closed = lambda s: F.when(s["open"] != "", F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"])
@@ -41,7 +46,7 @@ def table_row_chunks(lines: Column, limit: int = 4) -> Column:
     def step(s: Column, x: Column) -> Column:
         opens = F.struct(closed(s).alias("done"), x["line"].alias("open"), x["code"].alias("code"))
         rest = F.array_join(F.slice(x["cells"], F.lit(2), F.greatest(F.size(x["cells"]) - 1, F.lit(0))), " | ")
-        line = F.when((s["code"] != "") & (F.get(x["cells"], F.lit(0)) == ""), F.concat(F.lit("| "), s["code"], F.lit(" [continuação] | "), rest)).otherwise(x["line"])
+        line = F.when((s["code"] != "") & (F.get(x["cells"], F.lit(0)) == ""), F.concat(F.lit("| "), s["code"], F.lit(vocab.CONTINUED), rest)).otherwise(x["line"])
         joins = F.struct(s["done"].alias("done"), F.concat(s["open"], F.lit("\n"), line).alias("open"), s["code"].alias("code"))
         return F.when(x["code"] != "", opens).when(s["open"] != "", joins).otherwise(s)
 
@@ -77,7 +82,7 @@ def build_chunks(pages: DataFrame, text: str = "text", max_chunks: int | None =
     c = F.trim(F.coalesce(F.col(text), F.lit("")))
     prepared = pages.withColumn("_text", c)
     hits = lambda ls: F.transform(ls, lambda x: t.has_fault_code(x))
-    many = t.let(lines_of(F.col("_text")), lambda ls: F.concat(table_row_chunks(ls), code_line_windows(ls, hits(ls)), broad_windows(ls)))
+    many = t.let(lines_of(F.col("_text")), lambda ls: F.concat(table_row_chunks(ls, None if max_chunks is None else 4), code_line_windows(ls, hits(ls)), broad_windows(ls)))
     some = t.let(first_of_each(many, max_chunks), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(F.array("_text")))
     chunks = F.when(F.col("_text") == "", F.array().cast(NONE)).when(F.length("_text") <= 2000, F.array("_text")).otherwise(some)
     return prepared.withColumn("chunks", chunks).drop("_text")

@@ -5,33 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What shows that an answer asks back.
-STRONG_MARKERS = ("could you tell", "please specify", "which model", "preciso saber", "poderia informar")
-CHOICE = r"(which|what kind of|qual|quais)\b[^?]*\?$"
-
+from ..functions import vocab
 
 def classify_answer(text: Column, n_sources: Column, flagged: Column | None = None) -> Column:
-    """CLARIFY if flagged, with a strong marker or an unsourced question early, or if the last sentence asks to choose."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    early = F.substring(low, 1, 500)
-    marked = early.rlike("|".join(STRONG_MARKERS))
+    """CLARIFY if flagged, with a strong marker or an unsourced question early, or if the last sentence asks to choose.
+
+    The last sentence begins behind the last dot that is not among the last five characters, or at the second character.
+    """
+    c = F.coalesce(text, F.lit(""))
+    early = F.lower(F.substring(c, 1, 500))
+    marked = early.rlike("|".join(vocab.CLARIFY_MARKERS))
     asks = (n_sources == 0) & early.contains("?")
-    last = F.element_at(F.split(F.trim(low), r"[.!\n]"), -1)
-    chooses = (n_sources > 0) & F.trim(low).endswith("?") & last.rlike(CHOICE)
+    head = F.substr(c, F.lit(1), F.greatest(F.length(c) - 5, F.lit(0)))
+    dot = F.length(head) - F.length(F.element_at(F.split(head, r"\.", -1), -1))
+    last = F.lower(F.substr(c, F.greatest(dot, F.lit(1)) + 1))
+    chooses = (n_sources > 0) & c.rlike(r"\?\s*$") & last.rlike("|".join(vocab.CHOICES))
     yes = marked | asks | chooses
     return F.when(yes if flagged is None else yes | F.coalesce(flagged, F.lit(False)), "CLARIFY").otherwise("ANSWER")
 
 
 def grade_answers(cases: DataFrame, answers: DataFrame) -> DataFrame:
-    """id, grade. cases: id, expected, docs, terms, forbidden; answers: id, kind, text, sources; no answer is an error."""
+    """id, category, expected, kind, grade.
+
+    cases: id, category, expected, docs, terms, forbidden; answers: id, kind, text, sources and, if told, flagged. No
+    answer is an error, a forbidden term a failure. An expected CLARIFY must ask back; an expected ANSWER may only if it
+    has one of the terms; DISAMBIGUATE passes either way. What passes is partial if no expected document is part of a
+    source's name or of the answer, unless the answer was flagged as asking back.
+    """
+    if "flagged" not in answers.columns:
+        answers = answers.withColumn("flagged", F.lit(False))
     low = F.lower(F.coalesce("text", F.lit("")))
-    has = lambda c: F.exists(F.coalesce(c, F.array().cast("array<string>")), lambda x: low.contains(F.lower(x)))
-    wrong_docs = (F.size(F.coalesce("docs", F.array().cast("array<string>"))) > 0) & ~F.coalesce(F.arrays_overlap("docs", "sources"), F.lit(False))
-    grade = (
-        F.when(F.col("kind").isNull(), "error").when(has("forbidden"), "fail")
-        .when((F.col("expected") == "ANSWER") & (F.col("kind") == "CLARIFY"), F.when(has("terms"), "partial").otherwise("fail"))
-        .when((F.col("expected") == "CLARIFY") & (F.col("kind") != "CLARIFY"), "fail").when(wrong_docs, "partial").otherwise("pass")
-    )
+    named = F.lower(F.concat_ws(" ", "sources"))
+    listed = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    has = lambda c: F.exists(listed(c), lambda x: low.contains(F.lower(x)))
+    found = F.exists(listed("docs"), lambda x: low.contains(F.lower(x)) | named.contains(F.lower(x)))
+    wrong_docs = (F.size(listed("docs")) > 0) & ~found & ~F.coalesce("flagged", F.lit(False))
+    asks = F.col("kind") == "CLARIFY"
+    passed = F.when(F.col("expected") == "CLARIFY", asks).when(F.col("expected") == "ANSWER", ~asks | has("terms")).otherwise(F.col("expected") == "DISAMBIGUATE")
+    grade = F.when(F.col("kind").isNull(), "error").when(has("forbidden") | ~passed, "fail").when(wrong_docs, "partial").otherwise("pass")
     return cases.join(answers, "id", "left").select("id", "category", "expected", "kind", grade.alias("grade"))
 
 

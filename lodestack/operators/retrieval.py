@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from .chunking import embed
 
 #: Queries that one scan of the chunks compares; more of them take more scans.
 QUERY_BLOCK = 4096
@@ -159,6 +160,20 @@ def identifier_bonus(text, name, signals, identifiers) -> Column:
     return F.struct(bonus.alias("bonus"), (hits > 0).alias("hit"))
 
 
+def multi_query(queries: DataFrame, chunks: DataFrame, embed_fn, dimension: int, first: int = 3, top: int = 20, least: float = 0.4) -> DataFrame:
+    """(query_id, chunk_id, similarity) of the best chunks for each query's first keywords, each with a vector of its own.
+
+    queries: query_id, brand, text; embed_fn as for chunking.embed. Of a query's first three keywords those of two
+    characters or more count; a chunk that several find keeps the first one's similarity.
+    """
+    listed = F.slice(t.search_keywords("text"), 1, first)
+    words = queries.select("query_id", "brand", F.posexplode(listed).alias("n", "keyword")).where(F.length("keyword") >= 2)
+    words = embed(words, embed_fn, dimension, "keyword")
+    found = cosine_topk(words.select((F.col("query_id") * first + F.col("n")).alias("query_id"), "brand", "vector"), chunks, top, least)
+    found = found.select(F.floor(F.col("query_id") / first).cast("long").alias("query_id"), "chunk_id", F.struct(F.pmod("query_id", F.lit(first)).alias("n"), "similarity").alias("x"))
+    return found.groupBy("query_id", "chunk_id").agg(F.min("x").alias("x")).select("query_id", "chunk_id", "x.similarity")
+
+
 def union_candidates(phases: list[DataFrame], keys: list[str]) -> DataFrame:
     """Candidates of all phases; of equal keys the earliest phase's row stays."""
     tagged = None
@@ -194,11 +209,11 @@ def diversify(rows: DataFrame, k: int, per_doc: int = 3, order=None) -> DataFram
     return ranked.withColumn("rank", final).where(F.col("rank") <= k).drop("_place", "_nth")
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, keyword_vectors: DataFrame | None = None, top_k: int = 7) -> DataFrame:
+def hybrid_search(queries: DataFrame, chunks: DataFrame, by_keyword: DataFrame | None = None, top_k: int = 7) -> DataFrame:
     """Ranked chunks for every query.
 
-    queries: query_id, brand, text, vector; chunks: chunk_id, doc_id, brand, name, text, vector. keyword_vectors
-    (query_id, brand, vector) adds matches of single keywords. Returns query_id, chunk_id, doc_id, score, hit, rank.
+    queries: query_id, brand, text, vector; chunks: chunk_id, doc_id, brand, name, text, vector. by_keyword: what
+    multi_query gives, if keywords can be embedded. Returns query_id, chunk_id, doc_id, score, hit, rank.
     """
     from ..sources.scratch import cut
 
@@ -215,8 +230,8 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, keyword_vectors: DataFr
     near = wanted.join(chunks.select("doc_id", "chunk_id", "brand", F.col("vector").alias("v")), "doc_id").join(q.select("query_id", "brand", "vector"), ["query_id", "brand"])
     near = near.select("query_id", "doc_id", "chunk_id", cosine("vector", "v").alias("similarity"))
     phases.append(inject_docs(wanted, by_vector.join(ids, "chunk_id"), near).select("query_id", "chunk_id", "similarity"))
-    if keyword_vectors is not None:
-        phases.append(cosine_topk(keyword_vectors, chunks, 20, 0.4).select("query_id", "chunk_id", "similarity"))
+    if by_keyword is not None:
+        phases.append(by_keyword.select("query_id", "chunk_id", "similarity"))
     rows = union_candidates(phases, ["query_id", "chunk_id"]).join(chunks.select("chunk_id", "doc_id", F.col("brand").alias("chunk_brand"), "name", F.col("text").alias("chunk")), "chunk_id")
     rows = rows.join(q.select("query_id", "brand", "text"), "query_id").where(F.col("brand") == F.col("chunk_brand"))
     rows = rows.withColumns({"signals": t.domain_signals("chunk"), "ids": t.query_identifiers("text"), "keys": t.search_keywords("text"), "faults": t.fault_tokens("text")})
@@ -299,10 +314,10 @@ def ambiguous_equipment(rows: DataFrame, codes: tuple[str, ...], name: str, firs
 def alternative_docs(known: DataFrame, edges: DataFrame, docs: DataFrame, returned: DataFrame, per_model: int = 2, cap: int = 5) -> DataFrame:
     """Documents of models that share a part with the known model, two each by name, without those returned; five at most.
 
-    known: query_id, model; edges: model, part; docs: model, doc; returned: query_id, doc.
+    known: query_id, model; edges: model, part; docs: model, doc; returned: query_id, doc, or doc for all queries.
     """
     shared = known.join(edges, "model").select("query_id", F.col("model").alias("own"), "part").join(edges, "part").where(F.col("model") != F.col("own")).select("query_id", "model").distinct()
     w = Window.partitionBy("query_id", "model").orderBy("doc")
     picked = shared.join(docs, "model").withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_model).select("query_id", "doc").distinct()
-    left = picked.join(returned.select("query_id", "doc"), ["query_id", "doc"], "left_anti")
+    left = picked.join(returned, [c for c in ("query_id", "doc") if c in returned.columns], "left_anti")
     return left.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("doc"))).where(F.col("k") <= cap)

@@ -51,6 +51,11 @@ def chunks_of(spark, d):
     return load(spark, d, "documents").select(F.sha2(F.col("doc_id").cast("string"), 256).alias("id"), F.col("source").alias("brand_slug"), "doc_id", F.lit(1).alias("page_number"), F.concat_ws("/", "source", "lang").alias("doc_filename"), F.length("text").alias("n"))
 
 
+@query("s2_file_inventory")
+def s2(spark, d):
+    return s.file_inventory(spark, d, "*.parquet")
+
+
 @query("s3_read_write_chunks", "SELECT brand_slug, count(*) AS n, sum(n)::BIGINT AS chars FROM (SELECT source AS brand_slug, length(text) AS n FROM documents) GROUP BY 1")
 def s3(spark, d):
     from ..sources.scratch import cut

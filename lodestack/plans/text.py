@@ -120,10 +120,22 @@ def t11(spark, d):
     return load(spark, d, "pages").select("page_id", t.display_name("url").alias("name"))
 
 
-@query("t12_intent_flags", f"""WITH q AS (SELECT doc_id, {norm('text', chr(92) + 's')} AS t FROM documents) SELECT doc_id, regexp_full_match(t, '(oi|ola|hi|hello|bom dia|boa tarde|thanks|obrigado)?') AS greeting,
-  regexp_matches(t, '\\b[a-z]{{1,6}}[0-9]{{1,5}}[a-z]{{0,3}}\\b') AS identifier, regexp_matches(t, '\\b(erro|falha|defeito|error|fault|nao)\\b') AS symptom, regexp_matches(t, '\\b(placa|porta|drive|inversor|cabo|motor|sensor)\\b') AS technical FROM q""")
+#: The brands that questions may name, the patterns of a caller's products and manuals: stand-ins that the texts have.
+BRANDS, NAMES, MANUALS = ("the", "der", "de", "license"), (r"mit\s+license",), (r"manual\s*geral",)
+
+
+def _any(x: str, patterns) -> str:
+    return f"regexp_matches({x}, '{t.any_word(patterns)}')"
+
+
+@query("t12_intent_flags", f"""WITH q AS (SELECT doc_id, lower(coalesce(lang, '')) AS own, strip_accents(lower(coalesce(text, ''))) AS t FROM documents),
+  b AS (SELECT *, list_filter([{', '.join(f"'{b}'" for b in BRANDS)}], lambda b: regexp_matches(t, '(^|{t.NOT_IN_WORD})' || b || '($|{t.NOT_IN_WORD})')) AS named FROM q)
+  SELECT doc_id, {in_list(r"trim(regexp_replace(t, '[!?.\s]+', ' ', 'g'))", vocab.GREETINGS)} AS greeting, length(named) > 0 AND length(list_filter(named, lambda b: contains(own, b) OR contains(b, own))) = 0 AS cross_brand,
+    {_any("replace(t, '+', ' ')", (*vocab.MODEL_CODES, *NAMES))} AS identifier, regexp_matches(t, '{"|".join(vocab.META_DOCS)}') AS meta_docs, {_any('t', (*vocab.GENERAL_MANUAL, *MANUALS))} AS general_manual,
+    {_any('t', vocab.DOOR)} AND regexp_matches(t, '{vocab.DOOR_CYCLE}|{vocab.NO_START}') AS door_cycle, {_any('t', vocab.TECHNICAL)} OR regexp_matches(t, '(^|{t.NOT_IN_WORD})({"|".join(vocab.TECHNICAL_BEGINNINGS)})') AS technical FROM b""")
 def t12(spark, d):
-    return load(spark, d, "documents").select("doc_id", t.intent_flags("text").alias("f")).select("doc_id", "f.*")
+    flags = t.intent_flags("text", "lang", BRANDS, NAMES, MANUALS)
+    return load(spark, d, "documents").select("doc_id", flags.alias("f")).select("doc_id", "f.*")
 
 
 ALIASES = {"error": ("fault", "failure"), "the": ("der", "la")}
@@ -142,9 +154,9 @@ def t13_whole(spark, d):
     return docs.select("doc_id", t.expand_query("text", ALIASES).alias("q"))
 
 
-@query("t14_rewrite_flags", """WITH w AS (SELECT doc_id, text, string_split(lower(text), ' ') AS l FROM documents WHERE text IS NOT NULL) SELECT doc_id, contains(text, chr(65533)) AS broken,
-  regexp_matches(text, '(^| )[A-Za-z]{1,2} [A-Za-z]{1,2} [A-Za-z]{1,2}( |$)') AS short_words,
-  (list_contains(l, 'the')::INT + list_contains(l, 'und')::INT + list_contains(l, 'para')::INT + list_contains(l, 'avec')::INT) >= 2 AS foreign FROM w""")
+@query("t14_rewrite_flags", f"""WITH w AS (SELECT doc_id, lower(text) AS low, strip_accents(lower(text)) AS t FROM documents WHERE text IS NOT NULL),
+  f AS (SELECT doc_id, contains(low, chr(65533)) AS broken, regexp_matches(low, '{t.SHORT_WORDS}') AS short_words, {" + ".join(f"{_any('t', [m])}::INT" for m in vocab.FOREIGN_MARKERS)} >= 2 AS foreign, regexp_matches(low, chr(128196) || '{t.BLANK}*fuente') AS cited FROM w)
+  SELECT *, broken OR short_words OR "foreign" OR cited AS rewrite FROM f""".replace("AS foreign", 'AS "foreign"'))
 def t14(spark, d):
     docs = load(spark, d, "documents").where(F.col("text").isNotNull())
     return docs.select("doc_id", t.rewrite_flags("text").alias("f")).select("doc_id", "f.*")

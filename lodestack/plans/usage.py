@@ -11,8 +11,9 @@ from ..operators import conversations as v
 from ..operators import evaluation as e
 from ..operators import metrics as m
 from ..operators import retrieval as r
+from ..operators.chunking import embed
 from ..sources.tables import load
-from .text import in_list, norm, words
+from .text import FILE_NORM, FIRST, in_list, norm, words
 
 QUERIES, SQL = {}, {}
 NOW = "2024-01-31 00:00:00"
@@ -87,6 +88,27 @@ def r7(spark, d):
     return r.inject_docs(near, near.where("similarity >= 0.3"), near).select("query_id", "doc_id", "chunk_id")
 
 
+#: Components of the stand-in for an embedding service.
+DIMENSION = 64
+
+
+def hashed_letters(texts):
+    """A stand-in for an embedding service: a text's vector is drawn from a hash of its first letters."""
+    import zlib
+
+    import numpy as np
+
+    vectors = [np.random.default_rng(zlib.crc32(x[:2].lower().encode())).normal(size=DIMENSION).tolist() for x in texts]
+    return texts.map(dict(zip(texts, vectors, strict=True)))
+
+
+@query("r8_multi_query")
+def r8(spark, d):
+    """Keywords and chunks share the stand-in's space: a chunk's vector is that of its text."""
+    chunks = embed(chunk_rows(spark, d).drop("vector").where("text IS NOT NULL"), hashed_letters, DIMENSION)
+    return r.multi_query(query_rows(spark, d), chunks, hashed_letters, DIMENSION).select("query_id", "chunk_id", F.round("similarity", 6).alias("similarity"))
+
+
 @query("r9_union_candidates", f"WITH {_S}, a AS (SELECT query_id, chunk_id, 1 AS phase FROM s WHERE similarity >= 0.2 UNION ALL SELECT query_id, chunk_id, 2 FROM s WHERE chunk_id % 7 = 0 AND similarity >= 0.1) SELECT query_id, chunk_id, min(phase) AS phase FROM a GROUP BY 1, 2")
 def r9(spark, d):
     near = r.cosine_topk(query_rows(spark, d), chunk_rows(spark, d), 1 << 30, 0.1).select("query_id", "chunk_id")
@@ -150,7 +172,8 @@ def r16(spark, d):
 
 @query("r17_hybrid_search")
 def r17(spark, d):
-    return r.hybrid_search(query_rows(spark, d), chunk_rows(spark, d))
+    queries, chunks = query_rows(spark, d), chunk_rows(spark, d)
+    return r.hybrid_search(queries, chunks, r.multi_query(queries, chunks, hashed_letters, DIMENSION))
 
 
 @query("r18_symptom_boost", f"WITH {_DIV}, x AS (SELECT f.*, name, score + CASE WHEN regexp_matches(name, 'e[rn]') THEN 0.12 ELSE 0 END - CASE WHEN regexp_matches(name, 'th') THEN 0.08 ELSE 0 END AS z FROM f JOIN c USING (chunk_id) WHERE rank <= 7) SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY z DESC, rank) AS rank FROM x")
@@ -206,7 +229,7 @@ def r25(spark, d):
     known = load(spark, d, "supplier").select(F.col("s_suppkey").alias("query_id"), F.format_string("Brand#%d", F.col("s_suppkey") % 20).alias("model"))
     edges = p.where("p_size < 3").select(F.col("p_brand").alias("model"), F.col("p_size").alias("part")).distinct()
     docs = p.select(F.col("p_brand").alias("model"), F.col("p_partkey").alias("doc"))
-    returned = known.select("query_id").join(docs.where("doc % 4 = 0").select("doc").distinct())
+    returned = docs.where("doc % 4 = 0").select("doc").distinct()
     return r.alternative_docs(known, edges, docs, returned)
 
 
@@ -244,11 +267,16 @@ def context(spark, d):
 
 
 def _facet(name):
-    out = [f"CASE WHEN regexp_matches(x, '{p}') THEN " + (f"'{n}'" if n else f"upper(regexp_replace(regexp_extract(x, '{p}', 1), '\\s+', '', 'g'))") + " END" for p, n in v.FACETS[name]]
+    out = []
+    for p, said in v.FACETS[name]:
+        value = f"'{said}'" if said else f"trim(regexp_extract(x, '{p}', 1))"
+        value = value if said or name in v.LOWER else f"upper({value})"
+        value = f"regexp_replace({value}, '\\s+', '', 'g')" if name in v.SQUEEZED else value
+        out.append(f"CASE WHEN regexp_matches(x, '{p}') THEN {value} END")
     return f"coalesce({', '.join(out)}) AS {name}"
 
 
-_K = "u AS (SELECT conv_id, " + norm("coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (role = 'user'), '')", "\\s") + " AS x FROM conversations GROUP BY 1), k AS (SELECT conv_id, " + ", ".join(map(_facet, v.FACETS)) + " FROM u)"
+_K = "u AS (SELECT conv_id, trim(strip_accents(lower(coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (role = 'user'), '')))) AS x FROM conversations GROUP BY 1), k AS (SELECT conv_id, " + ", ".join(map(_facet, v.FACETS)) + " FROM u)"
 
 
 @query("v4_known_context", f"WITH {_K} SELECT * FROM k")
@@ -267,15 +295,25 @@ def v6(spark, d):
     return s.select("conv_id", v.enriched_query(F.slice("texts", 1, F.size("texts") - 1), F.element_at("texts", -1)).alias("query"))
 
 
-_NQ = norm("coalesce(text, '')", "\\s")
+def _any(x, patterns):
+    return f"regexp_matches({x}, '{t.any_word(patterns)}')"
+
+
+_TECHNICAL = f"({_any('x', vocab.TECHNICAL)} OR regexp_matches(x, '(^|{t.NOT_IN_WORD})({'|'.join(vocab.TECHNICAL_BEGINNINGS)})'))"
 
 
-@query("v7_needs_clarification", f"WITH {_M}, a AS (SELECT conv_id, turn, role, {_NQ} AS x, coalesce(lag(role = 'assistant' AND contains(text, '?')) OVER (PARTITION BY conv_id ORDER BY turn), false) AS asked FROM m), n AS (SELECT *, length(list_filter(string_split(x, ' '), lambda w: w <> '')) AS n FROM a) SELECT conv_id, turn, CASE WHEN asked THEN false ELSE n <= 2 OR regexp_matches(x, '\\b(erro|falha|defeito|error|nicht|not)\\b') OR (n <= 4 AND regexp_matches(x, '\\b(manual|help|ajuda|info)\\b')) END AS needs FROM n WHERE role = 'user'")
+@query("v7_needs_clarification", f"""WITH {_M}, a AS (SELECT conv_id, turn, role, strip_accents(lower(coalesce(text, ''))) AS x, coalesce(lag(role = 'assistant' AND contains(text, '?')) OVER w, false) AS asked FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+  n AS (SELECT *, length(regexp_extract_all(x, '[^\\s]+')) AS n, {_any('x', vocab.MODEL_CODES)} AS code FROM a),
+  h AS (SELECT *, coalesce(bool_or(role = 'user' AND code) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS told FROM n)
+  SELECT conv_id, turn, CASE WHEN asked THEN false ELSE n <= 2 OR {_any('x', vocab.TROUBLE)} OR (n <= 4 AND {_any('x', vocab.GENERIC_INDICATORS)}) END AS needs, NOT code AND NOT told AND {_TECHNICAL} AND n > 2 AS needs_model FROM h WHERE role = 'user'""")
 def v7(spark, d):
-    rows = messages(spark, d)
-    asked = F.coalesce(F.lag((F.col("role") == "assistant") & F.col("text").contains("?")).over(Window.partitionBy("conv_id").orderBy("turn")), F.lit(False))
-    rows = rows.withColumn("asked", asked).where("role = 'user'")
-    return rows.select("conv_id", "turn", v.needs_clarification(F.coalesce("text", F.lit("")), F.col("asked")).alias("needs"))
+    text = F.coalesce("text", F.lit(""))
+    rows = messages(spark, d).withColumn("code", (F.col("role") == "user") & v.has_model_code(text))
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    asked = F.coalesce(F.lag((F.col("role") == "assistant") & F.col("text").contains("?")).over(w), F.lit(False))
+    told = F.coalesce(F.max("code").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    rows = rows.withColumns({"asked": asked, "told": told}).where("role = 'user'")
+    return rows.select("conv_id", "turn", v.needs_clarification(text, F.col("asked")).alias("needs"), v.needs_model(text, F.col("told")).alias("needs_model"))
 
 
 @query("v8_sessions_by_agent", "SELECT coalesce(s_name, 'unknown') AS agent, count(*) AS sessions FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN supplier ON s_suppkey = conv_id % 150 GROUP BY 1")
@@ -383,20 +421,25 @@ def m12(spark, d):
 
 
 def answers(spark, d):
-    docs = load(spark, d, "documents").where("doc_id % 10 <> 9")
-    kind = e.classify_answer(F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Which model? "), "text")).otherwise(F.col("text")), (F.col("doc_id") % 3).cast("int"))
-    return docs.select(F.col("doc_id").alias("id"), kind.alias("kind"), "text", F.array("source").alias("sources"))
+    """Documents as answers: some ask to choose at once or at their end, some ask with a strong marker."""
+    k = F.col("doc_id")
+    said = F.coalesce("text", F.lit(""))
+    text = F.when(k % 4 == 0, F.concat(F.lit("Qual modelo? "), said)).when(k % 4 == 1, F.concat(said, F.lit(" Qual placa?"))).when(k % 8 == 2, F.concat(F.lit("Me informe o andar. "), said)).otherwise(said)
+    rows = load(spark, d, "documents").select(k.alias("id"), text.alias("text"), F.array("source").alias("sources"), (k % 3).cast("int").alias("n"), (k % 11 == 0).alias("flagged"))
+    return rows.withColumn("kind", e.classify_answer(F.col("text"), F.col("n"), F.col("flagged"))).drop("n")
 
 
 def graded(spark, d):
-    cases = load(spark, d, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "ANSWER").otherwise("CLARIFY").alias("expected"), F.format_string("c%d", F.col("doc_id") % 4).alias("category"), F.array(F.lit("license")).alias("terms"), F.array(F.lit("idiot")).alias("forbidden"), F.when(F.col("doc_id") % 2 == 0, F.array(F.format_string("src%d", F.col("doc_id") % 7))).alias("docs"))
-    return e.grade_answers(cases, answers(spark, d))
+    cases = load(spark, d, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 5 == 0, "DISAMBIGUATE").when(F.col("quality") == 1, "ANSWER").otherwise("CLARIFY").alias("expected"), F.format_string("c%d", F.col("doc_id") % 4).alias("category"), F.array(F.lit("license")).alias("terms"), F.array(F.lit("idiot")).alias("forbidden"), F.when(F.col("doc_id") % 2 == 0, F.array(F.format_string("SRC%d", F.col("doc_id") % 3))).alias("docs"))
+    return e.grade_answers(cases, answers(spark, d).where("id % 10 <> 9"))
 
 
-_A = """a AS (SELECT doc_id AS id, text, source, doc_id % 3 AS n, lower(coalesce(CASE WHEN doc_id % 4 = 0 THEN 'Which model? ' || text ELSE text END, '')) AS low FROM documents WHERE doc_id % 10 <> 9),
-  b AS (SELECT id, text, source, CASE WHEN regexp_matches(substr(low, 1, 500), '""" + "|".join(e.STRONG_MARKERS) + """') OR (n = 0 AND contains(substr(low, 1, 500), '?')) OR (n > 0 AND ends_with(trim(low), '?') AND regexp_matches(regexp_split_to_array(trim(low), '[.!\\n]')[-1], '(which|what kind of|qual|quais)\\b[^?]*\\?$')) THEN 'CLARIFY' ELSE 'ANSWER' END AS kind FROM a)"""
-_G = _A + """, g AS (SELECT l.doc_id AS id, 'c' || (l.doc_id % 4) AS category, CASE WHEN quality = 1 THEN 'ANSWER' ELSE 'CLARIFY' END AS expected, kind,
-  CASE WHEN kind IS NULL THEN 'error' WHEN contains(lower(text), 'idiot') THEN 'fail' WHEN quality = 1 AND kind = 'CLARIFY' THEN CASE WHEN contains(lower(text), 'license') THEN 'partial' ELSE 'fail' END WHEN quality <> 1 AND kind <> 'CLARIFY' THEN 'fail' WHEN l.doc_id % 2 = 0 AND source <> 'src' || (l.doc_id % 7) THEN 'partial' ELSE 'pass' END AS grade FROM labels l LEFT JOIN b ON b.id = l.doc_id)"""
+_A = f"""a AS (SELECT doc_id AS id, source, doc_id % 3 AS n, doc_id % 11 = 0 AS flagged, CASE WHEN doc_id % 4 = 0 THEN 'Qual modelo? ' || coalesce(text, '') WHEN doc_id % 4 = 1 THEN coalesce(text, '') || ' Qual placa?' WHEN doc_id % 8 = 2 THEN 'Me informe o andar. ' || coalesce(text, '') ELSE coalesce(text, '') END AS text FROM documents),
+  h AS (SELECT *, lower(substr(text, 1, 500)) AS early, substr(text, 1, greatest(length(text) - 5, 0)) AS head FROM a),
+  l AS (SELECT *, lower(substr(text, greatest(length(head) - length(string_split(head, '.')[-1]), 1) + 1)) AS last FROM h),
+  b AS (SELECT id, text, source, flagged, CASE WHEN flagged OR regexp_matches(early, '{"|".join(vocab.CLARIFY_MARKERS)}') OR (n = 0 AND contains(early, '?')) OR (n > 0 AND regexp_matches(text, '\\?\\s*$') AND regexp_matches(last, '{"|".join(vocab.CHOICES)}')) THEN 'CLARIFY' ELSE 'ANSWER' END AS kind FROM l)"""
+_G = _A + """, x AS (SELECT l.doc_id AS id, 'c' || (l.doc_id % 4) AS category, CASE WHEN l.doc_id % 5 = 0 THEN 'DISAMBIGUATE' WHEN quality = 1 THEN 'ANSWER' ELSE 'CLARIFY' END AS expected, kind, lower(text) AS low, flagged, lower(coalesce(source, '')) AS src FROM labels l LEFT JOIN b ON b.id = l.doc_id AND b.id % 10 <> 9),
+  g AS (SELECT id, category, expected, kind, CASE WHEN kind IS NULL THEN 'error' WHEN contains(low, 'idiot') THEN 'fail' WHEN expected = 'CLARIFY' AND kind <> 'CLARIFY' THEN 'fail' WHEN expected = 'ANSWER' AND kind = 'CLARIFY' AND NOT contains(low, 'license') THEN 'fail' WHEN id % 2 = 0 AND NOT flagged AND NOT contains(src, 'src' || (id % 3)) AND NOT contains(low, 'src' || (id % 3)) THEN 'partial' ELSE 'pass' END AS grade FROM x)"""
 
 
 @query("e1_classify_answer", f"WITH {_A} SELECT id, kind FROM b")
@@ -443,3 +486,56 @@ def st4(spark, d):
     from ..streaming.jobs import status_changes
 
     return status_changes(load(spark, d, "events"), "user_id", "event_type", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+# Streams that read what is there and end
+
+
+def _ended(stream, name):
+    """What a stream over the table's files makes, as a table."""
+    from ..sources.scratch import folder
+
+    spark, out = stream.sparkSession, folder(stream.sparkSession, name)
+    q = stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/check").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
+def _arriving(spark, d, name):
+    """A table of the given folder as a stream of its files."""
+    files = load(spark, d, name)
+    return spark.readStream.schema(files.schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+
+
+@query("st1_stream_quota", """WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, CASE WHEN user_id % 4 <> 0 THEN user_id % 4 * 2 END AS lim FROM events),
+  f AS (SELECT user_id, event_id, k, ts AS start, CASE WHEN lim = 0 THEN 0 ELSE 1 END AS used, coalesce(lim > 0, true) AS allowed FROM e WHERE k = 1
+    UNION ALL SELECT n.user_id, n.event_id, n.k, CASE WHEN n.ts < f.start + INTERVAL 24 HOUR THEN f.start ELSE n.ts END, CASE WHEN n.ts < f.start + INTERVAL 24 HOUR THEN CASE WHEN used >= n.lim THEN used ELSE used + 1 END ELSE CASE WHEN n.lim = 0 THEN 0 ELSE 1 END END,
+      CASE WHEN n.ts < f.start + INTERVAL 24 HOUR THEN coalesce(used < n.lim, true) ELSE coalesce(n.lim > 0, true) END FROM f JOIN e n ON n.user_id = f.user_id AND n.k = f.k + 1)
+  SELECT user_id, event_id, allowed FROM f""")
+def st1(spark, d):
+    from ..streaming.jobs import stream_quota
+
+    limit = F.when(F.col("user_id") % 4 != 0, F.col("user_id") % 4 * 2).cast("int")
+    return _ended(stream_quota(_arriving(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), limit.alias("daily_limit"))), "quota")
+
+
+@query("st2_stream_ingest")
+def st2(spark, d):
+    from ..sources.scratch import folder
+    from ..streaming.jobs import stream_ingest
+
+    out = folder(spark, "ingest")
+    pages = _arriving(spark, d, "documents").select(F.col("source").alias("brand"), "doc_id", F.col("lang").alias("name"), F.lit(1).alias("page"), "text")
+    stream_ingest(pages, f"{out}/store", f"{out}/check").awaitTermination()
+    chunks = spark.read.parquet(f"{out}/store")
+    return chunks.select(F.col("brand_slug").cast("string").alias("brand_slug"), "doc_id", "chunk_index", "chunk_total", F.md5("text").alias("h"))
+
+
+@query("st3_stream_dedupe", f"SELECT DISTINCT own AS brand, name AS norm FROM (SELECT own, {FILE_NORM.format(x='name')} AS name FROM (SELECT source AS own, {FIRST} AS name FROM documents WHERE doc_id % 3 <> 0)) n WHERE name IS NOT NULL AND NOT EXISTS (SELECT 1 FROM documents o WHERE o.doc_id % 3 = 0 AND o.source = n.own AND {FILE_NORM.format(x='string_split(o.text, chr(10))[1]')} = n.name)")
+def st3(spark, d):
+    from ..streaming.jobs import stream_dedupe
+
+    names = lambda df: df.select(F.col("source").alias("brand"), F.split("text", "\n")[0].alias("name"), "doc_id")
+    existing = names(load(spark, d, "documents")).where("doc_id % 3 = 0")
+    arriving = names(_arriving(spark, d, "documents")).where("doc_id % 3 <> 0 AND name IS NOT NULL")
+    return _ended(stream_dedupe(arriving, existing, "name", "brand").select("brand", "norm"), "dedupe")

@@ -16,7 +16,10 @@ HOURS = 24
 
 
 def quota_state(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Rows of one user with `allowed`; state is (window start in micros, used)."""
+    """Rows of one user with `allowed`; state is (window start in micros, used) and goes when its window has passed."""
+    if state.hasTimedOut:
+        state.remove()
+        return
     start, used = state.get if state.exists else (None, 0)
     events = pd.concat(list(pdfs)).sort_values(["ts", "event_id"], kind="stable")
     allowed = []
@@ -27,35 +30,45 @@ def quota_state(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFra
         used += int(fine)
         allowed.append(bool(fine))
     state.update((start, used))
+    state.setTimeoutTimestamp(max(start // 1000 + HOURS * 3_600_000, state.getCurrentWatermarkMs() + 1))
     yield events.assign(allowed=allowed)[["user_id", "event_id", "allowed"]]
 
 
 def stream_quota(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """events (event_id, user_id, ts, daily_limit) as a stream, each with whether the quota allows it.
 
-    State is one small pair for each user. Events of a batch are taken in time order; the watermark is ours to choose.
+    State is one small pair for each user with an open window; a window that the watermark has passed is forgotten, as
+    the next event would open a new one anyway. Events of a batch are taken in time order, batches as they arrive: what
+    comes late is counted when it comes. The watermark is ours to choose.
     """
-    return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(quota_state, "user_id long, event_id long, allowed boolean", "start long, used int", "append", "NoTimeout")
+    return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(quota_state, "user_id long, event_id long, allowed boolean", "start long, used int", "append", "EventTimeTimeout")
 
 
 def stream_ingest(pages: DataFrame, store: str, checkpoint: str):
-    """Chunk arriving pages (brand, doc_id, name, page, text) and replace those pages in the store; idempotent by id."""
+    """Chunk arriving pages (brand, doc_id, name, page, text) and replace those pages in the store; idempotent by id.
+
+    A page that has become empty loses its chunks. Each batch reads and writes the brands it touches, so batches should
+    be large beside a brand, or brands small.
+    """
 
     def add(batch: DataFrame, _: int) -> None:
         from pyspark.errors import AnalysisException
 
+        from ..sources.scratch import cut
+
         spark = batch.sparkSession
-        new = chunk_records(batch, "brand", "doc_id", "name", "page")
+        new = cut(chunk_records(batch, "brand", "doc_id", "name", "page"), "ingest-new")
         try:
             old = spark.read.parquet(store)
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             tables.write_chunks(new, store)
             return
-        brands = [r["brand_slug"] for r in new.select("brand_slug").distinct().collect()]
+        pages = batch.select(F.col("brand").alias("brand_slug"), "doc_id", F.col("page").alias("page_number")).distinct()
         # Only the brands of this batch are read and written again.
-        from ..sources.scratch import cut
-
-        merged = cut(tables.upsert_chunks(old.where(F.col("brand_slug").isin(brands)), new), "ingest")
+        touched = old.join(pages.select("brand_slug").distinct(), "brand_slug", "left_semi")
+        merged = cut(touched.join(pages, ["brand_slug", "doc_id", "page_number"], "left_anti").unionByName(new), "ingest")
         tables.write_chunks(merged, store)
 
     return pages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -115,10 +115,52 @@ def test_rerank_repairs_cut_answers(spark):
     assert [r["rank"] for r in got if r["query_id"] == 2] == [1, 2, 3, 4, 5, 6, 7]
 
 
-def test_grades(spark):
+def test_answers_are_classified(spark):
     kind = evaluation.classify_answer(F.col("x"), F.col("n"))
-    df = spark.createDataFrame([("Here it is.", 1), ("Could you tell me more?", 0), ("See page 1. Which one?", 2), (None, 0)], "x string, n int")
-    assert [r[0] for r in df.select(kind).collect()] == ["ANSWER", "CLARIFY", "CLARIFY", "ANSWER"]
+    rows = [("Here it is.", 1), ("Poderia informar a placa.", 3), ("Is it that one?", 0), ("See page 1. Qual modelo?", 2), ("Qual modelo? See page 1.", 2), ("See it. Which one?", 2), (None, 0), ("Qual placa?", 1)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, x string, n int")
+    assert [r["k"] for r in df.select("i", kind.alias("k")).orderBy("i").collect()] == ["ANSWER", "CLARIFY", "CLARIFY", "CLARIFY", "ANSWER", "ANSWER", "ANSWER", "ANSWER"]
+
+
+def test_grades(spark):
+    schema = "id int, category string, expected string, docs array<string>, terms array<string>, forbidden array<string>"
+    cases = [(1, "c", "CLARIFY", None, None, None), (2, "c", "ANSWER", None, ["Gear"], None), (3, "c", "ANSWER", None, ["x"], None), (4, "c", "ANSWER", ["Man"], None, None), (5, "c", "ANSWER", ["zz"], None, None), (6, "c", "ANSWER", ["zz"], None, None), (7, "c", "DISAMBIGUATE", None, None, ["BAD"]), (8, "c", "DISAMBIGUATE", None, None, None), (9, "c", "ANSWER", None, None, None)]
+    answers = [(1, "ANSWER", "so", [], False), (2, "CLARIFY", "which gear?", [], False), (3, "CLARIFY", "which?", [], False), (4, "ANSWER", "so", ["a MANUAL.pdf"], False), (5, "ANSWER", "so", ["a"], False), (6, "CLARIFY", "so", ["a"], True), (7, "ANSWER", "bad", [], False), (8, "ANSWER", "so", [], False)]
+    out = evaluation.grade_answers(spark.createDataFrame(cases, schema), spark.createDataFrame(answers, "id int, kind string, text string, sources array<string>, flagged boolean"))
+    assert {r["id"]: r["grade"] for r in out.collect()} == {1: "fail", 2: "pass", 3: "fail", 4: "pass", 5: "partial", 6: "fail", 7: "fail", 8: "pass", 9: "error"}
+
+
+def test_known_context(spark):
+    rows = ["Erro E123 na GEN 2, placa ii", "codigo 77 e falha 88: não fecha, JAA30171AAA", "o Inversor de 1999", None]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, x string")
+    got = [r.asDict() for r in df.select("i", *conversations.known_context(F.col("x"))).orderBy("i").collect()]
+    assert (got[0]["model"], got[0]["board"], got[0]["error_code"], got[0]["symptom"]) == ("Gen2", "PLACAII", "E123", None)
+    assert (got[1]["error_code"], got[1]["symptom"], got[1]["part_number"]) == ("77", "nao fecha", "JAA30171AAA")
+    assert got[2]["drive"] == "DRIVE" and got[2]["error_code"] is None and set(list(got[3].values())[1:]) == {None}
+
+
+def test_needs_clarification(spark):
+    rows = [("a b", False), ("a b", True), ("we need troubleshooting now please", False), ("diversas falhas na porta hoje", False), ("manual geral de portas", False), ("um manual geral de portas", False), ("tell me about the weather", False)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, x string, asked boolean")
+    assert [r["y"] for r in df.select("i", conversations.needs_clarification(F.col("x"), F.col("asked")).alias("y")).orderBy("i").collect()] == [True, False, True, True, True, False, False]
+    rows = [("a porta não abre", False), ("a porta não abre", True), ("a porta GEN2 não abre", False), ("porta ruim", False), ("tell me about it", False), ("a reconfigurar tudo", False), ("a configuração de tudo", False)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, x string, told boolean")
+    assert [r["y"] for r in df.select("i", conversations.needs_model(F.col("x"), F.col("told")).alias("y")).orderBy("i").collect()] == [True, False, False, False, False, False, True]
+
+
+def test_multi_query(spark):
+    """The first three keywords of two characters or more, each with its own vector."""
+    from lodestack.functions import text as t
+
+    seen = []
+    vectors = {"ab1": [1.0, 0.0], "cd2": [0.0, 1.0], "ef3": [0.6, 0.8], "gh4": [-1.0, 0.0]}
+    q = spark.createDataFrame([(5, "b", "AB1 CD2 EF3 GH4")], "query_id long, brand string, text string")
+    first = [k.lower() for k in q.select(t.search_keywords("text").alias("k")).first()["k"][:3]]
+    c = spark.createDataFrame([(1, "b", [1.0, 0.0]), (2, "b", [-1.0, 0.0]), (3, "x", [1.0, 0.0]), (4, "b", [0.5, 0.5])], "chunk_id long, brand string, vector array<float>")
+    out = retrieval.multi_query(q, c, lambda texts: texts.map(lambda x: vectors[x.lower()]), 2)
+    assert first == ["ab1", "cd2", "ef3"] and not seen
+    got = {(r["query_id"], r["chunk_id"]): round(r["similarity"], 3) for r in out.collect()}
+    assert got == {(5, 1): 1.0, (5, 4): 0.707}
 
 
 def test_merge_pending(spark):

@@ -45,6 +45,12 @@ def test_stream_ingest_is_idempotent(spark, tmp_path):
         jobs.stream_ingest(stream, store, str(tmp_path / "check")).awaitTermination(120)
         assert tables.read_chunks(spark, store).count() == 2
     assert [r["text"] for r in tables.read_chunks(spark, store, "a").collect()] == ["some text"]
+    # A page that became empty, beside one that stays.
+    empty = spark.createDataFrame([("a", 1, "n", 1, ""), ("a", 3, "n", 1, "third")], pages.schema)
+    empty.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(pages.schema).parquet(str(tmp_path / "in"))
+    jobs.stream_ingest(stream, store, str(tmp_path / "check")).awaitTermination(120)
+    assert sorted(r["text"] for r in tables.read_chunks(spark, store).collect()) == ["other text", "third"]
 
 
 def test_status_changes(spark):

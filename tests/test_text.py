@@ -62,3 +62,25 @@ def test_empty_text_has_four_signals(spark):
 
 def test_let_binds_once(spark):
     assert spark.range(1).select(t.let(F.lit(2), lambda x: x + x)).first()[0] == 4
+
+
+def test_intent_flags(spark):
+    rows = ["Olá!!", "o elevador acme 2", "quais documentos você tem", "noções gerais", "porta DW abre e não fecha, abrindo e fechando", "a porta não parte", "calibração do beta", None]
+    got = values(spark, lambda c: t.intent_flags(c, F.lit("Gamma"), ("acme", "beta")), rows)
+    assert [r["greeting"] for r in got] == [True] + [False] * 7
+    assert [r["cross_brand"] for r in got] == [False, True, False, False, False, False, True, False]
+    assert [r["meta_docs"] for r in got] == [False, False, True] + [False] * 5 and got[3]["general_manual"]
+    assert [r["door_cycle"] for r in got] == [False] * 4 + [True, True, False, False]
+    assert [r["technical"] for r in got] == [False] * 4 + [True, True, True, False] and got[1]["identifier"]
+
+
+def test_rewrite_flags(spark):
+    rows = ["bad \ufffd", "de la a casa", "ação de um", "please check it", "a warning", "\U0001f4c4 Fuente: x", "", None]
+    got = values(spark, t.rewrite_flags, rows)
+    assert [r["rewrite"] for r in got] == [True, True, False, True, False, True, False, False]
+    assert (got[0]["broken"], got[1]["short_words"], got[3]["foreign"], got[5]["cited"]) == (True,) * 4
+
+
+def test_tokens_are_whole_words(spark):
+    assert values(spark, t.fault_tokens, ["e1 xe1 e1é _e1 e1, UV;ov abcdef1 a1234 uv", None]) == [["E1", "XE1", "UV", "OV"], None]
+    assert values(spark, t.controller_tokens, ["LCB2 http1 ABCDEFG1 AB12CDEF ab1cd"]) == [["LCB2", "HTTP1", "AB1CD"]]
