@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import UPPER, WS, cut, few, forget, table
@@ -286,8 +286,11 @@ def candidates(pairs: DataFrame, known: DataFrame, seen: DataFrame | None, perce
 
 def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes that link: compared over whole sets, which only candidates' texts are made into."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "jaccard-ends")
-    reps = cut(nodes.join(few(ids), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").where(F.col("doc_id").isNotNull()).distinct(), "jaccard-ids")
+    if pairs.isEmpty():
+        return pairs
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    reps = nodes.join(ids, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").where(F.col("doc_id").isNotNull())
+    reps = cut(reps, "jaccard-ids")
     known = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).join(few(reps), "doc_id", "left_semi")
     lost = docs.select("doc_id", "text").where(F.col("doc_id").isNull())
     schema = pa.schema([("node", pa.int64()), ("members", pa.list_(pa.int64()))])
@@ -304,26 +307,28 @@ def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, perc
     both = pairs.join(end("a"), "a").join(end("b"), "b")
     shared = F.size(F.array_intersect("ma", "mb"))
     links = cut(both.where(100 * shared >= percent * (F.size("ma") + F.size("mb") - shared)).select("a", "b"), "jaccard-links")
-    forget(ids, reps, sets)
+    forget(reps, sets)
     return links
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) for each node of the links (a, b); comp is the least node it is connected with.
 
-    Large and small stars in turn until nothing moves; each round is written to the shared folder.
+    Large and small stars in turn until nothing moves; each round is one job, written to the shared folder.
     """
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct()
     edges, before = cut(edges, "stars"), None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = cut(both.where(F.col("b") > F.col("a")).join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "stars")
+        large = both.where(F.col("b") > F.col("a")).join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(low, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = cut(low.select("a", F.col("m").alias("b")).unionByName(moved).distinct(), "stars")
-        forget(edges, large)
-        edges, now = after, after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        told = Observation()
+        after = low.select("a", F.col("m").alias("b")).unionByName(moved).distinct()
+        after = cut(after.observe(told, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")), "stars")
+        forget(edges)
+        edges, now = after, (told.get["n"], told.get["h"])
         if now == before:
             break
         before = now
@@ -339,8 +344,7 @@ def _unsettled(met: DataFrame, comps: DataFrame, links: DataFrame) -> DataFrame:
     sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
     degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     told = rows.select("node", "comp").distinct().join(sizes, "comp", "left").join(degrees, "node", "left")
-    told = cut(told.select("node", F.coalesce("members", F.lit(1)).alias("members"), F.coalesce("degree", F.lit(0)).alias("degree")), "jaccard-told")
-    return rows.join(few(told), "node")
+    return rows.join(told.select("node", F.coalesce("members", F.lit(1)).alias("members"), F.coalesce("degree", F.lit(0)).alias("degree")), "node")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
