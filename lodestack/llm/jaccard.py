@@ -39,7 +39,7 @@ SKETCH = 1 << 21
 #: Shingles seen more often than this (by the sketch) are dealt to several partitions, this many rows to each.
 HOT = 2_000
 #: Comparisons of rows for each row of a shared shingle that are made without looking for centres first.
-CHEAP = 20
+CHEAP = 1_000
 #: Bytes of texts that are hashed at a time.
 AT_ONCE = 1 << 20
 #: Parities of a node's set, 64 to a column.
