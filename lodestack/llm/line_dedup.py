@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, WS, ascii_lower, cut, table
+from .common import UPPER, WS, ascii_lower, cut, few, table
 
 ADDED = ("ll_lines", "ll_dropped", "ll_text")
 
@@ -34,7 +34,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     """
     keys = cut(line_keys(docs, min_chars), "line-keys")
     common = keys.groupBy("h1", "h2").agg(F.count_distinct(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).drop("n")
-    dropped = keys.join(common, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone"))
+    # Written first, so that the join is a stage of its own: small, it needs no shuffle; else hot lines can be split.
+    dropped = keys.join(few(cut(common, "line-common")), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone"))
     gone = dropped.select(F.coalesce("doc_id", F.lit(-1)).alias("ll_k"), F.col("doc_id").isNull().alias("ll_null"), F.col("th").alias("ll_th"), F.col("gone").alias("ll_gone"))
     text = F.coalesce("text", F.lit(""))
     rows = docs.withColumns({"ll_k": F.coalesce("doc_id", F.lit(-1)), "ll_null": F.col("doc_id").isNull(), "ll_th": F.xxhash64(text)})

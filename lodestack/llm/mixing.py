@@ -54,7 +54,9 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
     """How many of counts[i] items of lengths[i] > 0 to take so that their total is as near budget as can be.
 
     An even share of every length comes first, then the longest that still fit; the dynamic programme settles the rest,
-    over a window of sums some longest items wide, so its cost follows the lengths and not the budget.
+    over a window of sums (2^18 words, or two longest items if that is more), so its cost follows the lengths and not
+    the budget. Sums that need more to be given back are not tried: where the window has no exact fit the nearest in it
+    is taken, which is off by less than one longest item.
     """
     take = np.zeros(len(lengths), dtype=np.int64)
     total = int((lengths * counts).sum())

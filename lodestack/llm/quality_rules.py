@@ -5,7 +5,7 @@ versioned policy (a mask of the rules in force) off the ledger; :func:`ablations
 each rule of a policy rejects alone and with others, without another look at a text.
 
 Null text is no words. A document without words fails the base rule. Rows that repeat a doc_id are judged one by one.
-Columns beside doc_id and text are kept.
+Columns beside doc_id and text are kept, but for those named as a measurement, qr_fails or the verdict, which are replaced.
 """
 
 from __future__ import annotations

@@ -74,6 +74,9 @@ def test_ledger_and_ablations(odd, none):
     bits = [r["qr_fails"] for r in rows.select("qr_fails").collect()]
     assert table["few_words"]["failed_alone"] == sum(b == 1 for b in bits)
     assert quality_rules.ledger(none).count() == 0
+    # Columns named as what the ledger adds are replaced, others stay.
+    clash = odd.withColumns({"n_words": F.lit("x"), "qr_fails": F.lit("x"), "kept": F.lit("x")})
+    assert {r["doc_id"]: r["n_words"] for r in quality_rules.apply_policy(quality_rules.ledger(clash)).collect()}[3] == 8
 
 
 def brute_components(texts):
@@ -261,6 +264,90 @@ def test_pipeline_mixes_row_by_row(spark, tmp_path):
     assert sorted(r["text"] for r in rows) == sorted(r["text"] for r in again)
 
 
+@pytest.fixture(scope="module")
+def labelled(spark, tmp_path_factory):
+    """A folder with labels: good texts are prose, bad ones shout."""
+    folder = str(tmp_path_factory.mktemp("sf"))
+    spark.createDataFrame([(i, int(i % 2), 0) for i in range(1000, 1120)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+def prose(rng, n=30):
+    return " ".join(f"w{rng.randrange(300)}" for _ in range(n))
+
+
+def test_pipeline_stages_keep_columns_and_odd_rows(spark, odd, none, labelled):
+    """Nulls, empties, repeats, an empty table and clashing names: each stage ends, with the columns of its input."""
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, labelled)
+        last = name == corpus_pipeline.STAGES[-1][0]
+        assert last or out.columns == odd.columns
+        ids = [r["doc_id"] for r in out.select("doc_id").collect()]
+        assert set(ids) <= {1, 2, 3, 4, 5, 6, 7, None} and stage(spark, none, labelled).count() == 0
+        if last or name == "line dedup":
+            assert len(ids) == 9
+
+
+def test_pipeline_quality_stage_rejects_what_scores_low(spark, labelled):
+    import corpus_pipeline
+    from lodestack.llm import factorisation as fm
+
+    rng = random.Random(4)
+    texts = [(i, prose(rng) if i % 2 else "BUY!! NOW!! $$$ " * rng.randrange(3, 9)) for i in range(1000, 1120)]
+    docs = docs_of(spark, texts)
+    kept = {r["doc_id"] for r in corpus_pipeline.quality_classifier(spark, docs, labelled).collect()}
+    machine = fm.train(docs, spark.read.parquet(f"{labelled}/labels.parquet"))
+    features = fm.Features()
+    assert kept == {i for i, t in texts if machine.score(*features(t, len(t))) >= 0.5}
+    assert sum(i % 2 == 0 for i in kept) <= 3 and sum(i % 2 for i in kept) >= 57
+
+
+def test_pipeline_line_stage_matches_brute_force(spark, labelled):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    lines = [f"line number {i} that is long enough" for i in range(12)] + ["short", ""]
+    texts = [(i, "\n".join(rng.choice(lines) + rng.choice(["", " ", "\t"]) for _ in range(rng.randrange(1, 8)))) for i in range(25)]
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.dedup_lines(spark, docs_of(spark, texts), labelled).collect()}
+    at = {}
+    for i, t in texts:
+        for x in t.split("\n"):
+            at.setdefault(x.strip(" \t").lower(), set()).add(i)
+    for i, t in texts:
+        want = "\n".join(x for x in t.split("\n") if len(x.strip(" \t")) < 20 or len(at[x.strip(" \t").lower()]) < 3 or max(at[x.strip(" \t").lower()]) == i)
+        assert got[i] == (want, len(want))
+
+
+def test_pipeline_near_stage_and_tokens_match_brute_force(spark, labelled):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rng, texts = random.Random(6), []
+    for i in range(40):
+        w = prose(rng, 60).split() if i % 3 == 0 else texts[rng.randrange(len(texts))][1].split()
+        w[rng.randrange(len(w))] = f"e{i}"
+        texts.append((i, " ".join(w)))
+    out = corpus_pipeline.near_dedup(spark, docs_of(spark, texts), labelled)
+    want = brute_components(texts)
+    assert sorted(r["doc_id"] for r in out.select("doc_id").collect()) == sorted({c for _, c in want.values()})
+    own = Tokenizer.from_file(bpe.tokenizer_path())
+    got = {r["doc_id"]: r for r in corpus_pipeline.tokens(spark, docs_of(spark, texts), labelled).collect()}
+    assert all(got[i]["bpe_ids"] == own.encode(t, add_special_tokens=False).ids and got[i]["n_tokens"] == len(got[i]["bpe_ids"]) for i, t in texts)
+
+
+def test_pipeline_runs_whole(spark, labelled, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    folder = str(tmp_path / "in")
+    docs_of(spark, [(i, prose(rng) if i % 2 else "BUY!! NOW!! $$$ " * 5) for i in range(1000, 1120)]).write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{labelled}/labels.parquet").write.parquet(f"{folder}/labels.parquet")
+    out = corpus_pipeline.run(spark, folder)
+    assert out.columns == ["doc_id", "source", "bpe_ids", "n_tokens", "decoded_sha256"] and out.count() >= 50
+
+
 def test_classifiers_score_every_row(spark, odd, none):
     labels = spark.createDataFrame([(3, 1, 0), (5, 0, 1), (6, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     for labelled in (labels, labels.limit(0)):
