@@ -151,7 +151,7 @@ def compact_name_duplicates(docs: DataFrame, key: str, name: str) -> DataFrame:
 
 def visible_brands(brands: DataFrame, users: DataFrame, access: DataFrame) -> DataFrame:
     """(user_id, brand_id): administrators see all brands, others those they were given."""
-    admin = users.where("is_admin").select("user_id").join(F.broadcast(brands.select("brand_id")))
+    admin = users.where("is_admin").select("user_id").join(brands.select("brand_id"))  # the result is this product
     given = access.join(users.where("not is_admin").select("user_id"), "user_id", "left_semi").join(brands.select("brand_id"), "brand_id", "left_semi")
     return admin.unionByName(given.select("user_id", "brand_id").distinct())
 

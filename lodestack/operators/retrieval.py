@@ -31,7 +31,8 @@ def cosine_topk(queries: DataFrame, chunks: DataFrame, top: int, least: float, s
 
     queries: query_id, brand, vector; chunks: chunk_id, brand, vector. Chunks stay where they are: each batch is
     multiplied with a block of queries and sends its own best `top` of each query, so what is shuffled grows with
-    queries, not with chunks. Vectors that are null or zero match nothing; ties go to the smaller chunk_id.
+    queries, not with chunks. A block of queries and the brands go through the driver, so queries may be many thousands,
+    not many millions. Vectors that are null or zero match nothing; ties go to the smaller chunk_id.
     """
     spark = chunks.sparkSession
     brands = sorted({r["brand"] for r in queries.select("brand").distinct().collect() if r["brand"] is not None})
@@ -103,8 +104,12 @@ def filename_bonus(name, query) -> Column:
 
 
 def filename_candidates(queries: DataFrame, names: DataFrame, least: float = 0.15) -> DataFrame:
-    """(query_id, doc_id, bonus) of a brand's documents whose names match a query well; queries go to every task."""
-    pairs = names.join(F.broadcast(queries.select("query_id", "brand", F.col("text").alias("q"))), "brand")
+    """(query_id, doc_id, bonus) of a brand's documents whose names match a query well.
+
+    A token may stand anywhere in a name, spaces or not, so each name of a brand is held against its queries: work is
+    their product, for queries by the thousand. Spark broadcasts the queries if they are small.
+    """
+    pairs = names.join(queries.select("query_id", "brand", F.col("text").alias("q")), "brand")
     return pairs.select("query_id", "doc_id", F.round(filename_bonus("name", "q"), 6).alias("bonus")).where(F.col("bonus") >= least)
 
 
