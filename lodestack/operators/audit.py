@@ -58,18 +58,20 @@ def exact_duplicates(docs: DataFrame, key: str, name: str, brand: str) -> DataFr
 def similar_names(docs: DataFrame, key: str, name: str, gram: int = 5) -> DataFrame:
     """Pairs of ids with different names one of which holds the other. Names are compared once each.
 
-    A held name's first `gram` characters are a piece of the holder, so pieces are joined to beginnings: no pairs of
-    names that share none. Names shorter than `gram` join by their own length's pieces.
+    Every piece of `gram` characters of a held name is one of the holder's, so each name looks for its holders by its
+    rarest piece: a beginning that many names share brings no pairs. Names shorter than `gram` are their only piece.
     """
     n = docs.select(F.col(key).alias("id"), F.lower(F.trim(name)).alias("name")).where(F.col("name") != "")
     names = n.select("name").distinct()
-    head = F.substring("name", 1, gram)
-    heads = names.select(F.col("name").alias("inner"), head.alias("piece"))
     lengths = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(gram)), lambda k: F.least(k, F.length("name"))))
     # Slices of the characters: cutting strings would read a long name anew for each piece.
     cuts = lambda chars: F.flatten(F.transform(lengths, lambda k: F.transform(F.sequence(F.lit(1), F.size(chars) - k + 1), lambda i: F.array_join(F.slice(chars, i, k), ""))))
     pieces = t.let(F.regexp_extract_all("name", F.lit("(?s)."), F.lit(0)), cuts)
-    held = names.select(F.col("name").alias("outer"), F.explode(F.array_distinct(pieces)).alias("piece")).join(heads, "piece")
+    every = names.select(F.col("name").alias("outer"), F.explode(F.array_distinct(pieces)).alias("piece"))
+    often = every.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    own = every.where(F.length("piece") == F.least(F.length("outer"), F.lit(gram))).join(often, "piece")
+    rare = own.groupBy(F.col("outer").alias("inner")).agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"))
+    held = every.join(rare, "piece")
     held = held.where((F.col("inner") != F.col("outer")) & F.col("outer").contains(F.col("inner"))).select("inner", "outer").distinct()
     a, b = n.select(F.col("id").alias("a"), F.col("name").alias("inner")), n.select(F.col("id").alias("b"), F.col("name").alias("outer"))
     return held.join(a, "inner").join(b, "outer").select(F.least("a", "b").alias("id1"), F.greatest("a", "b").alias("id2")).distinct()
