@@ -44,7 +44,7 @@ class Features:
 
     size = BUCKETS + (len(STATS) + 1) * BINS
 
-    def __init__(self, max_words: int = 150_000):
+    def __init__(self, max_words: int = 60_000):
         self.known: dict[bytes, int] = {}
         self.max_words = max_words
 

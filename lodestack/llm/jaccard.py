@@ -302,11 +302,13 @@ def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, perc
             if rows := [(node, flat[a:b].view(np.int64)) for node, a, b in _new(flat, at, seen)]:
                 yield _batch(rows, schema)
 
-    sets = cut(known.unionByName(lost).select("text").mapInArrow(run, "node long, members array<long>").dropDuplicates(["node"]), "jaccard-sets")
+    # One row has each candidate's id; where ids repeat or are null some links are told more often than once.
+    sets_of = lambda df: df.select("text").mapInArrow(run, "node long, members array<long>")
+    sets = cut(sets_of(known).unionByName(sets_of(lost).dropDuplicates(["node"])), "jaccard-sets")
     end = lambda name: sets.select(F.col("node").alias(name), F.col("members").alias(f"m{name}"))
     both = pairs.join(end("a"), "a").join(end("b"), "b")
     shared = F.size(F.array_intersect("ma", "mb"))
-    links = cut(both.where(100 * shared >= percent * (F.size("ma") + F.size("mb") - shared)).select("a", "b"), "jaccard-links")
+    links = cut(both.where(100 * shared >= percent * (F.size("ma") + F.size("mb") - shared)).select("a", "b").distinct(), "jaccard-links")
     forget(reps, sets)
     return links
 
