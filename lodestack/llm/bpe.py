@@ -72,7 +72,7 @@ PLAIN_CHARS = frozenset(map(chr, [*range(128), *range(0xC0, 0x100)]))
 class Merges:
     """Ranks of pairs of symbol ids, the first symbols of a byte and the added tokens, from a tokenizer file's text."""
 
-    def __init__(self, source: str, max_bytes: int = 1 << 27):
+    def __init__(self, source: str, max_bytes: int = 1 << 26):
         spec = json.loads(source)
         ids = spec["model"]["vocab"]
         end = spec["model"]["end_of_word_suffix"] or ""
@@ -184,26 +184,31 @@ def merges_of(source: str) -> Merges:
     return Merges(source)
 
 
-def _mapped(df: DataFrame, column: str, kind: T.DataType, read: str, make) -> DataFrame:
-    """df with one more column, made by what make() returns from arrays of read."""
-    schema = T.StructType([f for f in df.schema.fields if f.name != column] + [T.StructField(column, kind)])
+def _mapped(df: DataFrame, read: str, *steps, without: tuple[str, ...] = ()) -> DataFrame:
+    """df with a column for each step (name, type, make): made by what make() returns from the column before it.
+
+    The first step reads `read`. All steps of a batch are done by one worker. Columns in `without` are left behind.
+    """
+    added = [name for name, _, _ in steps]
+    schema = T.StructType([f for f in df.schema.fields if f.name not in (*added, *without)] + [T.StructField(name, kind) for name, kind, _ in steps])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = make()
+        works = [make() for _, _, make in steps]
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                got = work(part.column(part.schema.get_field_index(read)))
-                keep = [(n, c) for n, c in zip(part.schema.names, part.columns, strict=True) if n != column]
-                yield pa.RecordBatch.from_arrays([c for _, c in keep] + [got], names=[n for n, _ in keep] + [column])
+                got = [part.column(part.schema.get_field_index(read))]
+                for work in works:
+                    got.append(work(got[-1]))
+                keep = [(n, c) for n, c in zip(part.schema.names, part.columns, strict=True) if n not in (*added, *without)]
+                yield pa.RecordBatch.from_arrays([c for _, c in keep] + got[1:], names=[n for n, _ in keep] + added)
 
     return df.mapInArrow(run, schema)
 
 
-def bpe_encode(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "bpe_ids") -> DataFrame:
-    """docs with out: array of token ids of the whole text. tokenizer: path of a tokenizer file that the driver reads."""
+def _encoder(spark: SparkSession, tokenizer: str):
     with open(tokenizer, encoding="utf-8") as f:
-        source = docs.sparkSession.sparkContext.broadcast(f.read())
+        source = spark.sparkContext.broadcast(f.read())
 
     def make():
         merges = merges_of(source.value)
@@ -216,18 +221,17 @@ def bpe_encode(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "
 
         return encode
 
-    return _mapped(docs, out, T.ArrayType(T.IntegerType()), text, make)
+    return make
 
 
-def bpe_decode(df: DataFrame, tokenizer: str, ids: str = "bpe_ids", out: str = "bpe_text") -> DataFrame:
-    """df with out: the text that the ids stand for (this kind joins its tokens by spaces); null ids are an empty text."""
+def _decoder(spark: SparkSession, tokenizer: str):
     with open(tokenizer, encoding="utf-8") as f:
         spec = json.load(f)
     names = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
     by_id = [""] * (max(names.values()) + 1)
     for name, i in names.items():
         by_id[i] = name
-    shared = df.sparkSession.sparkContext.broadcast(by_id)
+    shared = spark.sparkContext.broadcast(by_id)
 
     def make():
         table = pa.array(shared.value, pa.string())
@@ -241,7 +245,26 @@ def bpe_decode(df: DataFrame, tokenizer: str, ids: str = "bpe_ids", out: str = "
 
         return decode
 
-    return _mapped(df, out, T.StringType(), ids, make)
+    return make
+
+
+IDS, TEXT = T.ArrayType(T.IntegerType()), T.StringType()
+
+
+def bpe_encode(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "bpe_ids") -> DataFrame:
+    """docs with out: array of token ids of the whole text. tokenizer: path of a tokenizer file that the driver reads."""
+    return _mapped(docs, text, (out, IDS, _encoder(docs.sparkSession, tokenizer)))
+
+
+def bpe_decode(df: DataFrame, tokenizer: str, ids: str = "bpe_ids", out: str = "bpe_text") -> DataFrame:
+    """df with out: the text that the ids stand for (this kind joins its tokens by spaces); null ids are an empty text."""
+    return _mapped(df, ids, (out, TEXT, _decoder(df.sparkSession, tokenizer)))
+
+
+def bpe_round_trip(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "bpe_ids", out: str = "bpe_text") -> DataFrame:
+    """docs, but for text, with ids, as bpe_encode makes them, and out, which bpe_decode makes of those, by one worker."""
+    spark = docs.sparkSession
+    return _mapped(docs, text, (ids, IDS, _encoder(spark, tokenizer)), (out, TEXT, _decoder(spark, tokenizer)), without=(text,))
 
 
 def tokenizer_path() -> str:
@@ -258,7 +281,7 @@ def digests(df: DataFrame) -> DataFrame:
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return digests(bpe_decode(bpe_encode(docs, path).drop("text"), path))
+    return digests(bpe_round_trip(docs, path))
 
 
 SQL: dict[str, str] = {}

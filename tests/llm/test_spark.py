@@ -64,6 +64,8 @@ def test_bpe_decodes_as_the_library(spark):
     for i, t in enumerate(texts):
         want = own.encode(t, add_special_tokens=False).ids
         assert got[i]["bpe_ids"] == want and got[i]["bpe_text"] == own.decode(want, skip_special_tokens=False)
+    both = bpe.bpe_round_trip(docs_of(spark, list(enumerate(texts))).withColumn("bpe_ids", F.lit("clash")), path)
+    assert {r["doc_id"]: (r["bpe_ids"], r["bpe_text"]) for r in both.collect()} == {i: (r["bpe_ids"], r["bpe_text"]) for i, r in got.items()}
 
 
 def test_ledger_and_ablations(odd, none):
