@@ -52,8 +52,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, token ids and their number; the decoded text's digest shows that the ids can be read back."""
     path = bpe.tokenizer_path()
-    ids = bpe.bpe_encode(docs.select("doc_id", "source", "text"), path).drop("text")
-    return bpe.bpe_decode(ids, path).select("doc_id", "source", "bpe_ids", F.size("bpe_ids").cast("long").alias("n_tokens"), F.sha2("bpe_text", 256).alias("decoded_sha256"))
+    return bpe.bpe_round_trip(docs.select("doc_id", "source", "text"), path).select("doc_id", "source", "bpe_ids", F.size("bpe_ids").cast("long").alias("n_tokens"), F.sha2("bpe_text", 256).alias("decoded_sha256"))
 
 
 STAGES = [
