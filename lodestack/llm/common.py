@@ -1,18 +1,17 @@
-"""What the operators of this subpackage share: reading tables, cutting lineage, words."""
+"""What the operators of this subpackage share: reading tables, cutting lineage (see sources.scratch), words."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import reachable
+from ..sources.scratch import cut, few, folder, forget
+
+__all__ = ["UPPER", "WS", "ascii_lower", "cut", "few", "folder", "forget", "held_out", "table"]
 
 #: The ASCII white space that separates words.
 WS = " \t\n\x0b\x0c\r"
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -20,50 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reachable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that the cluster shares; a local one only on a local master that has none, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="lodestack-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared.rstrip('/')}/lodestack/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here and a lost executor loses nothing.
-
-    Shuffle files behind the written table serve nobody any more, so Spark is told to drop them as the write ends.
-    """
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.cut_path = path
-    return out
-
-
-def forget(*tables: DataFrame) -> None:
-    """Delete tables made by cut, once what was read from them is written; a DataFrame over them can't be read any more."""
-    for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.cut_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def few(df: DataFrame, limit: int = 4 << 20) -> DataFrame:
-    """df, marked for a broadcast if its files have at most `limit` bytes; beyond that Spark joins it by a shuffle.
-
-    df reads a table that is written, so that its size is known without a job.
-    """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if int(str(size)) <= limit else df
-
-
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else; lower() is the fast way where the string is all ASCII."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))
