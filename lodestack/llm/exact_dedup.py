@@ -33,7 +33,8 @@ def digests(docs: DataFrame) -> DataFrame:
 def frequent(rows: DataFrame, counters: int) -> DataFrame:
     """Hashes (xd_hash) of `counters` digests at most that may stand in many rows; no digest of many rows is missing."""
     sketch = rows.groupBy(F.pmod(F.spark_partition_id(), F.lit(WAYS)).alias("way")).agg(F.expr(f"approx_top_k_accumulate(xxhash64(xd_digest), {counters})").alias("s"))
-    top = sketch.agg(F.expr(f"approx_top_k_combine(s, {counters})").alias("s")).select(F.expr(f"approx_top_k_estimate(s, {counters})").alias("top"))
+    # By a key, so that tasks without rows have no sketch: combining would fail on theirs.
+    top = sketch.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_combine(s, {counters})").alias("s")).select(F.expr(f"approx_top_k_estimate(s, {counters})").alias("top"))
     return top.select(F.explode("top").alias("t")).where(F.col("t.count") > 1).select(F.col("t.item").alias("xd_hash"))
 
 
@@ -48,8 +49,6 @@ def classes(rows: DataFrame, counters: int = COUNTERS) -> DataFrame:
     alone = lambda df: df.withColumns({"xd_size": F.count(F.lit(1)).over(group), "xd_best": F.max(F.struct("doc_id", "xd_row")).over(group)})
     told = lambda df: df.select(*rows.columns, "xd_size", F.col("xd_best.doc_id").alias("xd_keep"), (F.col("xd_best.xd_row") == F.col("xd_row")).alias("xd_kept"))
     n = rows.count()
-    if not n:  # no sketches to combine
-        return told(alone(rows))
     named = cut(frequent(rows, counters), "exact-candidates").withColumnRenamed("xd_hash", "h")
     # Verified: counted in full, and frequent indeed.
     heavy = cut(_winners(rows.join(F.broadcast(named), F.xxhash64("xd_digest") == F.col("h"), "left_semi")).where(F.col("xd_size") > n // counters), "exact-heavy")
