@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, few, forget, table
+from .common import cut, few, forget, quantised, table
 
 #: Rows of a block of candidates and of anchors.
 ROWS, ANCHORS = 2048, 256
@@ -201,14 +201,8 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, positives: int = 5, negat
     return told.select("anchor_id", "positive_id", (F.col("at") + 1).alias("rank"), F.col("n.vec_id").alias("negative_id"), "positive_score", (-F.col("n.fall")).alias("negative_score"))
 
 
-def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id, label, x: floor(scale * entry) of the rows whose entries are all finite."""
-    whole = F.coalesce(F.forall("embedding", lambda v: F.coalesce(F.abs(v.cast("double")) < float("inf"), F.lit(False))), F.lit(False))
-    return vectors.where(whole).select("vec_id", "label", F.transform("embedding", lambda v: F.floor(v.cast("double") * scale).cast("long")).alias("x"))
-
-
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quantised(table(spark, sf_dir, "embeddings"))
+    rows = quantised(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
     rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
     return hard_negatives(rows, F.col("vec_id") % 100 == 0)
 
