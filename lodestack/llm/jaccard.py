@@ -40,6 +40,8 @@ SKETCH = 1 << 21
 HOT = 2_000
 #: Comparisons of rows for each row of a shared shingle that are made without looking for centres first.
 CHEAP = 1_000
+#: Earlier shared shingles that a row carries into the comparison of all, so that pairs meet once.
+EARLIER = 16
 #: Bytes of texts that are hashed at a time.
 AT_ONCE = 1 << 20
 #: Parities of a node's set, 64 to a column.
@@ -389,11 +391,15 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
         outside = rows.join(few(main), "shingle").where(F.col("comp") != F.col("main.comp"))
         if last:
             # Those outside against all the others, a hot shingle's share by share.
-            side = lambda df, name, *also: df.join(few(known), "node").select("shingle", "share", F.struct("node", "at", "comp", "n", *PARITY, *also).alias(name))
+            # Two nodes that share an earlier shingle have met there: at their first common one they share none.
+            earlier = Window.partitionBy("node").orderBy("at").rowsBetween(-EARLIER, -1)
+            traced = cut(rows.select("shingle", "share", "node", "at", "comp", F.collect_list("shingle").over(earlier).alias("before")), "jaccard-traced")
+            outside = traced.join(few(main), "shingle").where(F.col("comp") != F.col("main.comp"))
+            side = lambda df, name, *also: df.join(few(known), "node").select("shingle", "share", F.struct("node", "at", "comp", "n", "before", *PARITY, *also).alias(name))
             to = F.when(F.col("shares") < 0, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("shares")))
             x = side(outside.withColumn("share", F.explode(to)), "x", F.col("main.comp").alias("main"))
             once = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("x.main")) | (F.col("x.node") < F.col("y.node")))
-            late = x.join(side(rows, "y"), ["shingle", "share"]).where(once & fits("x.at", "y.at") & near_enough("x", "y", percent))
+            late = x.join(side(traced, "y"), ["shingle", "share"]).where(once & fits("x.at", "y.at") & near_enough("x", "y", percent) & ~F.arrays_overlap("x.before", "y.before"))
             pairs = candidates(pair(late, "x.node", "y.node"), known, seen, percent)
         else:
             pairs = candidates(pair(outside.where((F.col("main.degree") >= 0) & fits("at", "main.at")), "node", "main.node"), known, seen, percent)
