@@ -58,9 +58,9 @@ def s2(spark, d):
 
 @query("s3_read_write_chunks", "SELECT brand_slug, count(*) AS n, sum(n)::BIGINT AS chars FROM (SELECT source AS brand_slug, length(text) AS n FROM documents) GROUP BY 1")
 def s3(spark, d):
-    from ..sources.scratch import cut
+    from ..sources.scratch import folder
 
-    path = cut(spark.range(1), "chunks").inputFiles()[0].rsplit("/", 1)[0] + "-brands"
+    path = folder(spark, "chunks")
     s.write_chunks(chunks_of(spark, d), path)
     return s.read_chunks(spark, path).groupBy("brand_slug").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("chars"))
 

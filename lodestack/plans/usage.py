@@ -12,7 +12,7 @@ from ..operators import evaluation as e
 from ..operators import metrics as m
 from ..operators import retrieval as r
 from ..operators.chunking import embed
-from ..sources.tables import load
+from ..sources.tables import document_status, load, read_chunks
 from .text import FILE_NORM, FIRST, in_list, norm, words
 
 QUERIES, SQL = {}, {}
@@ -488,6 +488,18 @@ def st4(spark, d):
     return status_changes(load(spark, d, "events"), "user_id", "event_type", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
+#: Ends of a key's rows in the queries that stop at one.
+_END = ("purchase", "signup")
+_ENDED = "SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER w AS before, coalesce(bool_or(event_type IN ('purchase', 'signup')) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ended FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE before IS DISTINCT FROM event_type AND NOT ended"
+
+
+@query("st4_until_the_end", _ENDED)
+def st4_end(spark, d):
+    from ..streaming.jobs import status_changes
+
+    return status_changes(load(spark, d, "events"), "user_id", "event_type", ["ts", "event_id"], _END).select("user_id", "event_id", "event_type")
+
+
 # Streams that read what is there and end
 
 
@@ -519,16 +531,34 @@ def st1(spark, d):
     return _ended(stream_quota(_arriving(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), limit.alias("daily_limit"))), "quota")
 
 
-@query("st2_stream_ingest")
-def st2(spark, d):
+@query("st4_stream_status", _ENDED)
+def st4_stream(spark, d):
+    from ..streaming.jobs import stream_status
+
+    events = _arriving(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    return _ended(stream_status(events, "event_type", _END), "status")
+
+
+def _ingested(spark, d):
+    """Documents as arriving pages, and the store that they are ingested to."""
     from ..sources.scratch import folder
     from ..streaming.jobs import stream_ingest
 
     out = folder(spark, "ingest")
     pages = _arriving(spark, d, "documents").select(F.col("source").alias("brand"), "doc_id", F.col("lang").alias("name"), F.lit(1).alias("page"), "text")
     stream_ingest(pages, f"{out}/store", f"{out}/check").awaitTermination()
-    chunks = spark.read.parquet(f"{out}/store")
-    return chunks.select(F.col("brand_slug").cast("string").alias("brand_slug"), "doc_id", "chunk_index", "chunk_total", F.md5("text").alias("h"))
+    return f"{out}/store"
+
+
+@query("st2_stream_ingest")
+def st2(spark, d):
+    return read_chunks(spark, _ingested(spark, d)).select("brand_slug", "doc_id", "chunk_index", "chunk_total", F.md5("text").alias("h"))
+
+
+@query("st2_ingest_status", "SELECT source AS brand_slug, doc_id, CASE WHEN length(coalesce(text, '')) > 0 THEN 'indexed' ELSE 'error' END AS status FROM documents")
+def st2_status(spark, d):
+    docs = load(spark, d, "documents").select(F.col("source").alias("brand_slug"), "doc_id")
+    return document_status(spark, _ingested(spark, d), docs).select("brand_slug", "doc_id", "status")
 
 
 @query("st3_stream_dedupe", f"SELECT DISTINCT own AS brand, name AS norm FROM (SELECT own, {FILE_NORM.format(x='name')} AS name FROM (SELECT source AS own, {FIRST} AS name FROM documents WHERE doc_id % 3 <> 0)) n WHERE name IS NOT NULL AND NOT EXISTS (SELECT 1 FROM documents o WHERE o.doc_id % 3 = 0 AND o.source = n.own AND {FILE_NORM.format(x='string_split(o.text, chr(10))[1]')} = n.name)")

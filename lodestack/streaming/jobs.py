@@ -2,74 +2,53 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators.chunking import chunk_records
 from ..sources import tables
+from ..sources.scratch import cut, forget
+from .state import Changes, Quota, use_rocksdb
+
 
-HOURS = 24
-
-
-def quota_state(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Rows of one user with `allowed`; state is (window start in micros, used) and goes when its window has passed."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    start, used = state.get if state.exists else (None, 0)
-    events = pd.concat(list(pdfs)).sort_values(["ts", "event_id"], kind="stable")
-    allowed = []
-    for at, limit in zip(events["ts"].astype("int64").floordiv(1) // (1 if str(events["ts"].dtype).endswith("us]") else 1000), events["daily_limit"], strict=True):
-        if start is None or at - start >= HOURS * 3_600_000_000:
-            start, used = int(at), 0
-        fine = pd.isna(limit) or used < limit
-        used += int(fine)
-        allowed.append(bool(fine))
-    state.update((start, used))
-    state.setTimeoutTimestamp(max(start // 1000 + HOURS * 3_600_000, state.getCurrentWatermarkMs() + 1))
-    yield events.assign(allowed=allowed)[["user_id", "event_id", "allowed"]]
-
-
-def stream_quota(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """events (event_id, user_id, ts, daily_limit) as a stream, each with whether the quota allows it.
-
-    State is one small pair for each user with an open window; a window that the watermark has passed is forgotten, as
-    the next event would open a new one anyway. Events of a batch are taken in time order, batches as they arrive: what
-    comes late is counted when it comes. The watermark is ours to choose.
+def stream_quota(events: DataFrame, late: str = "1 hour", keep_hours: int = 24, sweep_ms: int = 60_000) -> DataFrame:
+    """events (event_id, user_id, ts, daily_limit) as a stream, each with whether the quota allows it, as it arrives.
+
+    Late events count, however late: each falls into the window of its own time. State is the windows of a user that
+    ended less than keep_hours before the watermark (`late` behind the newest event); what falls before them opens a
+    window anew. Within a batch events are taken in time order.
     """
-    return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(quota_state, "user_id long, event_id long, allowed boolean", "start long, used int", "append", "EventTimeTimeout")
+    use_rocksdb(events.sparkSession)
+    return events.withWatermark("ts", late).groupBy("user_id").transformWithStateInPandas(Quota(24, keep_hours, sweep_ms), "user_id long, event_id long, allowed boolean", "append", "processingTime")
 
 
-def stream_ingest(pages: DataFrame, store: str, checkpoint: str):
-    """Chunk arriving pages (brand, doc_id, name, page, text) and replace those pages in the store; idempotent by id.
+def stream_status(events: DataFrame, status: str, terminal: tuple[str, ...] = (), key: str = "user_id", late: str = "1 hour", keep_hours: int = 24, sweep_ms: int = 60_000) -> DataFrame:
+    """(key, event_id, status) of a stream of events (key, event_id, ts, status): rows that change the key's status, up to its end.
 
-    A page that has become empty loses its chunks. Each batch reads and writes the brands it touches, so batches should
-    be large beside a brand, or brands small.
+    What :func:`status_changes` gives for the same rows, if they come in time order; see :class:`Changes`.
     """
+    use_rocksdb(events.sparkSession)
+    rows = events.select(key, "event_id", "ts", status).withWatermark("ts", late).groupBy(key)
+    return rows.transformWithStateInPandas(Changes(key, status, terminal, keep_hours, sweep_ms), f"{key} long, event_id long, {status} string", "append", "processingTime")
 
-    def add(batch: DataFrame, _: int) -> None:
-        from pyspark.errors import AnalysisException
 
-        from ..sources.scratch import cut
+def stream_ingest(pages: DataFrame, store: str, checkpoint: str):
+    """Chunk arriving pages (brand, doc_id, name, page, text) and replace those pages in the store, with their documents' status.
+
+    Chunks and status are one commit, which carries the query's id and the batch's number: a batch that is replayed
+    after a crash is done once, whether the crash came before the commit or after it. A page that has become empty
+    loses its chunks; a document is `indexed` if it has chunks, else `error` (see sources.tables.document_status).
+    Each batch reads and writes the brands it touches, so batches should be large beside a brand, or brands small.
+    """
 
+    def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
         new = cut(chunk_records(batch, "brand", "doc_id", "name", "page"), "ingest-new")
-        try:
-            old = spark.read.parquet(store)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            tables.write_chunks(new, store)
-            return
-        pages = batch.select(F.col("brand").alias("brand_slug"), "doc_id", F.col("page").alias("page_number")).distinct()
-        # Only the brands of this batch are read and written again.
-        touched = old.join(pages.select("brand_slug").distinct(), "brand_slug", "left_semi")
-        merged = cut(touched.join(pages, ["brand_slug", "doc_id", "page_number"], "left_anti").unionByName(new), "ingest")
-        tables.write_chunks(merged, store)
+        met = cut(batch.select(F.col("brand").alias("brand_slug"), "doc_id", F.col("page").alias("page_number")).distinct(), "ingest-pages")
+        tables.replace_pages(spark, store, met, new, query, number)
+        forget(new, met)
 
     return pages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -81,7 +60,9 @@ def stream_dedupe(names: DataFrame, existing: DataFrame, name: str, brand: str)
     return fresh.dropDuplicates([brand, "norm"])
 
 
-def status_changes(events: DataFrame, key: str, status: str, order: list[str]) -> DataFrame:
-    """Rows whose status differs from the one before."""
-    before = F.lag(status).over(Window.partitionBy(key).orderBy(*order))
-    return events.withColumn("_before", before).where(~F.col("_before").eqNullSafe(F.col(status)) | F.col("_before").isNull()).drop("_before")
+def status_changes(events: DataFrame, key: str, status: str, order: list[str], terminal: tuple[str, ...] = ()) -> DataFrame:
+    """Rows whose status differs from the one before, up to and with the key's first terminal status."""
+    w = Window.partitionBy(key).orderBy(*order)
+    ended = F.max(F.coalesce(F.col(status).isin(*terminal), F.lit(False))).over(w.rowsBetween(Window.unboundedPreceding, -1)) if terminal else F.lit(False)
+    rows = events.withColumns({"_before": F.lag(status).over(w), "_n": F.row_number().over(w), "_ended": F.coalesce(ended, F.lit(False))})
+    return rows.where(~F.col("_ended") & ((F.col("_n") == 1) | ~F.col("_before").eqNullSafe(F.col(status)))).drop("_before", "_n", "_ended")
