@@ -41,7 +41,7 @@ HOT = 2_000
 #: Comparisons of rows for each row of a shared shingle that are made without looking for centres first.
 CHEAP = 1_000
 #: Earlier shared shingles that a row carries into the comparison of all, so that pairs meet once.
-EARLIER = 16
+EARLIER = 6
 #: Bytes of texts that are hashed at a time.
 AT_ONCE = 1 << 20
 #: Parities of a node's set, 64 to a column.
@@ -326,10 +326,11 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where(F.col("b") > F.col("a")).join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(low, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        # A node has few smaller neighbours now: centres are at the other end.
+        small = large.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+        moved = small.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         told = Observation()
-        after = low.select("a", F.col("m").alias("b")).unionByName(moved).distinct()
+        after = small.select("a", F.col("m").alias("b")).unionByName(moved).distinct()
         after = cut(after.observe(told, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")), "stars")
         forget(edges)
         edges, now = after, (told.get["n"], told.get["h"])
@@ -351,8 +352,12 @@ def _unsettled(met: DataFrame, comps: DataFrame, links: DataFrame) -> DataFrame:
     return rows.join(told.select("node", F.coalesce("members", F.lit(1)).alias("members"), F.coalesce("degree", F.lit(0)).alias("degree")), "node")
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, jc_shingles, jc_component (smallest doc_id reachable by links, itself included) for every row of docs."""
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, cheap: int = CHEAP) -> DataFrame:
+    """doc_id, jc_shingles, jc_component (smallest doc_id reachable by links, itself included) for every row of docs.
+
+    cheap: comparisons for each row of a shared shingle that are made without looking for centres first; it decides the
+    work, not the result.
+    """
     parts = cut(nodes_and_sketch(docs, width), "jaccard-nodes")
     nodes = parts.where(F.col("block").isNull()).select("doc_id", "node", "n")
     known = cut(parts.where(F.col("g0").isNotNull()).select("node", "n", *PARITY).dropDuplicates(["node"]), "jaccard-known")
@@ -387,19 +392,20 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
         main = cut(main, "jaccard-main")
         # What comparing those outside with all the others would take; cheap, it is done at once.
         before, work = work, main.agg(F.coalesce(F.sum((F.col("rows") - F.col("inside")) * F.col("rows").cast("double")), F.lit(0.0))).first()[0]
-        last = work <= CHEAP * size or work > 0.7 * before
+        last = work <= cheap * size or work > 0.7 * before
         outside = rows.join(few(main), "shingle").where(F.col("comp") != F.col("main.comp"))
         if last:
             # Those outside against all the others, a hot shingle's share by share.
-            # Two nodes that share an earlier shingle have met there: at their first common one they share none.
+            # Two nodes that share an earlier shingle have met there: at their first common one they share none. Rows are
+            # dealt by node once, for what they carry of their node and for its earlier shingles.
             earlier = Window.partitionBy("node").orderBy("at").rowsBetween(-EARLIER, -1)
-            traced = cut(rows.select("shingle", "share", "node", "at", "comp", F.collect_list("shingle").over(earlier).alias("before")), "jaccard-traced")
+            traced = rows.select("shingle", "share", "node", "at", "comp").join(few(known), "node").withColumn("before", F.collect_list("shingle").over(earlier))
+            traced = cut(traced.select("shingle", "share", "comp", F.struct("node", "at", "comp", "n", "before", *PARITY).alias("y")), "jaccard-traced")
             outside = traced.join(few(main), "shingle").where(F.col("comp") != F.col("main.comp"))
-            side = lambda df, name, *also: df.join(few(known), "node").select("shingle", "share", F.struct("node", "at", "comp", "n", "before", *PARITY, *also).alias(name))
             to = F.when(F.col("shares") < 0, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("shares")))
-            x = side(outside.withColumn("share", F.explode(to)), "x", F.col("main.comp").alias("main"))
-            once = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("x.main")) | (F.col("x.node") < F.col("y.node")))
-            late = x.join(side(traced, "y"), ["shingle", "share"]).where(once & fits("x.at", "y.at") & near_enough("x", "y", percent) & ~F.arrays_overlap("x.before", "y.before"))
+            x = outside.select("shingle", F.explode(to).alias("share"), F.col("y").alias("x"), F.col("main.comp").alias("main"))
+            once = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("main")) | (F.col("x.node") < F.col("y.node")))
+            late = x.join(traced.select("shingle", "share", "y"), ["shingle", "share"]).where(once & fits("x.at", "y.at") & near_enough("x", "y", percent) & ~F.arrays_overlap("x.before", "y.before"))
             pairs = candidates(pair(late, "x.node", "y.node"), known, seen, percent)
         else:
             pairs = candidates(pair(outside.where((F.col("main.degree") >= 0) & fits("at", "main.at")), "node", "main.node"), known, seen, percent)
