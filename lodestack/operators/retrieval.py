@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from .chunking import embed
+from .substrings import keyword_hits, names_with_tokens
 
 #: Queries that one scan of the chunks compares; more of them take more scans.
 QUERY_BLOCK = 4096
-KEYWORD_BLOCK = 1000
 
 
 def cosine(a, b) -> Column:
@@ -96,37 +96,37 @@ def doc_filename_map(chunks: DataFrame, doc: str, name: str, order: str) -> Data
 
 
 def filename_bonus(name, query) -> Column:
-    """0.08 for each query token in the file name (spaces or not), 0.05 more for two, 0.25 at most."""
+    """0.08 for each query token in the file name (spaces or not), 0.05 more for two, 0.25 at most; null has no tokens."""
     fn = t.normalize_for_matching(name)
     squeezed = F.replace(fn, F.lit(" "), F.lit(""))
-    hits = F.size(F.filter(t.key_tokens(query), lambda w: fn.contains(w) | squeezed.contains(w)))
+    hits = F.coalesce(F.size(F.filter(t.key_tokens(query), lambda w: fn.contains(w) | squeezed.contains(w))), F.lit(0))
     return F.least(F.lit(0.25), hits * 0.08 + F.when(hits >= 2, 0.05).otherwise(0.0))
 
 
 def filename_candidates(queries: DataFrame, names: DataFrame, least: float = 0.15) -> DataFrame:
     """(query_id, doc_id, bonus) of a brand's documents whose names match a query well.
 
-    A token may stand anywhere in a name, spaces or not, so each name of a brand is held against its queries: work is
-    their product, for queries by the thousand. Spark broadcasts the queries if they are small.
+    Names are found by an index of pieces (see substrings.names_with_tokens) and only what it finds is held against the
+    query. A bonus that no token has to earn asks for all pairs of a brand, and gets them.
     """
-    pairs = names.join(queries.select("query_id", "brand", F.col("text").alias("q")), "brand")
+    asked = queries.select("query_id", "brand", F.col("text").alias("q"))
+    hits = next((n for n in range(1, 4) if 0.08 * n + 0.05 * (n >= 2) >= least - 1e-9), 4) if least > 0 else 0
+    if hits:
+        tokens = asked.select("query_id", "brand", F.explode(t.key_tokens("q")).alias("token")).groupBy("query_id", "brand", "token").agg(F.count(F.lit(1)).alias("times"))
+        squeezed = names.select("brand", "doc_id", F.replace(t.normalize_for_matching("name"), F.lit(" "), F.lit("")).alias("name"))
+        pairs = names_with_tokens(tokens, squeezed, hits).join(asked, "query_id").join(names, ["brand", "doc_id"])
+    else:
+        pairs = names.join(asked, "brand")
     return pairs.select("query_id", "doc_id", F.round(filename_bonus("name", "q"), 6).alias("bonus")).where(F.col("bonus") >= least)
 
 
-def keyword_candidates(keywords: DataFrame, docs: DataFrame, query: str, text: str = "text") -> DataFrame:
-    """docs' rows once for each query one of whose keywords stands in the text. keywords: query, keyword.
+def keyword_candidates(keywords: DataFrame, docs: DataFrame, query: str, text: str = "text", fold=F.lower) -> DataFrame:
+    """docs' rows once for each query one of whose keywords stands in the text. keywords: query, keyword, folded as the text is.
 
-    The distinct keywords are looked for in blocks, one scan of the documents each; texts never move.
+    Keywords stay a table, whatever their number, and texts do not move (see substrings.keyword_hits). % and _ in a
+    keyword are any run of characters and any one. fold=substrings.ascii_lower leaves letters beside A-Z as they are.
     """
-    listed = [r["keyword"] for r in keywords.select("keyword").distinct().orderBy("keyword").toLocalIterator() if r["keyword"]]
-    found = None
-    for at in range(0, len(listed), KEYWORD_BLOCK):
-        block = F.array(*[F.lit(k) for k in listed[at : at + KEYWORD_BLOCK]])
-        low = docs.withColumn("_low", F.lower(text))
-        hit = low.select(*[c for c in docs.columns if c != text], F.explode(F.filter(block, lambda k: F.col("_low").contains(k))).alias("keyword"))
-        found = hit if found is None else found.unionByName(hit)
-    if found is None:
-        found = docs.drop(text).limit(0).withColumn("keyword", F.lit(""))
+    found = keyword_hits(keywords, docs, text, fold)
     return found.join(keywords.select(query, "keyword").distinct(), "keyword").drop("keyword").distinct()
 
 
