@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from .chunking import embed
 from .substrings import keyword_hits, names_with_tokens
+from .vectors import nearest
 
-#: Queries that one scan of the chunks compares; more of them take more scans.
-QUERY_BLOCK = 4096
 
 
 def cosine(a, b) -> Column:
@@ -29,59 +23,15 @@ def cosine(a, b) -> Column:
 def cosine_topk(queries: DataFrame, chunks: DataFrame, top: int, least: float, strict: bool = False) -> DataFrame:
     """(query_id, chunk_id, similarity, rank): the best `top` chunks of each query's brand.
 
-    queries: query_id, brand, vector; chunks: chunk_id, brand, vector. Chunks stay where they are: each batch is
-    multiplied with a block of queries and sends its own best `top` of each query, so what is shuffled grows with
-    queries, not with chunks. A block of queries and the brands go through the driver, so queries may be many thousands,
-    not many millions. Vectors that are null or zero match nothing; ties go to the smaller chunk_id.
+    queries: query_id, brand, vector; chunks: chunk_id, brand, vector. Vectors that are null or zero match nothing; ties
+    go to the smaller chunk_id. Queries may be millions: see :mod:`vectors`.
     """
-    spark = chunks.sparkSession
-    brands = sorted({r["brand"] for r in queries.select("brand").distinct().collect() if r["brand"] is not None})
-    coded = {b: i for i, b in enumerate(brands)}
-    rows = queries.where(F.col("vector").isNotNull() & F.col("brand").isNotNull()).select("query_id", "brand", "vector").orderBy("query_id")
-    parts, block = [], []
-    schema = "query_id long, chunk_id long, similarity double"
-
-    def scan(block):
-        ids = np.array([r["query_id"] for r in block])
-        q = np.array([r["vector"] for r in block], dtype=np.float64)
-        norm = np.linalg.norm(q, axis=1, keepdims=True)
-        q = np.divide(q, norm, out=np.zeros_like(q), where=norm > 0)
-        shared = spark.sparkContext.broadcast((ids, q, np.array([coded[r["brand"]] for r in block]), coded))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q, brand, coded = shared.value
-            for batch in batches:
-                table = pa.Table.from_batches([batch]).filter(pc.is_valid(batch["vector"]))
-                if not table.num_rows:
-                    continue
-                x = np.array(table["vector"].to_pylist(), dtype=np.float64)
-                norm = np.linalg.norm(x, axis=1, keepdims=True)
-                x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
-                own = np.array([coded.get(b, -1) for b in table["brand"].to_pylist()])
-                chunk = np.array(table["chunk_id"].to_pylist())
-                for at in range(0, len(q), 256):
-                    s = q[at : at + 256] @ x.T
-                    fine = (brand[at : at + 256, None] == own[None, :]) & ((s > least) if strict else (s >= least))
-                    for i in np.flatnonzero(fine.any(axis=1)):
-                        j = np.flatnonzero(fine[i])
-                        if len(j) > top:
-                            j = j[np.lexsort((chunk[j], -s[i, j]))[:top]]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), ids[at + i])), pa.array(chunk[j]), pa.array(s[i, j])], names=["query_id", "chunk_id", "similarity"])
-
-        return chunks.select("chunk_id", "brand", "vector").mapInArrow(run, schema)
-
-    for r in rows.toLocalIterator():  # a block of the stated queries at a time
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            parts.append(scan(block))
-            block = []
-    if block or not parts:
-        parts.append(scan(block) if block else spark.createDataFrame([], schema))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    return nearest(queries, chunks, top, least, strict=strict).select("query_id", "chunk_id", "similarity", "rank")
+
+
+def nearest_per_doc(queries: DataFrame, chunks: DataFrame, per_doc: int, least: float) -> DataFrame:
+    """(query_id, doc_id, chunk_id, similarity): the best `per_doc` chunks of each query and document. chunks: with doc_id."""
+    return nearest(queries, chunks, per_doc, least, by_doc=True).select("query_id", "doc_id", "chunk_id", "similarity")
 
 
 def match_documents(queries: DataFrame, chunks: DataFrame, threshold: float, n: int) -> DataFrame:

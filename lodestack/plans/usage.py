@@ -12,6 +12,7 @@ from ..operators import evaluation as e
 from ..operators import metrics as m
 from ..operators import retrieval as r
 from ..operators.chunking import embed
+from ..sources.scratch import cut
 from ..sources.tables import document_status, load, read_chunks
 from .text import FILE_NORM, FIRST, in_list, norm, words
 
@@ -83,8 +84,7 @@ def r5(spark, d):
 @query("r7_inject_docs", f"WITH {_S}, f AS (SELECT DISTINCT query_id, doc_id FROM s WHERE similarity >= 0.3), w AS (SELECT s.*, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY similarity DESC, chunk_id) AS k FROM s WHERE similarity >= 0.1 AND (query_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM f)) SELECT query_id, doc_id, chunk_id FROM w WHERE k <= 4")
 def r7(spark, d):
     chunks, q = chunk_rows(spark, d), query_rows(spark, d)
-    ids = chunks.select("chunk_id", "doc_id")
-    near = r.cosine_topk(q, chunks, 1 << 30, 0.1).join(ids, "chunk_id").select("query_id", "doc_id", "chunk_id", "similarity")
+    near = cut(r.nearest_per_doc(q, chunks, 4, 0.1), "near")  # a document's best chunk tells if it was found
     return r.inject_docs(near, near.where("similarity >= 0.3"), near).select("query_id", "doc_id", "chunk_id")
 
 
@@ -111,9 +111,9 @@ def r8(spark, d):
 
 @query("r9_union_candidates", f"WITH {_S}, a AS (SELECT query_id, chunk_id, 1 AS phase FROM s WHERE similarity >= 0.2 UNION ALL SELECT query_id, chunk_id, 2 FROM s WHERE chunk_id % 7 = 0 AND similarity >= 0.1) SELECT query_id, chunk_id, min(phase) AS phase FROM a GROUP BY 1, 2")
 def r9(spark, d):
-    near = r.cosine_topk(query_rows(spark, d), chunk_rows(spark, d), 1 << 30, 0.1).select("query_id", "chunk_id")
-    best = r.cosine_topk(query_rows(spark, d), chunk_rows(spark, d), 1 << 30, 0.2).select("query_id", "chunk_id")
-    return r.union_candidates([best, near.where("chunk_id % 7 = 0")], ["query_id", "chunk_id"]).select("query_id", "chunk_id", "phase")
+    chunks = chunk_rows(spark, d).withColumn("doc_id", F.col("chunk_id"))  # every chunk a document of its own
+    above = lambda some, least: r.nearest_per_doc(query_rows(spark, d), some, 1, least).select("query_id", "chunk_id")
+    return r.union_candidates([above(chunks, 0.2), above(chunks.where("chunk_id % 7 = 0"), 0.1)], ["query_id", "chunk_id"]).select("query_id", "chunk_id", "phase")
 
 
 @query("r10_lexical_bonus", f"SELECT doc_id, round(least(0.24, coalesce(list_sum(list_transform(['UV', 'OV', 'THE', 'ON', 'ERER'], lambda x: CASE WHEN list_contains(w, x) THEN 0.08 WHEN contains(u, x) THEN 0.04 ELSE 0.0 END)), 0)), 6)::DOUBLE AS bonus FROM (SELECT doc_id, upper(text) AS u, {words('upper(text)')} AS w FROM documents WHERE text IS NOT NULL)")
