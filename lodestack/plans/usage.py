@@ -41,8 +41,12 @@ def chunk_rows(spark, d):
     return rows.select(F.col("vec_id").alias("chunk_id"), (F.col("vec_id") % 97).alias("doc_id"), "brand", name.alias("name"), "text", "vector")
 
 
+def as_queries(chunks):
+    return chunks.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "brand", F.substring("text", 1, 80).alias("text"), "vector")
+
+
 def query_rows(spark, d):
-    return chunk_rows(spark, d).where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "brand", F.substring("text", 1, 80).alias("text"), "vector")
+    return as_queries(chunk_rows(spark, d))
 
 
 _C = "c AS (SELECT e.vec_id AS chunk_id, e.vec_id % 97 AS doc_id, label AS brand, source || ' ' || substr(string_split(text, chr(10))[1], 1, 60) AS name, text, embedding::DOUBLE[] AS v FROM embeddings e JOIN documents ON doc_id = vec_id), q AS (SELECT chunk_id AS query_id, brand, substr(text, 1, 80) AS text, v FROM c WHERE chunk_id % 100 = 0)"
@@ -92,21 +96,28 @@ def r7(spark, d):
 DIMENSION = 64
 
 
-def hashed_letters(texts):
-    """A stand-in for an embedding service: a text's vector is drawn from a hash of its first letters."""
+def hashed_words(texts):
+    """A stand-in for an embedding service: every word of the text adds one to the component that its hash names, or takes one."""
     import zlib
 
     import numpy as np
 
-    vectors = [np.random.default_rng(zlib.crc32(x[:2].lower().encode())).normal(size=DIMENSION).tolist() for x in texts]
-    return texts.map(dict(zip(texts, vectors, strict=True)))
+    def vector(text):
+        h = np.array([zlib.crc32(w.encode()) for w in text.lower().split()] or [0], dtype=np.int64)
+        return np.bincount(h % DIMENSION, weights=1.0 - 2.0 * (h >> 31), minlength=DIMENSION).tolist()
+
+    return texts.map(vector)
+
+
+def embedded(chunks):
+    """Chunks with the stand-in's vector of their whole text."""
+    return embed(chunks.drop("vector").where("text IS NOT NULL"), hashed_words, DIMENSION)
 
 
 @query("r8_multi_query")
 def r8(spark, d):
-    """Keywords and chunks share the stand-in's space: a chunk's vector is that of its text."""
-    chunks = embed(chunk_rows(spark, d).drop("vector").where("text IS NOT NULL"), hashed_letters, DIMENSION)
-    return r.multi_query(query_rows(spark, d), chunks, hashed_letters, DIMENSION).select("query_id", "chunk_id", F.round("similarity", 6).alias("similarity"))
+    """Keywords and chunks share the stand-in's space, where a word is far from a text of many: hence the low threshold."""
+    return r.multi_query(query_rows(spark, d), embedded(chunk_rows(spark, d)), hashed_words, DIMENSION, least=0.2).select("query_id", "chunk_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query("r9_union_candidates", f"WITH {_S}, a AS (SELECT query_id, chunk_id, 1 AS phase FROM s WHERE similarity >= 0.2 UNION ALL SELECT query_id, chunk_id, 2 FROM s WHERE chunk_id % 7 = 0 AND similarity >= 0.1) SELECT query_id, chunk_id, min(phase) AS phase FROM a GROUP BY 1, 2")
@@ -172,8 +183,9 @@ def r16(spark, d):
 
 @query("r17_hybrid_search")
 def r17(spark, d):
-    queries, chunks = query_rows(spark, d), chunk_rows(spark, d)
-    return r.hybrid_search(queries, chunks, r.multi_query(queries, chunks, hashed_letters, DIMENSION))
+    chunks = cut(chunk_rows(spark, d), "chunks")
+    queries = cut(as_queries(chunks), "queries")
+    return r.hybrid_search(queries, chunks, r.multi_query(queries, embedded(chunks), hashed_words, DIMENSION, least=0.2))
 
 
 @query("r18_symptom_boost", f"WITH {_DIV}, x AS (SELECT f.*, name, score + CASE WHEN regexp_matches(name, 'e[rn]') THEN 0.12 ELSE 0 END - CASE WHEN regexp_matches(name, 'th') THEN 0.08 ELSE 0 END AS z FROM f JOIN c USING (chunk_id) WHERE rank <= 7) SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY z DESC, rank) AS rank FROM x")
