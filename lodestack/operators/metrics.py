@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vocab
 
@@ -76,31 +81,90 @@ def bucket_series(events: DataFrame, now: str, period: str) -> DataFrame:
     return F.broadcast(every).join(counts, "back", "left").select("bucket", F.coalesce("k", F.lit(0)).alias("n"))
 
 
-def quota_fold(times: Column, limit: Column, hours: int = 24) -> Column:
-    """(windows, used, blocked, window_start) after events given as (micros, step); step +1 uses, -1 refunds.
+class QuotaFold:
+    """One user's windows, uses that counted and uses blocked, as events come in time order.
 
-    A window opens with a use and lasts `hours`; a use at its end or later opens the next. Uses beyond the limit are
-    blocked and do not count; no limit blocks none; a refund in an open window takes one back, not below zero.
+    A window opens with a use and lasts `span` microseconds; a use at its end or later opens the next. Uses beyond the
+    limit are blocked and do not count; no limit blocks none; a refund in an open window takes one back, not below zero.
     """
-    span = hours * 3_600_000_000
-    zero = F.struct(F.lit(0).alias("windows"), F.lit(None).cast("long").alias("start"), F.lit(0).alias("used"), F.lit(0).alias("total"), F.lit(0).alias("blocked"))
-
-    def step(s: Column, e: Column) -> Column:
-        open_ = s["start"].isNotNull() & (e["at"] - s["start"] < span)
-        used = F.when(open_, s["used"]).otherwise(0)
-        stop = limit.isNotNull() & (used >= limit)
-        use = F.struct((s["windows"] + F.when(open_, 0).otherwise(1)).alias("windows"), F.when(open_, s["start"]).otherwise(e["at"]).alias("start"), (used + F.when(stop, 0).otherwise(1)).alias("used"), (s["total"] + F.when(stop, 0).otherwise(1)).alias("total"), (s["blocked"] + F.when(stop, 1).otherwise(0)).alias("blocked"))
-        refund = F.struct(s["windows"].alias("windows"), s["start"].alias("start"), F.when(open_, F.greatest(s["used"] - 1, F.lit(0))).otherwise(s["used"]).alias("used"), s["total"].alias("total"), s["blocked"].alias("blocked"))
-        return F.when(e["step"] > 0, use).otherwise(refund)
-
-    return F.aggregate(times, zero, step)
 
-
-def quota_windows(events: DataFrame, limits: DataFrame, user: str = "user_id", step: Column | None = None) -> DataFrame:
-    """Per user: windows opened, uses that counted and uses blocked. A user's events are one sorted array by nature."""
-    e = F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("id"), (F.lit(1) if step is None else step).alias("step"))
-    listed = events.groupBy(user).agg(F.array_sort(F.collect_list(e)).alias("events")).join(limits, user, "left")
-    return listed.select(user, quota_fold(F.col("events"), F.col("daily_limit")).alias("q")).select(user, F.col("q.windows").alias("windows"), F.col("q.total").alias("used"), F.col("q.blocked").alias("blocked"))
+    def __init__(self, span: int):
+        self.span, self.limit = span, None
+        self.start, self.windows, self.used, self.total, self.blocked, self.events = None, 0, 0, 0, 0, 0
+
+    def add(self, at: np.ndarray, step: np.ndarray) -> None:
+        """The next events of the user: a stretch of uses, or refunds, within a window is one step."""
+        self.events += len(at)
+        turns = np.r_[np.flatnonzero(np.diff(step > 0)) + 1, len(at)]
+        i = 0
+        while i < len(at):
+            until = int(turns[np.searchsorted(turns, i, "right")])
+            held = self.start is not None and at[i] - self.start < self.span
+            if step[i] > 0 and not held:
+                self.start, self.used = int(at[i]), 0
+                self.windows += 1
+                held = True
+            j = min(until, int(np.searchsorted(at, self.start + self.span))) if held else until
+            if step[i] > 0:
+                fine = j - i if self.limit is None else min(j - i, max(0, self.limit - self.used))
+                self.used, self.total, self.blocked = self.used + fine, self.total + fine, self.blocked + j - i - fine
+            elif held:
+                self.used = max(0, self.used - (j - i))
+            i = j
+
+
+def quota_windows(events: DataFrame, limits: DataFrame, user: str = "user_id", step: Column | None = None, hours: int = 24) -> DataFrame:
+    """Per user of events: windows opened, uses that counted and uses blocked. limits: user, daily_limit (null: none).
+
+    Events are dealt by user, sorted where they arrive (Spark spills what does not fit) and folded batch by batch with
+    a few numbers for the user at hand, so one with a third of all events costs time, not memory. Of several limits of a
+    user the largest holds. Events without a time are left out.
+    """
+    span = hours * 3_600_000_000
+    none = F.lit(None).cast("long")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = events.select(user, at.alias("at"), F.col("event_id").cast("long").alias("id"), (F.lit(1) if step is None else step).cast("int").alias("step"), none.alias("daily_limit")).where(F.col("at").isNotNull())
+    # A user's limit is the first of the sorted rows.
+    first = limits.select(user, none.alias("at"), none.alias("id"), F.lit(0).alias("step"), F.col("daily_limit").cast("long"))
+    dealt = rows.unionByName(first).repartition(user).sortWithinPartitions(user, F.col("at").asc_nulls_first(), "id", "daily_limit")
+    schema = T.StructType([events.schema[user], *(T.StructField(c, T.IntegerType()) for c in ("windows", "used", "blocked"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold, name, kind, done = None, None, None, []
+
+        def told():
+            columns = zip(*done, strict=True) if done else [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [kind, *[pa.int32()] * 3], strict=True)], names=[user, "windows", "used", "blocked"])
+
+        for batch in batches:
+            kind = batch.column(0).type
+            coded = batch.column(0).dictionary_encode()
+            code = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            names = coded.dictionary.to_pylist()
+            at, step = batch.column(1).fill_null(0).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False)
+            caps = batch.column(4)
+            ends = np.r_[np.flatnonzero(np.diff(code)) + 1, len(code)] if len(code) else []
+            i = 0
+            for j in ends:
+                own = None if code[i] < 0 else names[code[i]]
+                if fold is None or own != name:
+                    if fold is not None and fold.events:
+                        done.append((name, fold.windows, fold.total, fold.blocked))
+                    fold, name = QuotaFold(span), own
+                while i < j and step[i] == 0:
+                    fold.limit, i = caps[int(i)].as_py(), i + 1
+                if i < j:
+                    fold.add(at[i:j], step[i:j])
+                i = j
+            if len(done) >= 10_000:
+                yield told()
+                done.clear()
+        if fold is not None and fold.events:
+            done.append((name, fold.windows, fold.total, fold.blocked))
+        if done:
+            yield told()
+
+    return dealt.mapInArrow(run, schema)
 
 
 def credit_usage(used: Column, limit: Column) -> Column:
