@@ -42,8 +42,10 @@ HOT = 2_000
 CHEAP = 1_000
 #: Earlier shared shingles that a row carries into the comparison of all, so that pairs meet once.
 EARLIER = 6
+#: Bytes of files of the table of components, two numbers a row, up to which it is broadcast to the rows of shingles.
+COMPONENTS = 16 << 20
 #: Bytes of texts that are hashed at a time.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 #: Parities of a node's set, 64 to a column.
 PARITY = [f"g{i}" for i in range(8)]
 
@@ -281,9 +283,14 @@ def candidates(pairs: DataFrame, known: DataFrame, seen: DataFrame | None, perce
     new = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct()
     if seen is not None:
         new = new.join(seen, ["a", "b"], "left_anti")
-    ends = known.select(F.col("node"), F.struct("n", *PARITY).alias("s"))
-    new = new.join(ends.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(ends.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-    return cut(new.where(near_enough("x", "y", percent)).select("a", "b"), "jaccard-pairs")
+    # Pairs are written first: few of them leave what is known of all nodes where it is.
+    new = cut(new, "jaccard-new")
+    met = cut(known.join(few(new.select(F.explode(F.array("a", "b")).alias("node"))), "node", "left_semi"), "jaccard-ends")
+    ends = few(met.select(F.col("node"), F.struct("n", *PARITY).alias("s")))
+    both = new.join(ends.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(ends.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    out = cut(both.where(near_enough("x", "y", percent)).select("a", "b"), "jaccard-pairs")
+    forget(new, met)
+    return out
 
 
 def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -342,7 +349,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def _unsettled(met: DataFrame, comps: DataFrame, links: DataFrame) -> DataFrame:
     """Rows (shingle, share, node, at, comp, members, degree) of shingles with nodes of several components."""
-    placed = met.select("shingle", "share", "node", "at").join(few(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    placed = met.select("shingle", "share", "node", "at").join(few(comps, COMPONENTS), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     # The table is nearly in the order of shingles, so tasks have summed most of a shingle before anything moves.
     mixed = placed.groupBy("shingle").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where(F.col("c0") != F.col("c1")).select("shingle")
     rows = cut(placed.join(mixed, "shingle", "left_semi"), "jaccard-mixed")
@@ -384,6 +391,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, cheap
         if tried is not None:
             rows = rows.join(few(tried), "node", "left").withColumn("degree", F.when(F.col("tried"), F.lit(-1)).otherwise(F.col("degree"))).drop("tried")
         rows = cut(rows, "jaccard-rows")
+        forget(met)
+        met = rows  # components only grow: a shingle whose nodes are in one is done with
         if rows.isEmpty():
             break
         # The most central node, not tried before, of a shingle's largest component; those outside it meet it.
@@ -414,7 +423,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, cheap
         centres = main.select(F.col("main.node").alias("node")).distinct().withColumn("tried", F.lit(True))
         tried = cut(centres if tried is None else centres.unionByName(tried).distinct(), "jaccard-tried")
         comps = cut(components(pair(comps, "node", "comp").unionByName(more)), "jaccard-comps")
-        forget(rows, main)
+        forget(main)
     placed = cut(nodes.join(few(comps), "node", "left").select("doc_id", "n", F.coalesce("comp", "node").alias("comp")), "jaccard-placed")
     least = cut(placed.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("doc_id").alias("least")), "jaccard-least")
     forget(parts, known, met, comps)
