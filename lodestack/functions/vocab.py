@@ -1,7 +1,8 @@
 """Vocabularies that the rules take as parameters.
 
 Fixed values, down to PLANS: word lists and patterns that must equal those of the retrieval application whose results
-are to be matched. Lists of a vendor's products are left out; callers pass their own. Patterns are for text without
+are to be matched. Lists of a vendor's products are left out, but for the short names of
+parts and drives that TOPICS, DOOR and TECHNICAL hold (dw, dfc, ovf, cfw); callers pass their own. Patterns are for text without
 accents.
 """
 
@@ -45,6 +46,15 @@ CLARIFY_MARKERS = (
     "me especifique", "preciso saber", "confirme o modelo", "qual geração", "informe o modelo", "qual desses",
 )
 CHOICES = ("qual desses", "qual modelo", "qual equipamento", "qual placa")
+#: What a user tells of a fault: patterns, the first that fits decides, and the name to give, None for the first group.
+FACETS = {
+    "symptom": (
+        (r"(porta\s+abre\s+e\s+fecha)", "porta abre e fecha"), (r"(nao\s+parte|nao\s+anda|nao\s+funciona)", None), (r"(nao\s+sobe|nao\s+desce)", None), (r"(nao\s+fecha|nao\s+abre)", None),
+        (r"(nao\s+liga)", "nao liga"), (r"(trem?e|vibra|ruido)", None), (r"(para\s+entre\s+andares|para\s+no\s+meio)", "para entre andares"), (r"(desnivelad|desenivel)", "desnivelamento"),
+    ),
+    "error_code": ((r"\berro\s+([a-z]?\d{2,4})\b", None), (r"\bcodigo\s+([a-z]?\d{2,4})\b", None), (r"\bfalha\s+([a-z]?\d{2,4})\b", None), (r"\b(e\d{3})\b", None), (r"\b(uv\d{1,2})\b", None), (r"\b(oc\d{1,2})\b", None), (r"\b(ol\d{1,2})\b", None)),
+    "part_number": ((r"\b([a-z]{3}\d{4,}[a-z]*)\b", None),),
+}
 TABLE_SEPARATOR = r"^\|?\s*[:\-]{2,}(\s*\|\s*[:\-]{2,})+\|?$"
 CONTINUED = " [continuação] | "
 

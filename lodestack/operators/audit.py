@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..sources.scratch import cut
+from ..sources.scratch import cut, few
 
 LIVE = ("completed", "processing", "pending")
 
@@ -50,9 +50,20 @@ def source_hits(hits: DataFrame, source: str, key: str, n: int = 3) -> DataFrame
 
 
 def exact_duplicates(docs: DataFrame, key: str, name: str, brand: str) -> DataFrame:
-    """Names (case apart) that a brand has more than once, with their ids in order."""
-    named = docs.groupBy(F.lower(name).alias("name"), brand).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(key)).alias("ids"))
-    return named.where(F.col("n") > 1)
+    """Names (case apart) that a brand has more than once: name, brand, n and the least id (first); counted before they move."""
+    return docs.groupBy(F.lower(name).alias("name"), brand).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first")).where(F.col("n") > 1)
+
+
+def duplicate_members(docs: DataFrame, key: str, name: str, brand: str) -> DataFrame:
+    """A row for each document of such a name: name, brand, n, first and the id. However many have the name, rows stay small.
+
+    The groups are written first, so that the join is a stage that Spark can split where a name is hot.
+    """
+    groups = cut(exact_duplicates(docs, key, name, brand), "duplicate-names")
+    named = docs.select(key, F.lower(name).alias("_name"), F.col(brand).alias("_brand"))
+    # A null brand is a brand, as in the grouping; a null name is a name.
+    same = F.col("_name").eqNullSafe(F.col("name")) & F.col("_brand").eqNullSafe(F.col(brand))
+    return named.join(few(groups), same).select("name", brand, "n", "first", key)
 
 
 def similar_names(docs: DataFrame, key: str, name: str, gram: int = 5) -> DataFrame:

@@ -186,8 +186,14 @@ def c9(spark, d):
 
 @query("d1_exact_duplicates", "SELECT lower(p_name) AS name, p_brand AS brand, count(*) AS n, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS ids FROM part GROUP BY 1, 2 HAVING count(*) > 1")
 def d1(spark, d):
-    out = audit.exact_duplicates(parts(spark, d), "id", "name", "brand")
-    return out.select("name", "brand", "n", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+    """The ids as one text for each name, as the query asks; duplicate_members has them as rows."""
+    members = audit.duplicate_members(parts(spark, d), "id", "name", "brand").groupBy("name", "brand", "n").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    return members.select("name", "brand", "n", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
+@query("d1_duplicate_members", "SELECT lower(p_name) AS name, p_brand AS brand, count(*) OVER w AS n, min(p_partkey) OVER w AS first, p_partkey AS id FROM part WINDOW w AS (PARTITION BY lower(p_name), p_brand) QUALIFY count(*) OVER w > 1")
+def d1_members(spark, d):
+    return audit.duplicate_members(parts(spark, d), "id", "name", "brand")
 
 
 _TITLES = "n AS (SELECT DISTINCT ON (name) doc_id AS id, lower(trim(substr(string_split(text, chr(10))[1], 1, (5 + doc_id % 9)::INT))) AS name FROM documents WHERE text IS NOT NULL ORDER BY name, doc_id)"

@@ -275,12 +275,21 @@ def v3(spark, d):
 def context(spark, d):
     text = F.array_join(F.transform(F.filter("messages", lambda x: x["role"] == "user"), lambda x: x["text"]), " ")
     known = v.session_messages(load(spark, d, "conversations")).select("conv_id", text.alias("text"))
-    return known.select("conv_id", *v.known_context(F.col("text")))
+    return known.select("conv_id", *v.known_context(F.col("text"), **_OWN))
+
+
+#: Stands for the caller's equipment: words that the given texts hold.
+_OWN = {
+    "models": ((r"\b(in\s+the)\b", "In the"), (r"\b(le\s+[a-z]{2})\b", None), (r"\b(die\s+[a-z]{3})\b", None)),
+    "boards": ((r"\b(and\s+[a-z]{4})\b", None), (r"\b(und|et)\b", None)),
+    "drives": ((r"\b(de\s+la)\b", None), (r"\b(der\s+[a-z]{2,6})\b", None)),
+}
+_ALL = {"model": _OWN["models"], "board": _OWN["boards"], "drive": _OWN["drives"], **vocab.FACETS}
 
 
 def _facet(name):
     out = []
-    for p, said in v.FACETS[name]:
+    for p, said in _ALL[name]:
         value = f"'{said}'" if said else f"trim(regexp_extract(x, '{p}', 1))"
         value = value if said or name in v.LOWER else f"upper({value})"
         value = f"regexp_replace({value}, '\\s+', '', 'g')" if name in v.SQUEEZED else value
@@ -288,7 +297,7 @@ def _facet(name):
     return f"coalesce({', '.join(out)}) AS {name}"
 
 
-_K = "u AS (SELECT conv_id, trim(strip_accents(lower(coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (role = 'user'), '')))) AS x FROM conversations GROUP BY 1), k AS (SELECT conv_id, " + ", ".join(map(_facet, v.FACETS)) + " FROM u)"
+_K = "u AS (SELECT conv_id, trim(strip_accents(lower(coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (role = 'user'), '')))) AS x FROM conversations GROUP BY 1), k AS (SELECT conv_id, " + ", ".join(map(_facet, _ALL)) + " FROM u)"
 
 
 @query("v4_known_context", f"WITH {_K} SELECT * FROM k")
@@ -314,7 +323,7 @@ def _any(x, patterns):
 _TECHNICAL = f"({_any('x', vocab.TECHNICAL)} OR regexp_matches(x, '(^|{t.NOT_IN_WORD})({'|'.join(vocab.TECHNICAL_BEGINNINGS)})'))"
 
 
-@query("v7_needs_clarification", f"""WITH {_M}, a AS (SELECT conv_id, turn, role, strip_accents(lower(coalesce(text, ''))) AS x, coalesce(lag(role = 'assistant' AND contains(text, '?')) OVER w, false) AS asked FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+@query("v7_needs_clarification", f"""WITH {_M}, a AS (SELECT conv_id, turn, role, strip_accents(lower(coalesce(text, ''))) AS x, count(*) OVER w >= 2 AND coalesce(contains(last_value(CASE WHEN role = 'assistant' THEN coalesce(text, '') END IGNORE NULLS) OVER w, '?'), false) AS asked FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
   n AS (SELECT *, length(regexp_extract_all(x, '[^\\s]+')) AS n, {_any('x', vocab.MODEL_CODES)} AS code FROM a),
   h AS (SELECT *, coalesce(bool_or(role = 'user' AND code) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS told FROM n)
   SELECT conv_id, turn, CASE WHEN asked THEN false ELSE n <= 2 OR {_any('x', vocab.TROUBLE)} OR (n <= 4 AND {_any('x', vocab.GENERIC_INDICATORS)}) END AS needs, NOT code AND NOT told AND {_TECHNICAL} AND n > 2 AS needs_model FROM h WHERE role = 'user'""")
@@ -322,8 +331,9 @@ def v7(spark, d):
     text = F.coalesce("text", F.lit(""))
     rows = messages(spark, d).withColumn("code", (F.col("role") == "user") & v.has_model_code(text))
     w = Window.partitionBy("conv_id").orderBy("turn")
-    asked = F.coalesce(F.lag((F.col("role") == "assistant") & F.col("text").contains("?")).over(w), F.lit(False))
-    told = F.coalesce(F.max("code").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    asked = v.asked_before("role", text, earlier)
+    told = F.coalesce(F.max("code").over(earlier), F.lit(False))
     rows = rows.withColumns({"asked": asked, "told": told}).where("role = 'user'")
     return rows.select("conv_id", "turn", v.needs_clarification(text, F.col("asked")).alias("needs"), v.needs_model(text, F.col("told")).alias("needs_model"))
 

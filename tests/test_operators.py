@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestack.operators import audit, chunking, conversations, evaluation, metrics, retrieval
@@ -133,12 +134,32 @@ def test_grades(spark):
 def test_known_context(spark):
     rows = ["Erro E123 na GEN 2, placa ii", "codigo 77 e falha 88: não fecha, JAA30171AAA", "o Inversor de 1999", None]
     df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, x string")
-    got = [r.asDict() for r in df.select("i", *conversations.known_context(F.col("x"))).orderBy("i").collect()]
+    models, boards = ((r"\b(gen\s?2)\b", "Gen2"), (r"\b(gen\s?\d)\b", None)), ((r"\b(placa\s?[a-z]+)\b", None),)
+    drives = ((r"\b(inversor)\b", "DRIVE"),)
+    got = [r.asDict() for r in df.select("i", *conversations.known_context(F.col("x"), models, boards, drives)).orderBy("i").collect()]
     assert (got[0]["model"], got[0]["board"], got[0]["error_code"], got[0]["symptom"]) == ("Gen2", "PLACAII", "E123", None)
     assert (got[1]["error_code"], got[1]["symptom"], got[1]["part_number"]) == ("77", "nao fecha", "JAA30171AAA")
     assert got[2]["drive"] == "DRIVE" and got[2]["error_code"] is None and set(list(got[3].values())[1:]) == {None}
 
 
+def test_asked_before(spark):
+    # The assistant's last message counts wherever it stands, with two messages before or more.
+    rows = [(1, 1, "assistant", "Which one?"), (1, 2, "user", "that"), (1, 3, "user", "yes"), (2, 1, "user", "a"), (2, 2, "assistant", "Which?"), (2, 3, "user", "b"), (2, 4, "assistant", "Here."), (2, 5, "user", "c"), (3, 1, "user", "x"), (3, 2, "user", "y"), (3, 3, "assistant", None), (3, 4, "user", "z")]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    got = {(r["conv_id"], r["turn"]): r["asked"] for r in df.withColumn("asked", conversations.asked_before("role", F.col("text"), w)).where("role = 'user'").collect()}
+    assert got == {(1, 2): False, (1, 3): True, (2, 1): False, (2, 3): True, (2, 5): False, (3, 1): False, (3, 2): False, (3, 4): False}
+
+
+def test_members_of_a_hot_name(spark):
+    df = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'Hot' WHEN id < 5 THEN 'HOT' WHEN id < 9 THEN NULL ELSE concat('n', id) END AS name", "CASE WHEN id % 2 = 0 THEN 'b' END AS brand")
+    got = {r["id"]: (r["name"], r["brand"], r["n"], r["first"]) for r in audit.duplicate_members(df, "id", "name", "brand").collect()}
+    groups = {}
+    for r in df.collect():
+        groups.setdefault((r["name"].lower() if r["name"] else None, r["brand"]), []).append(r["id"])
+    assert got == {i: (*k, len(ids), min(ids)) for k, ids in groups.items() if len(ids) > 1 for i in ids}
+
+
 def test_needs_clarification(spark):
     rows = [("a b", False), ("a b", True), ("we need troubleshooting now please", False), ("diversas falhas na porta hoje", False), ("manual geral de portas", False), ("um manual geral de portas", False), ("tell me about the weather", False)]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, x string, asked boolean")
