@@ -21,6 +21,8 @@ from .common import cut, table
 
 WEIGHTS = (5, 2, 1)
 BUCKETS = 4096
+#: Bytes of sums that the dynamic programme remembers at once; what it forgets it works out again.
+HELD = 32 << 20
 
 
 def n_words(text: Column) -> Column:
@@ -53,10 +55,11 @@ def targets(sized: DataFrame, weights=WEIGHTS, budget: float = 1.5, max_copies:
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many of counts[i] items of lengths[i] > 0 to take so that their total is as near budget as can be.
 
-    An even share of every length comes first, then the longest that still fit; the dynamic programme settles the rest,
-    over a window of sums (2^18 words, or two longest items if that is more), so its cost follows the lengths and not
-    the budget. Sums that need more to be given back are not tried: where the window has no exact fit the nearest in it
-    is taken, which is off by less than one longest item.
+    An even share of every length comes first, then the longest that still fit. The dynamic programme then exchanges
+    items: over sums that differ from there by at most `span`, it tells what can be reached by giving some back and
+    taking others. The span grows until the nearest sum that the lengths' common divisor allows is found, or until it
+    holds every exchange that can be needed: with lengths up to L, exchanges of more than 2 L items have a part that
+    sums to nothing and can be left out, so 2 L^2 is enough.
     """
     take = np.zeros(len(lengths), dtype=np.int64)
     total = int((lengths * counts).sum())
@@ -72,37 +75,65 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
         left -= k * int(lengths[i])
     if not left:
         return take
-    # Give back some of each length: the knapsack then has both what was given back and what was never taken.
-    longest = int(lengths.max())
-    span = max(2 * longest, min(16 * longest, 1 << 18))
-    freed = 0
+    longest, divisor = int(lengths.max()), int(np.gcd.reduce(lengths[counts > 0]))
+    least = min(left % divisor, divisor - left % divisor) if left % divisor else 0
+    span, enough = max(2 * longest, min(16 * longest, 1 << 18)), min(total, 2 * longest * (longest // divisor)) + longest
+    while True:
+        found, off = _exchange(lengths, counts, take, left, span, least)
+        if off == least or span >= enough:
+            return found
+        span = min(8 * span, enough)
+
+
+def _exchange(lengths: np.ndarray, counts: np.ndarray, take: np.ndarray, left: int, span: int, least: int) -> tuple[np.ndarray, int]:
+    """take with items exchanged so that it gains a sum as near `left` as can be within the span, and how far off that is."""
+    goal, mask = span + left, (1 << (2 * span + 1)) - 1
+    # What a step may do: give back, or take, so many items of a length; in powers of two, so that every number comes up.
+    steps = []
     for i in np.argsort(lengths, kind="stable"):
-        k = min(int(take[i]), max(0, (span - freed) // int(lengths[i])))
-        take[i] -= k
-        freed += k * int(lengths[i])
-    goal, mask = left + freed, (1 << (left + freed + longest + 1)) - 1
-    reach, steps = 1, []
-    for i in np.argsort(lengths, kind="stable"):
-        room, part = min(int(counts[i] - take[i]), goal // int(lengths[i]) + 1), 1
-        while room > 0:
-            k = min(part, room)
-            new = (reach | reach << k * int(lengths[i])) & mask
-            if new != reach:
-                steps.append((i, k, reach))
-                reach = new
-            room -= k
-            part *= 2
-        if reach >> goal & 1:
+        for sign, room in ((-1, int(take[i])), (1, int(counts[i] - take[i]))):
+            room, part = min(room, 2 * span // int(lengths[i]) + 1), 1
+            while room > 0:
+                k = min(part, room)
+                steps.append((int(i), sign * k, sign * k * int(lengths[i])))
+                room -= k
+                part *= 2
+
+    def after(reach: int, step: tuple[int, int, int]) -> int:
+        return reach | ((reach << step[2]) & mask if step[2] > 0 else reach >> -step[2])
+
+    reach, ended = 1 << span, 0
+    for ended, step in enumerate(steps, 1):
+        reach = after(reach, step)
+        if reach >> goal & 1 or (least and (reach >> goal - least & 1 or reach >> goal + least & 1)):
             break
     under = (reach & ((1 << (goal + 1)) - 1)).bit_length() - 1
     over = reach >> goal
     over = goal + (over & -over).bit_length() - 1 if over else None
     at = over if over is not None and over - goal < goal - under else under
-    for i, k, before in reversed(steps):
-        if not before >> at & 1:
-            take[i] += k
-            at -= k * int(lengths[i])
-    return take
+    off, take = abs(at - goal), take.copy()
+
+    def back(lo: int, hi: int, reach: int) -> None:
+        """Undo steps hi - 1 to lo from `at`; reach: what the steps before lo reach. Few sets of sums are held at once."""
+        nonlocal at
+        if hi - lo > 1 and (hi - lo) * (span // 4) > HELD:
+            mid, half = (lo + hi) // 2, reach
+            for step in steps[lo:mid]:
+                half = after(half, step)
+            back(mid, hi, half)
+            back(lo, mid, reach)
+            return
+        held = []
+        for step in steps[lo:hi]:
+            held.append(reach)
+            reach = after(reach, step)
+        for (i, k, words), before in zip(reversed(steps[lo:hi]), reversed(held), strict=True):
+            if not before >> at & 1:
+                take[i] += k
+                at -= words
+
+    back(0, ended, 1 << span)
+    return take, off
 
 
 def _plan_source(pdf: pd.DataFrame) -> pd.DataFrame:
