@@ -6,9 +6,10 @@ documents. The field has two states; a word's potential adds up weights of its o
 marginal of each word, exact by forward and backward passes over the whole text, gives the offending offsets, and the
 largest marginal and their sum give the document's score by a logistic curve fitted on the same labelled rows.
 
-Learned from at most `sample` labelled rows a class, in the order of a hash (a documented bound), each trained on
-stretches around marked words and one stretch elsewhere; all rows are scored over their whole texts. Only the text is
-looked at. Null text is empty text; a text without words scores as one without toxic words. Without labels of both
+Learned from at most `per_class` labelled rows a class, in the order of a hash, each trained on stretches around at most
+`per_text` of its marked words, which are spread evenly over the whole text, and one stretch elsewhere (both bounds are
+parameters of :func:`train`). All rows are scored over their whole texts. Words are split at ASCII white space, in
+training as in scoring. Only the text is looked at. Null text is empty text; a text without words scores as one without toxic words. Without labels of both
 classes every score is that class's share (0 without labels). Columns beside doc_id and text are kept.
 """
 
@@ -29,10 +30,16 @@ from .common import cut, held_out, table
 from .factorisation import labelled_sample
 
 BUCKETS, SAMPLE, STRETCH = 1 << 17, 3000, 12
+#: Marked words of a labelled text that it is trained around.
+PER_TEXT = 8
 STARTS = (4, 5, 6)
 _EDGE = re.compile(r"^\W+|\W+$")
 
 
+def words_of(text: str | None) -> list[str]:
+    return [w.decode() for w in (text or "").encode().split()]
+
+
 def units(word: str) -> list[str]:
     """The word without marks at its ends, lower-cased, and its beginnings."""
     w = _EDGE.sub("", word).lower()
@@ -188,7 +195,7 @@ def seeds(sample: DataFrame, n1: int, n0: int) -> set[str]:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d = batch.to_pydict()
-            rows = [(u, y) for t, y in zip(d["text"], d["y"], strict=True) for u in {u for w in set((t or "").split()) for u in units(w)}]
+            rows = [(u, y) for t, y in zip(d["text"], d["y"], strict=True) for u in {u for w in set(words_of(t)) for u in units(w)}]
             yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in rows], pa.string()), pa.array([y for _, y in rows], pa.int32())], names=["unit", "y"])
 
     counts = sample.select("text", "y").mapInArrow(split, "unit string, y int").groupBy("unit").agg(F.sum("y").alias("d1"), F.sum(1 - F.col("y")).alias("d0"))
@@ -214,12 +221,13 @@ def one_of_each(sample: DataFrame) -> DataFrame:
     return signed.select("doc_id", "text", "y")
 
 
-def stretches(text: str, y: int, marks: set[str]) -> list[tuple[list[str], list[int]]]:
-    """Words and their labels around marked words, and once elsewhere."""
-    words = text.split()
+def stretches(text: str | None, y: int, marks: set[str], per_text: int = PER_TEXT) -> list[tuple[list[str], list[int]]]:
+    """Words and their labels around at most per_text marked words, spread over the text, and once elsewhere."""
+    words = words_of(text)
     label = [int(bool(y) and not marks.isdisjoint(units(w))) for w in words]
-    at = [i for i, x in enumerate(label) if x][:8] or []
-    at.append(xxhash.xxh32_intdigest(text[:2000]) % max(1, len(words)))
+    marked = [i for i, x in enumerate(label) if x]
+    at = [marked[k * len(marked) // per_text] for k in range(per_text)] if len(marked) > per_text else marked
+    at.append(xxhash.xxh32_intdigest(text or "") % max(1, len(words)))
     return [(words[a:b], label[a:b]) for a, b in ((max(0, i - STRETCH), i + STRETCH) for i in at) if words[a:b]]
 
 
@@ -271,7 +279,7 @@ def fit_curve(most: np.ndarray, total: np.ndarray, y: np.ndarray) -> tuple[float
     return tuple(float(v) for v in w)
 
 
-def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", per_class: int = SAMPLE) -> Field:
+def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", per_class: int = SAMPLE, per_text: int = PER_TEXT) -> Field:
     sample = cut(labelled_sample(docs, labels, target, per_class).select("doc_id", "text", "y"), "toxic-sample")
     apart = cut(one_of_each(sample), "toxic-apart")
     n = {r["y"]: r["count"] for r in apart.groupBy("y").count().collect()}
@@ -283,7 +291,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", per_class:
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d = batch.to_pydict()
-            rows = [(i, *s) for i, t, y in zip(d["doc_id"], d["text"], d["y"], strict=True) for s in stretches(t or "", y, marks)]
+            rows = [(i, *s) for i, t, y in zip(d["doc_id"], d["text"], d["y"], strict=True) for s in stretches(t, y, marks, per_text)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.string())), pa.array([r[2] for r in rows], pa.list_(pa.int32()))], names=["doc_id", "words", "label"])
 
     rows = apart.select("doc_id", "text", "y").mapInArrow(cut_out, "doc_id long, words array<string>, label array<int>").toArrow()
