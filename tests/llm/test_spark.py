@@ -207,18 +207,32 @@ def test_forest_knows_rare_dimensions(spark):
     assert got[900] == (1, 900) and got[901] == (1, 900)
 
 
-@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
-def test_forest_recall_on_the_given_tables(spark, sf):
-    got = rp_forest.op4_vector_dedup(spark, f"/root/testdata/{sf}").toPandas().set_index("vec_id")
-    t = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").where("embedding IS NOT NULL AND label IS NOT NULL").toPandas()
-    t = t[[len(v) > 0 and np.isfinite(np.asarray(v, dtype=float)).all() and np.any(v) for v in t["embedding"]]]
-    want = dict.fromkeys(got.index, 0)
+def links_by_hand(t):
+    """vec_id to its number of links, from all products of each label and length."""
+    want = {}
     for _, g in t.groupby([t["label"], t["embedding"].map(len)]):
         x = np.stack(g["embedding"]).astype(np.float64)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         want |= dict(zip(g["vec_id"], (x @ x.T >= 0.93).sum(axis=1) - 1, strict=True))
-    want = np.array([want[i] for i in got.index])
-    assert (got["n_links"].to_numpy() <= want).all() and got["n_links"].sum() >= 0.9 * want.sum()
+    return want
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_forest_on_given_vectors_and_near_copies(spark, sf):
+    """The given vectors, which have no links of their own, and a copy of every third, turned by cosines of 0.9 to 0.97."""
+    t = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").where("embedding IS NOT NULL AND label IS NOT NULL").toPandas()
+    rng = np.random.default_rng(6)
+    rows = [(int(i), [float(c) for c in v], int(y)) for i, v, y in zip(t["vec_id"], t["embedding"], t["label"], strict=True)]
+    for i, v, y in rows[::3]:
+        v, noise = np.array(v), rng.normal(size=len(v))
+        noise -= v * (noise @ v) / (v @ v)
+        c = rng.uniform(0.9, 0.97)
+        rows.append((i + 10_000_000, (v * c + noise / np.linalg.norm(noise) * np.linalg.norm(v) * (1 - c * c) ** 0.5).tolist(), y))
+    df = vectors_of(spark, rows)
+    want = links_by_hand(df.toPandas())
+    got = {r["vec_id"]: r["rp_links"] for r in rp_forest.near_vectors(df).collect()}
+    assert got.keys() == want.keys() and all(got[i] <= want[i] for i in got)
+    assert sum(want.values()) > len(t) // 4 and sum(got.values()) >= 0.9 * sum(want.values())
 
 
 def test_forest_edges(spark):
