@@ -32,8 +32,9 @@ def col(c) -> Column:
 
 
 def fold_accents(c) -> Column:
-    """Letters without their marks, composed or not."""
-    return F.regexp_replace(F.translate(col(c), _MARKED, _PLAIN), r"\p{Mn}", "")
+    """Letters without their marks, composed or not; a text of ASCII has none."""
+    c = col(c)
+    return F.when(F.octet_length(c) == F.char_length(c), c).otherwise(F.regexp_replace(F.translate(c, _MARKED, _PLAIN), r"\p{Mn}", ""))
 
 
 def normalize_filename(c) -> Column:
@@ -78,31 +79,43 @@ def words_of(c) -> Column:
     return F.split(col(c), NOT_WORD)
 
 
+def with_digits(c: Column, some: Column, none: Column) -> Column:
+    """some where the text has a digit, none elsewhere: most texts have none, and codes need one."""
+    return F.when(c.rlike("[0-9]"), some).when(c.isNotNull(), none)
+
+
 def fault_tokens(c, hints=vocab.FAULT_HINTS) -> Column:
     """Codes of up to five letters and three digits, with a digit or among the hints; in order, once each."""
     listed = "|".join(h.lower() for h in hints if re.fullmatch("[A-Z]{1,5}[0-9]{0,3}", h))
-    found = F.regexp_extract_all(F.lower(col(c)), F.lit(whole_word(f"[a-z]{{1,5}}[0-9]{{1,3}}|{listed}")), 0)
+    c = col(c)
+    find = lambda pattern: F.regexp_extract_all(F.lower(c), F.lit(whole_word(pattern)), 0)
+    found = with_digits(c, find("|".join(filter(None, ["[a-z]{1,5}[0-9]{1,3}", listed]))), find(listed) if listed else F.array().cast("array<string>"))
     return F.array_distinct(F.transform(found, F.upper))
 
 
 def has_fault_code(c, hints=vocab.FAULT_HINTS) -> Column:
     up = F.upper(col(c))
-    return up.rlike("|".join(hints)) | up.rlike(whole_word("[A-Z]{1,4}[0-9]{0,3}"))
+    return up.rlike(whole_word("[A-Z]{1,4}[0-9]{0,3}")) | up.rlike("|".join(hints))
 
 
 def controller_tokens(c) -> Column:
-    found = F.regexp_extract_all(F.upper(col(c)), F.lit(whole_word("[A-Z]{2,6}[0-9]{1,5}[A-Z]{0,3}")), 0)
-    return F.array_distinct(F.filter(found, lambda w: ~w.isin(*vocab.NOT_CONTROLLERS)))
+    c = col(c)
+    found = F.regexp_extract_all(F.upper(c), F.lit(whole_word("[A-Z]{2,6}[0-9]{1,5}[A-Z]{0,3}")), 0)
+    return with_digits(c, F.array_distinct(F.filter(found, lambda w: ~w.isin(*vocab.NOT_CONTROLLERS))), F.array().cast("array<string>"))
 
 
 def version_tokens(c) -> Column:
+    c = col(c)
     found = F.regexp_extract_all(F.upper(fold_accents(c)), F.lit(vocab.VERSION), 1)
-    return F.array_distinct(F.transform(found, lambda m: F.replace(m, F.lit(" "), F.lit(""))))
+    return with_digits(c, F.array_distinct(F.transform(found, lambda m: F.replace(m, F.lit(" "), F.lit("")))), F.array().cast("array<string>"))
 
 
 def topics(c, patterns=vocab.TOPICS) -> Column:
     """Topics whose pattern stands in the text to match by, in the order given."""
-    listed = lambda t: F.array_compact(F.array(*[F.when(t.rlike(p), F.lit(k)) for k, p in patterns.items()]))
+    every = "|".join(f"(?:{p})" for p in patterns.values())
+    each = lambda t: F.array_compact(F.array(*[F.when(t.rlike(p), F.lit(k)) for k, p in patterns.items()]))
+    # One pass says that a text has none of them, as most do.
+    listed = lambda t: F.when(t.rlike(every), each(t)).when(t.isNotNull(), F.array().cast("array<string>")).otherwise(each(t))
     return let(normalize_for_matching(c, spaces=True), listed)
 
 

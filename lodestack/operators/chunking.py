@@ -76,14 +76,25 @@ def broad_windows(lines: Column) -> Column:
     return F.filter(t.let(lines, windows), lambda c: F.length(c) >= 120)
 
 
+#: Lines whose code windows are made before those of all.
+EARLY = 24
+
+
 def build_chunks(pages: DataFrame, text: str = "text", max_chunks: int | None = 8) -> DataFrame:
     """pages with an array `chunks`. A short page is one chunk, an empty one none; long pages keep the first max_chunks
     of table rows, code windows and broad windows (None: all, which reaches the end of the page)."""
     c = F.trim(F.coalesce(F.col(text), F.lit("")))
     prepared = pages.withColumn("_text", c)
     hits = lambda ls: F.transform(ls, lambda x: t.has_fault_code(x))
-    many = t.let(lines_of(F.col("_text")), lambda ls: F.concat(table_row_chunks(ls, None if max_chunks is None else 4), code_line_windows(ls, hits(ls)), broad_windows(ls)))
-    some = t.let(first_of_each(many, max_chunks), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(F.array("_text")))
+    rows = lambda ls: table_row_chunks(ls, None if max_chunks is None else 4)
+    whole = lambda ls: first_of_each(F.concat(rows(ls), code_line_windows(ls, hits(ls)), broad_windows(ls)), max_chunks)
+    if max_chunks is None:
+        kept = t.let(lines_of(F.col("_text")), whole)
+    else:
+        # The first lines nearly always give enough; only where they do not are all windows of the page made.
+        early = lambda ls: first_of_each(F.concat(rows(ls), code_line_windows(ls, hits(F.slice(ls, 1, EARLY)))), max_chunks)
+        kept = t.let(lines_of(F.col("_text")), lambda ls: t.let(early(ls), lambda e: F.when(F.size(e) >= max_chunks, e).otherwise(whole(ls))))
+    some = t.let(kept, lambda kept: F.when(F.size(kept) > 0, kept).otherwise(F.array("_text")))
     chunks = F.when(F.col("_text") == "", F.array().cast(NONE)).when(F.length("_text") <= 2000, F.array("_text")).otherwise(some)
     return prepared.withColumn("chunks", chunks).drop("_text")
 
