@@ -231,7 +231,7 @@ def d4(spark, d):
 @query("d5_near_duplicate_groups")
 def d5(spark, d):
     docs = load(spark, d, "documents").where(F.col("text").isNotNull())
-    names = docs.select("doc_id", F.substring_index(F.split("text", "\n")[0], " ", 6).alias("name"))
+    names = docs.select("doc_id", F.split("text", "\n")[0].alias("name"))
     return audit.near_duplicate_groups(names, "doc_id", "name")
 
 

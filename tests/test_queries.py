@@ -87,7 +87,7 @@ def plain_keywords(s):
         if len(w) >= 2:
             if re.match("[A-Za-z]+[0-9]|[0-9]+[A-Za-z]", w) or re.fullmatch("[A-Z]{3,}", w):
                 out.append(w)
-            elif re.match(r"[A-Za-z]?\\.?[0-9]+\\.[0-9]", w):
+            elif re.match(r"[A-Za-z]?\.?[0-9]+\.[0-9]", w):
                 out += [w, w.replace(".", "")]
     for a, b in zip(words, words[1:]):
         if re.fullmatch("[A-Za-z]{1,5}", a) and re.fullmatch("[0-9]{2,5}", b):
