@@ -278,6 +278,11 @@ def near_enough(a: str, b: str, percent: int) -> Column:
     return ((100 + percent) * (na + nb - apart(a, b)) >= 2 * percent * (na + nb)) & (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
 
 
+def both_ends(pairs: DataFrame) -> DataFrame:
+    """(node): a and b of each pair."""
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+
+
 def candidates(pairs: DataFrame, known: DataFrame, seen: DataFrame | None, percent: int) -> DataFrame:
     """Pairs (a, b), each once, that pass the suffix filter and are not among those seen. known: node, n, parities."""
     new = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct()
@@ -285,7 +290,7 @@ def candidates(pairs: DataFrame, known: DataFrame, seen: DataFrame | None, perce
         new = new.join(seen, ["a", "b"], "left_anti")
     # Pairs are written first: few of them leave what is known of all nodes where it is.
     new = cut(new, "jaccard-new")
-    met = cut(known.join(few(new.select(F.explode(F.array("a", "b")).alias("node"))), "node", "left_semi"), "jaccard-ends")
+    met = cut(known.join(few(both_ends(new)), "node", "left_semi"), "jaccard-ends")
     ends = few(met.select(F.col("node"), F.struct("n", *PARITY).alias("s")))
     both = new.join(ends.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(ends.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     out = cut(both.where(near_enough("x", "y", percent)).select("a", "b"), "jaccard-pairs")
@@ -297,7 +302,7 @@ def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, perc
     """The pairs (a, b) of nodes that link: compared over whole sets, which only candidates' texts are made into."""
     if pairs.isEmpty():
         return pairs
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ids = both_ends(pairs).distinct()
     reps = nodes.join(ids, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").where(F.col("doc_id").isNotNull())
     reps = cut(reps, "jaccard-ids")
     known = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).join(few(reps), "doc_id", "left_semi")
@@ -354,7 +359,7 @@ def _unsettled(met: DataFrame, comps: DataFrame, links: DataFrame) -> DataFrame:
     mixed = placed.groupBy("shingle").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where(F.col("c0") != F.col("c1")).select("shingle")
     rows = cut(placed.join(mixed, "shingle", "left_semi"), "jaccard-mixed")
     sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
-    degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    degrees = both_ends(links).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     told = rows.select("node", "comp").distinct().join(sizes, "comp", "left").join(degrees, "node", "left")
     return rows.join(told.select("node", F.coalesce("members", F.lit(1)).alias("members"), F.coalesce("degree", F.lit(0)).alias("degree")), "node")
 
@@ -372,7 +377,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, cheap
     # Each shingle's first node is its pivot; hot shingles have one in each share of their rows.
     group = Window.partitionBy("shingle", "share").orderBy("node")
     whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    near = {"lo": F.first("node").over(group), "lo_at": F.first("at").over(group), "prev": F.lag("node").over(group), "prev_at": F.lag("at").over(group), "hi": F.last("node").over(whole)}
+    near = {"lo": F.first("node").over(group), "lo_at": F.first("at").over(group), "prev": F.lag("node").over(group), "prev_at": F.lag("at").over(group), "hi": F.last("node").over(whole), "held": F.count(F.lit(1)).over(whole)}
     met = prefixes(docs, sketch, width, percent).withColumns(near)
     met = met.where((F.col("lo") != F.col("hi")) | (F.col("share") >= 0)).where(F.col("prev").isNull() | (F.col("prev") != F.col("node")))
     met = cut(met.drop("hi"), "jaccard-met")
@@ -386,37 +391,40 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, cheap
     seen = candidates(first, known, None, percent)
     links = verify(docs, nodes, seen, width, percent)
     comps, tried, last, work, size = cut(components(links), "jaccard-comps"), None, False, float("inf"), met.count()
+    # Of three nodes or fewer every two have met by now: each was held against the first and the one before.
+    table_of_met, met = met, met.where((F.col("held") > 3) | (F.col("share") >= 0))
     while not last:
         rows = _unsettled(met, comps, links)
         if tried is not None:
             rows = rows.join(few(tried), "node", "left").withColumn("degree", F.when(F.col("tried"), F.lit(-1)).otherwise(F.col("degree"))).drop("tried")
         rows = cut(rows, "jaccard-rows")
-        forget(met)
-        met = rows  # components only grow: a shingle whose nodes are in one is done with
+        forget(table_of_met)
+        table_of_met = met = rows  # components only grow: a shingle whose nodes are in one is done with
         if rows.isEmpty():
             break
         # The most central node, not tried before, of a shingle's largest component; those outside it meet it.
         counted = rows.groupBy("shingle", "comp").agg(F.max(F.struct("members", "comp", "degree", "node", "at")).alias("main"), F.max("share").alias("shares"), F.count(F.lit(1)).alias("rows"))
-        main = counted.groupBy("shingle").agg(F.max("main").alias("main"), F.max("shares").alias("shares"), F.sum("rows").alias("rows"), F.max_by("rows", "main").alias("inside"))
+        counted = counted.select("shingle", F.struct("main.*", "rows").alias("main"), "shares", "rows")
+        main = counted.groupBy("shingle").agg(F.max("main").alias("main"), F.max("shares").alias("shares"), F.sum("rows").alias("rows")).withColumn("inside", F.col("main.rows"))
         main = cut(main, "jaccard-main")
         # What comparing those outside with all the others would take; cheap, it is done at once.
         before, work = work, main.agg(F.coalesce(F.sum((F.col("rows") - F.col("inside")) * F.col("rows").cast("double")), F.lit(0.0))).first()[0]
         last = work <= cheap * size or work > 0.7 * before
-        outside = rows.join(few(main), "shingle").where(F.col("comp") != F.col("main.comp"))
         if last:
             # Those outside against all the others, a hot shingle's share by share.
             # Two nodes that share an earlier shingle have met there: at their first common one they share none. Rows are
             # dealt by node once, for what they carry of their node and for its earlier shingles.
             earlier = Window.partitionBy("node").orderBy("at").rowsBetween(-EARLIER, -1)
-            traced = rows.select("shingle", "share", "node", "at", "comp").join(few(known), "node").withColumn("before", F.collect_list("shingle").over(earlier))
-            traced = cut(traced.select("shingle", "share", "comp", F.struct("node", "at", "comp", "n", "before", *PARITY).alias("y")), "jaccard-traced")
-            outside = traced.join(few(main), "shingle").where(F.col("comp") != F.col("main.comp"))
+            placed = rows.select("shingle", "share", "node", "at", "comp").join(few(main.select("shingle", "shares", F.col("main.comp").alias("main"))), "shingle")
+            traced = placed.join(few(known), "node").withColumn("before", F.collect_list("shingle").over(earlier))
+            traced = cut(traced.select("shingle", "share", "shares", "main", F.struct("node", "at", "comp", "n", "before", *PARITY).alias("y")), "jaccard-traced")
             to = F.when(F.col("shares") < 0, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("shares")))
-            x = outside.select("shingle", F.explode(to).alias("share"), F.col("y").alias("x"), F.col("main.comp").alias("main"))
+            x = traced.where(F.col("y.comp") != F.col("main")).select("shingle", F.explode(to).alias("share"), F.col("y").alias("x"), "main")
             once = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("main")) | (F.col("x.node") < F.col("y.node")))
             late = x.join(traced.select("shingle", "share", "y"), ["shingle", "share"]).where(once & fits("x.at", "y.at") & near_enough("x", "y", percent) & ~F.arrays_overlap("x.before", "y.before"))
             pairs = candidates(pair(late, "x.node", "y.node"), known, seen, percent)
         else:
+            outside = rows.join(few(main), "shingle").where(F.col("comp") != F.col("main.comp"))
             pairs = candidates(pair(outside.where((F.col("main.degree") >= 0) & fits("at", "main.at")), "node", "main.node"), known, seen, percent)
         more = verify(docs, nodes, pairs, width, percent)
         seen, links = seen.unionByName(pairs), links.unionByName(more)
@@ -426,7 +434,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, cheap
         forget(main)
     placed = cut(nodes.join(few(comps), "node", "left").select("doc_id", "n", F.coalesce("comp", "node").alias("comp")), "jaccard-placed")
     least = cut(placed.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("doc_id").alias("least")), "jaccard-least")
-    forget(parts, known, met, comps)
+    forget(parts, known, table_of_met, comps)
     return placed.join(few(least), "comp", "left").select("doc_id", F.col("n").alias("jc_shingles"), F.coalesce("least", "doc_id").alias("jc_component"))
 
 
