@@ -4,8 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns what it keeps of docs, with t
 returns tokens). It works on all rows it gets, whatever was kept before. :func:`run` writes each stage to the shared
 folder as Parquet and reads it again, so a lost executor costs one stage at most.
 
-Rows that repeat a doc_id are kept and dropped alike; the mix takes each row by itself. Null texts are empty texts; no stage drops a row for it
-but the classifier, which scores an empty text like any other.
+Rows that repeat a doc_id are kept and dropped alike: where one of them is the row of its group that stays, all are. Rows
+with a null doc_id stay whatever they copy, as no id could say which of them to keep. The mix takes each row by itself.
+Null texts are empty texts; no stage drops a row for it but the classifier, which scores an empty text like any other.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm import bpe, factorisation, jaccard, line_dedup, mixing
-from lodestack.llm.common import cut, few, table
+from lodestack.llm.common import cut, few, forget, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,9 +68,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = cut(docs, f"pipeline-{i}")
+            if before is not None:
+                forget(before)  # read by the stage that is written now, and by no other
+            before = docs
     return docs

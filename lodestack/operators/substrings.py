@@ -89,14 +89,11 @@ def keyword_hits(keywords: DataFrame, docs: DataFrame, text: str, fold=F.lower)
         some = met if parts <= 1 else cut(met.where(F.pmod(F.xxhash64("keyword"), F.lit(parts)) == i), "keywords-part")
         hits = words.join(few(some, 2 * AT_ONCE), "piece").where(F.col("sure") | stands_in(F.col("_low"), F.col("keyword"))).select(*rest, "keyword")
         out = hits if out is None else out.unionByName(hits)
-    blank = keywords.where(F.col("word").isNull() & F.col("keyword").rlike("[%_]"))
-    if not blank.isEmpty():  # by the number of characters that they ask for: as many rows as a keyword has characters
-        least = cut(blank.select("keyword", F.length(F.regexp_replace("keyword", r"[^_\s]", "")).alias("n")), "keywords-blank")
-        hits = low.withColumn("_one", F.lit(1)).join(least.withColumn("_one", F.lit(1)), "_one").where((F.length("_low") >= F.col("n")) & stands_in(F.col("_low"), F.col("keyword")))
-        out = out.unionByName(hits.select(*rest, "keyword"))
-    spaces = keywords.where(F.col("word").isNull() & ~F.col("keyword").rlike("[%_]"))
-    if not spaces.isEmpty():  # blanks only
-        hits = low.withColumn("_one", F.lit(1)).join(spaces.withColumn("_one", F.lit(1)), "_one").where(F.contains("_low", "keyword"))
+    # Without a word: blanks and wildcards only. Few such keywords differ, each is held against every text.
+    bare = keywords.where(F.col("word").isNull())
+    if not bare.isEmpty():
+        bare = cut(bare.select("keyword", F.length(F.regexp_replace("keyword", "%", "")).alias("n"), F.lit(1).alias("_one")), "keywords-bare")
+        hits = low.withColumn("_one", F.lit(1)).join(bare, "_one").where((F.length("_low") >= F.col("n")) & stands_in(F.col("_low"), F.col("keyword")))
         out = out.unionByName(hits.select(*rest, "keyword"))
     return out.distinct()
 
