@@ -14,9 +14,11 @@ def reachable(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package from where the driver has it, if it is not installed, and get small batches.
 
     Rows are whole texts here: ten thousand of them, Spark's usual batch, are too many for a worker's share of memory.
+    A number that the application was started with stays, as does any but the usual one.
     """
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000" and not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, "1000")
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH")]))
