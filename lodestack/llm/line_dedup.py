@@ -1,7 +1,7 @@
 """Line dedup: explode normalised lines, hash, count distinct documents per hash, drop, reassemble by position.
 
-DataFrame functions only. Null and empty texts are one empty line. A null doc_id is a document of its own and sorts
-below every number, so it keeps a line only where nobody else has it. Rows that repeat a doc_id count as one document
+DataFrame functions only. Null and empty texts are one empty line. All rows with a null doc_id count as one document, which
+sorts below every number, so it keeps a line only where nobody else has it. Rows that repeat a doc_id count as one document
 and are decided alike. Columns beside doc_id and text are kept by :func:`dedup_lines` as they are.
 """
 
