@@ -536,9 +536,9 @@ def _ended(stream, name):
 
 
 def _arriving(spark, d, name):
-    """A table of the given folder as a stream of its files."""
-    files = load(spark, d, name)
-    return spark.readStream.schema(files.schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    """A table of the given folder, one file or a folder of them, as a stream of its files."""
+    # A pattern, as a stream over a plain path has to be over a folder.
+    return spark.readStream.schema(load(spark, d, name).schema).parquet(f"{d}/{name}[.]parquet")
 
 
 @query("st1_stream_quota", """WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, CASE WHEN user_id % 4 <> 0 THEN user_id % 4 * 2 END AS lim FROM events),
