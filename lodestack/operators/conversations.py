@@ -49,7 +49,7 @@ def known_context(text: Column, models, boards, drives) -> list[Column]:
     """One column for each facet: the first pattern in its list that the text matches decides, not the first in the text.
 
     models, boards, drives: pairs of a pattern for folded text and the name to give, None for the first group in capitals;
-    they are the caller's equipment. Boards and drives are named without spaces. Symptoms, error codes and part numbers
+    they are the caller's equipment; \\b at a pattern's ends is where a word of letters of any script ends. Boards and drives are named without spaces. Symptoms, error codes and part numbers
     are vocab.FACETS.
     """
     low = F.trim(t.folded(text))
@@ -57,6 +57,7 @@ def known_context(text: Column, models, boards, drives) -> list[Column]:
     for name, patterns in {"model": models, "board": boards, "drive": drives, **vocab.FACETS}.items():
         found = []
         for p, said in patterns:
+            p = t.word_ends(p)
             value = F.lit(said) if said else F.trim(F.regexp_extract(low, p, 1))
             value = value if said or name in LOWER else F.upper(value)
             found.append(F.when(low.rlike(p), F.regexp_replace(value, r"\s+", "") if name in SQUEEZED else value))

@@ -287,12 +287,20 @@ _OWN = {
 _ALL = {"model": _OWN["models"], "board": _OWN["boards"], "drive": _OWN["drives"], **vocab.FACETS}
 
 
+def _bounded(p):
+    """The pattern with ends of words and white space as Java has them: RE2's know ASCII only, and no vertical tab."""
+    p = p.replace(r"\s", r"[\s\x0B]")
+    p = f"(?:^|{t.NOT_IN_WORD}){p[2:]}" if p.startswith(r"\b") else p
+    return f"{p[:-2]}(?:$|{t.NOT_IN_WORD})" if p.endswith(r"\b") else p
+
+
 def _facet(name):
     out = []
     for p, said in _ALL[name]:
+        p = _bounded(p)
         value = f"'{said}'" if said else f"trim(regexp_extract(x, '{p}', 1))"
         value = value if said or name in v.LOWER else f"upper({value})"
-        value = f"regexp_replace({value}, '\\s+', '', 'g')" if name in v.SQUEEZED else value
+        value = f"regexp_replace({value}, '[\\s\\x0B]+', '', 'g')" if name in v.SQUEEZED else value
         out.append(f"CASE WHEN regexp_matches(x, '{p}') THEN {value} END")
     return f"coalesce({', '.join(out)}) AS {name}"
 
