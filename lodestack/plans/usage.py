@@ -75,8 +75,7 @@ _FB = "least(0.25, n * 0.08 + CASE WHEN n >= 2 THEN 0.05 ELSE 0 END)"
 
 @query("r4_filename_bonus", f"WITH {_C} SELECT query_id, chunk_id, round({_FB}, 6)::DOUBLE AS bonus FROM {_BONUS}")
 def r4(spark, d):
-    pairs = chunk_rows(spark, d).select("chunk_id", "brand", "name").join(query_rows(spark, d).select("query_id", "brand", "text"), "brand")
-    return pairs.select("query_id", "chunk_id", F.round(r.filename_bonus("name", "text"), 6).alias("bonus"))
+    return r.name_bonuses(query_rows(spark, d), chunk_rows(spark, d), "chunk_id").select("query_id", "chunk_id", "bonus")
 
 
 @query("r5_filename_candidates", f"WITH {_C} SELECT query_id, chunk_id AS doc_id, round({_FB}, 6)::DOUBLE AS bonus FROM {_BONUS} WHERE {_FB} >= 0.15")
