@@ -17,8 +17,8 @@ from ..sources.scratch import cut, few, forget
 #: The longest word that is looked up whole; of a longer one its beginning is.
 LONGEST = 24
 SLICES = rf"(?=(\S{{1,{2 * LONGEST}}}))\S{{1,{LONGEST}}}"
-#: Bytes of the table that texts meet at a time; a larger one takes as many more scans.
-AT_ONCE = 32 << 20
+#: Bytes in memory of the table that texts meet at a time; a larger one takes as many more scans.
+AT_ONCE = 64 << 20
 
 
 def ascii_lower(c: Column) -> Column:
@@ -83,11 +83,15 @@ def keyword_hits(keywords: DataFrame, docs: DataFrame, text: str, fold=F.lower)
     # One word that is all of the keyword needs no second look.
     met = keywords.where(F.col("word").isNotNull()).join(found, "word").select("piece", "keyword", (F.col("word") == F.col("keyword")).alias("sure"))
     met = cut(met, "keywords-met")
-    parts = -(-int(str(met._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // AT_ONCE)
+    # What rows take in memory, where a broadcast has them, is many times what they take in a file.
+    bytes_ = met.agg(F.sum(F.octet_length("piece") + F.octet_length("keyword") + 96)).first()[0] or 0
+    parts = -(-bytes_ // AT_ONCE)
     out = None
     for i in range(max(1, parts)):
         some = met if parts <= 1 else cut(met.where(F.pmod(F.xxhash64("keyword"), F.lit(parts)) == i), "keywords-part")
-        hits = words.join(few(some, 2 * AT_ONCE), "piece").where(F.col("sure") | stands_in(F.col("_low"), F.col("keyword"))).select(*rest, "keyword")
+        hits = words.join(F.broadcast(some), "piece").where(F.col("sure") | stands_in(F.col("_low"), F.col("keyword"))).select(*rest, "keyword")
+        # Each part's hits are written, so that one broadcast is held at a time.
+        hits = hits if parts <= 1 else cut(hits.distinct(), "keywords-hits")
         out = hits if out is None else out.unionByName(hits)
     # Without a word: blanks and wildcards only. Few such keywords differ, each is held against every text.
     bare = keywords.where(F.col("word").isNull())
