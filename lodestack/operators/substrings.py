@@ -5,6 +5,10 @@ needles meet it through an index of three-character pieces, by the rarest piece
 whose word is in one of its own. Words of more than 24 characters are slices of 48, each beginning 24 behind the one
 before: what is no longer than 24 lies within one. Nothing passes through the driver; texts are read twice, whatever
 the number of needles, and do not move.
+
+A needle of two or three words need not be looked for in the text at all: its first word ends what stands before a
+space, and the rest begins what stands behind it. So a text's places are joined with such needles by the first word and
+two characters more, which is linear in the text; the rest of the needle is compared at that place only.
 """
 
 from __future__ import annotations
@@ -17,6 +21,8 @@ from ..sources.scratch import cut, few, forget
 #: The longest word that is looked up whole; of a longer one its beginning is.
 LONGEST = 24
 SLICES = rf"(?=(\S{{1,{2 * LONGEST}}}))\S{{1,{LONGEST}}}"
+#: Two or three words with one space between them, the first of at most LONGEST characters, and two characters behind it.
+PHRASE = rf"(?s)\A[^ %_]{{1,{LONGEST}}} (?=..)[^ %_]+( [^ %_]+)?\z"
 #: Bytes in memory of the table that texts meet at a time; a larger one takes as many more scans.
 AT_ONCE = 64 << 20
 
@@ -69,37 +75,68 @@ def stands_in(text: Column, keyword: Column) -> Column:
     return F.when(wild, F.like(text, pattern)).otherwise(F.contains(text, keyword))
 
 
-def keyword_hits(keywords: DataFrame, docs: DataFrame, text: str, fold=F.lower) -> DataFrame:
+def in_memory(df: DataFrame, *texts: str) -> int:
+    """Bytes that the rows of df take where a broadcast has them, which is many times what they take in a file."""
+    return df.agg(F.sum(sum((F.octet_length(c) for c in texts), F.lit(96)))).first()[0] or 0
+
+
+def phrase_hits(phrases: DataFrame, low: DataFrame, rest: list[str], within: list[str]) -> DataFrame:
+    """rest and keyword: a row for each place where a phrase stands. phrases: within, keyword; low: rest, _low."""
+    first = F.substring_index("keyword", " ", 1)
+    phrases = phrases.select(*within, "keyword", first.alias("first"), F.substr("keyword", F.length(first) + 2).alias("behind"))
+    phrases = cut(phrases.withColumn("two", F.substring("behind", 1, 2)), "phrases")
+    sizes = sorted(r[0] for r in phrases.select(F.length("first")).distinct().collect())  # LONGEST at most
+    words = low.select(*rest, F.split("_low", " ").alias("_w"))
+    later = lambda n: F.slice("_w", n, F.size("_w"))
+    places = words.select(*rest, F.inline(F.arrays_zip("_w", later(2), later(3))).alias("_a", "_b", "_c")).where(F.col("_b").isNotNull())
+    ends = F.array(*[F.when(F.length("_a") >= n, F.right("_a", F.lit(n))) for n in sizes])
+    places = places.select(*rest, F.concat_ws(" ", "_b", "_c").alias("_behind"), F.explode(ends).alias("first")).withColumn("two", F.substring("_behind", 1, 2))
+    phrases = F.broadcast(phrases) if in_memory(phrases, "keyword", "keyword", "keyword") <= AT_ONCE else phrases
+    return places.join(phrases, [*within, "first", "two"]).where(F.startswith("_behind", "behind")).select(*rest, "keyword")
+
+
+def keyword_hits(keywords: DataFrame, docs: DataFrame, text: str, fold=F.lower, within: tuple[str, ...] = ()) -> DataFrame:
     """docs' columns but the text, and keyword: a row for each document and distinct keyword that stands in its folded text.
 
-    keywords: keyword, folded. Rows of docs that are equal are told once. The keyword "" and a null text match nothing;
-    a keyword of wildcards only matches every text that is long enough.
+    keywords: keyword, folded, and the columns `within`, which a document must have the same. Rows of docs that are
+    equal are told once. The keyword "" and a null text match nothing; a keyword of wildcards only matches every text
+    that is long enough.
     """
     rest = [c for c in docs.columns if c != text]
-    keywords = cut(keywords.select("keyword").where(F.col("keyword") != "").distinct().withColumn("word", literal_word(F.col("keyword"))), "keywords")
+    every = cut(keywords.select(*within, "keyword").where(F.col("keyword") != "").distinct().withColumn("phrase", F.rlike("keyword", F.lit(PHRASE))), "keywords")
     low = docs.where(F.col(text).isNotNull()).select(*rest, fold(F.col(text)).alias("_low"))
+    found = [some_hits(every.where(~F.col("phrase")), low, rest, [*within])]
+    if not every.where("phrase").isEmpty():
+        found.append(phrase_hits(every.where("phrase"), low, rest, [*within]))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
+
+
+def some_hits(keywords: DataFrame, low: DataFrame, rest: list[str], within: list[str]) -> DataFrame:
+    """rest and keyword, where any keyword stands, found by its longest word. keywords: within, keyword; low: rest, _low."""
+    keywords = cut(keywords.select(*within, "keyword", literal_word(F.col("keyword")).alias("word")), "keywords-others")
     words = low.select(*rest, "_low", F.explode(pieces(F.col("_low"))).alias("piece"))
     found = inside(keywords.select("word"), words.select("piece"))
     # One word that is all of the keyword needs no second look.
-    met = keywords.where(F.col("word").isNotNull()).join(found, "word").select("piece", "keyword", (F.col("word") == F.col("keyword")).alias("sure"))
+    met = keywords.where(F.col("word").isNotNull()).join(found, "word").select(*within, "piece", "keyword", (F.col("word") == F.col("keyword")).alias("sure"))
     met = cut(met, "keywords-met")
-    # What rows take in memory, where a broadcast has them, is many times what they take in a file.
-    bytes_ = met.agg(F.sum(F.octet_length("piece") + F.octet_length("keyword") + 96)).first()[0] or 0
-    parts = -(-bytes_ // AT_ONCE)
+    parts = -(-in_memory(met, "piece", "keyword") // AT_ONCE)
     out = None
     for i in range(max(1, parts)):
         some = met if parts <= 1 else cut(met.where(F.pmod(F.xxhash64("keyword"), F.lit(parts)) == i), "keywords-part")
-        hits = words.join(F.broadcast(some), "piece").where(F.col("sure") | stands_in(F.col("_low"), F.col("keyword"))).select(*rest, "keyword")
+        hits = words.join(F.broadcast(some), [*within, "piece"]).where(F.col("sure") | stands_in(F.col("_low"), F.col("keyword"))).select(*rest, "keyword")
         # Each part's hits are written, so that one broadcast is held at a time.
         hits = hits if parts <= 1 else cut(hits.distinct(), "keywords-hits")
         out = hits if out is None else out.unionByName(hits)
     # Without a word: blanks and wildcards only. Few such keywords differ, each is held against every text.
     bare = keywords.where(F.col("word").isNull())
     if not bare.isEmpty():
-        bare = cut(bare.select("keyword", F.length(F.regexp_replace("keyword", "%", "")).alias("n"), F.lit(1).alias("_one")), "keywords-bare")
-        hits = low.withColumn("_one", F.lit(1)).join(bare, "_one").where((F.length("_low") >= F.col("n")) & stands_in(F.col("_low"), F.col("keyword")))
+        bare = cut(bare.select(*within, "keyword", F.length(F.regexp_replace("keyword", "%", "")).alias("n"), F.lit(1).alias("_one")), "keywords-bare")
+        hits = low.withColumn("_one", F.lit(1)).join(bare, [*within, "_one"]).where((F.length("_low") >= F.col("n")) & stands_in(F.col("_low"), F.col("keyword")))
         out = out.unionByName(hits.select(*rest, "keyword"))
-    return out.distinct()
+    return out
 
 
 def names_with_tokens(tokens: DataFrame, names: DataFrame, least: int) -> DataFrame:

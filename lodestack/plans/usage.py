@@ -182,7 +182,8 @@ def r16(spark, d):
 
 @query("r17_hybrid_search")
 def r17(spark, d):
-    chunks = cut(chunk_rows(spark, d), "chunks")
+    # Dealt anew, as a table of few files, joined by a broadcast, would leave texts to as few tasks.
+    chunks = cut(chunk_rows(spark, d).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk_id"), "chunks")
     queries = cut(as_queries(chunks), "queries")
     return r.hybrid_search(queries, chunks, r.multi_query(queries, embedded(chunks), hashed_words, DIMENSION, least=0.2))
 
