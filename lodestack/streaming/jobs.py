@@ -36,6 +36,7 @@ def stream_status(events: DataFrame, status: str, terminal: tuple[str, ...] = ()
 def stream_ingest(pages: DataFrame, store: str, checkpoint: str):
     """Chunk arriving pages (brand, doc_id, name, page, text) and replace those pages in the store, with their documents' status.
 
+    All chunks of a page, with the signals of all their text: see operators.chunking.chunk_records.
     Chunks and status are one commit, which carries the query's id and the batch's number: a batch that is replayed
     after a crash is done once, whether the crash came before the commit or after it. A page that has become empty
     loses its chunks; a document is `indexed` if it has chunks, else `error` (see sources.tables.document_status).
