@@ -33,3 +33,24 @@ def test_st2_has_more_than_the_first_chunks(spark):
     whole = {r["doc_id"]: chunks_of(r["text"], None, None) for r in docs}
     assert got == {(d, i, len(cs), hashlib.md5(c.encode()).hexdigest()) for d, cs in whole.items() for i, c in enumerate(cs)}
     assert max(map(len, whole.values())) > 8
+
+
+def test_signals_of_windows_are_those_of_their_text(spark):
+    """Lines' signals joined against the text's own: codes at ends of lines, topics and versions that go over them."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from lodestack.functions import text as t
+    from lodestack.operators import chunking
+
+    rng = random.Random(4)
+    words = ["cadeia", "de", "seguranca", "automacao", "resgate", "porta", "es", "GEN", "2", "gen 3", "v12", "VERSÃO", "E12", "ab1", "uv", "AB123X", "a_b", "ção", "é", "σΣ", "ΑΣ", "x.y", "-", "\t", "longer", "ﬁ", "İ"]
+    pages = ["\n".join(rng.choice(["", "| "]) + " ".join(rng.choices(words, k=rng.randrange(9))) + " some words beside" * rng.randrange(3) for _ in range(rng.randrange(60, 110))) for _ in range(40)]
+    made = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "doc_id long, text string")
+    given = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    for docs in (made, given):
+        rows = chunking.chunk_records(docs.withColumns({"b": F.lit("b"), "p": F.lit(1)}), "b", "doc_id", "b", "p")
+        assert rows.count() > 500 and rows.where(~F.col("signals").eqNullSafe(t.domain_signals("text", None, None))).count() == 0
+    seen = chunking.chunk_records(made.withColumns({"b": F.lit("b"), "p": F.lit(1)}), "b", "doc_id", "b", "p").where(F.col("text").rlike(r"(?i)(?<!\w)cadeia\nde seguranca(?!\w)") & ~F.col("text").rlike("(?i)(?<!\\w)es(?!\\w)|cadeia de segu"))
+    assert all("seguranca" in r["signals"]["topics"] for r in seen.collect())
