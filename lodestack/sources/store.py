@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BY, VERSION = "brand_slug", "_version"
+#: Chunks of a page share lines; this finds them further apart than Spark's usual compression does.
+CODEC = "zstd"
 EMPTY = {"tables": {}, "schemas": {}, "writers": {}}
 
 
@@ -82,7 +84,7 @@ def commit(spark: SparkSession, path: str, tables: dict[str, DataFrame], touched
         out = f"{path}/{name}/{VERSION}={version}"
         # A large brand is spread over its documents.
         spread = df.repartition(BY, F.pmod(F.xxhash64("doc_id"), F.lit(64))) if "doc_id" in df.columns else df
-        spread.withColumn(BY, F.col(BY).cast("string")).write.partitionBy(BY).parquet(out)
+        spread.withColumn(BY, F.col(BY).cast("string")).write.partitionBy(BY).parquet(out, compression=CODEC)
         held = content["tables"].setdefault(name, {})
         for folder in gone:
             held.pop(folder, None)

@@ -9,6 +9,7 @@ from ..functions import text as t
 from ..operators.chunking import chunk_records
 from ..sources import tables
 from ..sources.scratch import cut, forget
+from ..sources.store import CODEC
 from .state import Changes, Quota, use_rocksdb
 
 
@@ -46,7 +47,7 @@ def stream_ingest(pages: DataFrame, store: str, checkpoint: str):
     def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         query = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
-        new = cut(chunk_records(batch, "brand", "doc_id", "name", "page"), "ingest-new")
+        new = cut(chunk_records(batch, "brand", "doc_id", "name", "page"), "ingest-new", CODEC)
         met = cut(batch.select(F.col("brand").alias("brand_slug"), "doc_id", F.col("page").alias("page_number")).distinct(), "ingest-pages")
         tables.replace_pages(spark, store, met, new, query, number)
         forget(new, met)
